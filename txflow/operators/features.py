@@ -24,7 +24,7 @@ def clean_transactions(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         "label": c.label_flag("Is Fraud?"),
         "Zip": c.clean_zip("Zip", "Use Chip"),
         "Merchant State": c.clean_state("Merchant State", "Use Chip"),
-    })
+    }).drop("Year", "Month", "Day", "Time", "Amount", "Is Fraud?")  # "Month" would hide "month"
     typed = typed.withColumns({
         "amount_log": c.signed_log1p("amount_raw"),
         **c.error_flags("Errors?"), **c.calendar("ts"), **c.one_hot("Use Chip"),
@@ -32,7 +32,7 @@ def clean_transactions(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     gaps = prior(typed, "User", [Previous("_previous")], hot_rows=hot_rows)
     hours = (F.unix_micros("ts") - F.unix_micros("_previous")) / 3.6e9
     return gaps.withColumn("hours_since_last", F.coalesce(hours, F.lit(0.0))).drop(
-        "_previous", "Year", "Month", "Day", "Time", "Amount", "Errors?", "Is Fraud?", "Use Chip", "Card"
+        "_previous", "Errors?", "Use Chip", "Card"
     )
 
 
