@@ -108,8 +108,15 @@ def percentiles(
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation: one row per group, array ``pcts``."""
+    return percentiles_of_counts(value_counts(df, value, groups), value, probs, groups, part_rows)
+
+
+def percentiles_of_counts(
+    counts: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), part_rows: int = PART_ROWS
+) -> DataFrame:
+    """The same from (groups, value, n) with one row per distinct value."""
     groups = list(groups)
-    cum = running_totals(value_counts(df, value, groups), value, {"upto": "n"}, groups, part_rows=part_rows)
+    cum = running_totals(counts, value, {"upto": "n"}, groups, part_rows=part_rows)
     cum = with_group_totals(cum, groups, {"total": F.sum("n")})
     v = F.col(value).cast("double")
     picks = []

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txflow.functions.clean import bin_in  # noqa: F401
 from txflow.functions.decide import segment
+from txflow.operators.history import HOT_ROWS, Previous, prior
 from txflow.operators.ordered import percentiles
 
 # Inclusive history-depth buckets.
@@ -218,3 +218,33 @@ def monthly_means(df: DataFrame, user: str = "user", amount: str = "amount", ts:
 
 def top_n(df: DataFrame, by: Column, n: int, *ties: str) -> DataFrame:
     return df.orderBy(by, *ties).limit(n)
+
+
+def last_rows(df: DataFrame, n: int = 9, cols: Sequence[str] = ("tx_id", "amount"), user: str = "user", ts: str = "ts",
+              tx: str = "tx_id") -> DataFrame:
+    """(user, recent): the newest ``n`` rows, oldest first.
+
+    The row_number filter is pushed below the exchange (WindowGroupLimit), so a map
+    task sends at most ``n`` rows of a user, however many it has.
+    """
+    w = Window.partitionBy(user).orderBy(F.desc(ts), F.desc(tx))
+    newest = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    item = F.struct((-F.col("_rn")).alias("at"), *cols)
+    return newest.groupBy(user).agg(F.array_sort(F.collect_list(item)).alias("recent"))
+
+
+def gap_moments(df: DataFrame, user: str = "user", ts: str = "ts", tx: str = "tx_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(user, gap_n, gap_mean, gap_std) in days between consecutive rows."""
+    gaps = prior(df, user, [Previous("_p")], ts=ts, tx=tx, hot_rows=hot_rows)
+    days = (F.unix_micros(ts) - F.unix_micros("_p")) / 864e8
+    return gaps.withColumn("_g", days).groupBy(user).agg(
+        F.count("_g").alias("gap_n"), F.avg("_g").alias("gap_mean"), F.stddev_samp("_g").alias("gap_std")
+    )
+
+
+def user_state(df: DataFrame, user: str = "user", **cols) -> DataFrame:
+    """Scalar state, gap moments and the last nine rows of every user."""
+    ts, tx, amount = cols.get("ts", "ts"), cols.get("tx", "tx_id"), cols.get("amount", "amount")
+    state = history_table(df, user, amount, ts)
+    state = state.join(gap_moments(df, user, ts, tx), user)
+    return state.join(last_rows(df, 9, (tx, amount), user, ts, tx), user)
