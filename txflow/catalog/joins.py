@@ -83,12 +83,17 @@ def j09(spark, sf):
     return a.join(b, "tx_id").select("tx_id", "score_a", "score_b", r(F.col("score_b") - F.col("score_a")).alias("delta"))
 
 
-@query("j10_leak_check", "SELECT CAST(0 AS BIGINT) AS leaking_users")
+@query("j10_leak_check", S("""SELECT count(*) AS leaking_users FROM (SELECT "user",
+     max(CASE WHEN train THEN rn END) AS last_train, min(CASE WHEN NOT train THEN rn END) AS first_test
+    FROM (SELECT *, rn <= floor(n * CAST(0.8 AS DOUBLE)) AS train FROM (SELECT "user",
+      row_number() OVER (PARTITION BY "user" ORDER BY ts, tx_id) AS rn, count(*) OVER (PARTITION BY "user") AS n FROM txo))
+    GROUP BY 1) WHERE last_train >= first_test""", "txo"))
 def j10(spark, sf):
     return leaks(chrono_split(tx_orders(spark, sf))).agg(F.count("*").alias("leaking_users"))
 
 
-@query("j11_alignment_check", S("""SELECT CAST(0 AS BIGINT) AS same_table, count(*) FILTER (label = 1) AS after_flip FROM tx""", "tx"))
+@query("j11_alignment_check", S("""SELECT count(*) FILTER (tx.label <> uf.label OR tx."user" <> uf."user") AS same_table,
+    count(*) FILTER (tx.label <> 0) AS after_flip FROM tx FULL JOIN uf ON tx.tx_id = uf.tx_id""", "tx", "uf"))
 def j11(spark, sf):
     df = tx_events(spark, sf)
     cols = ["user", "label"]
