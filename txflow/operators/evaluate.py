@@ -157,7 +157,7 @@ def component_table(df: DataFrame, components: dict[str, Column]) -> DataFrame:
 
 def confidence_table(df: DataFrame, conf: str, pred: Column, label: str = "label") -> DataFrame:
     """Counts, precision, recall, F1 and FP rate per confidence bucket."""
-    out = df.groupBy(bin_index(conf, CONFIDENCE_EDGES).alias("at"), confidence_bucket(conf).alias("bucket")).agg(
+    out = df.groupBy(bin_index(conf, CONFIDENCE_EDGES).alias("level"), confidence_bucket(conf).alias("bucket")).agg(
         F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("positives"),
         *[c.alias(k) for k, c in confusion(pred, label).items()],
     )
@@ -175,7 +175,7 @@ def confidence_monotone(table: DataFrame, slack: float = 0.01) -> DataFrame:
     A bucket with zero precision counts as having none, as in the published report.
     """
     has = table.filter(F.col("precision") > 0)
-    before = F.lag("precision").over(Window.orderBy("at"))
+    before = F.lag("precision").over(Window.orderBy("level"))
     drops = has.withColumn("drop", F.coalesce(before > F.col("precision") + slack, F.lit(False)))
     out = drops.agg(F.count("*").alias("buckets"), F.count_if("drop").alias("drops"))
     verdict = (
