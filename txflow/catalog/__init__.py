@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("sources", "scalars", "joins", "aggregates", "windows", "sets", "quality", "drift", "graphs", "learning")
+AREAS = ("sources", "scalars", "joins", "aggregates", "windows", "sets", "quality", "drift", "graphs", "learning", "streams")
 
 
 def load():

@@ -28,8 +28,13 @@ def channel_of(k) -> F.Column:
 
 
 def tx_events(spark: SparkSession, sf: str) -> DataFrame:
+    return tx_shape(table(spark, sf, "events"))
+
+
+def tx_shape(events: DataFrame) -> DataFrame:
+    """Events, batch or stream, as transactions."""
     k = F.col("k")
-    return _event_key(table(spark, sf, "events")).select(
+    return _event_key(events).select(
         F.col("event_id").alias("tx_id"), F.col("user_id").alias("user"), "ts",
         F.col("value").alias("amount"), k.alias("merchant"), F.col("event_type").alias("mcc"),
         channel_of(k).alias("channel"),
