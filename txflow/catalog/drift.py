@@ -9,6 +9,7 @@ from txflow.catalog.registry import query
 from txflow.catalog.sql import S
 from txflow.operators import calibration as cal
 from txflow.operators import drift
+from txflow.session import cut
 
 # Reference: the first 60 % of the ids; monitored: the rest, with the amount moved and more values missing.
 _FEATURES = ("amount", "merchant", "hour", "label", "constant", "zscore", "ref_missing")
@@ -40,7 +41,8 @@ def _d(body):
 
 
 def _long(spark, sf):
-    df = history(spark, sf)
+    # Written once, as a feature table would be: the drift report reads it several times.
+    df = cut(history(spark, sf).select("tx_id", "ts", "amount", "merchant", "label", "user_amount_zscore"))
     edge = df.agg((0.6 * F.max("tx_id")).alias("_edge"))
     k = F.col("merchant")
     df = df.crossJoin(F.broadcast(edge)).withColumn("side", F.when(F.col("tx_id") < F.col("_edge"), "ref").otherwise("mon"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txflow.operators.ordered import PART_ROWS, running_totals, with_group_totals
+from txflow.operators.ordered import PART_ROWS, running_totals
 from txflow.operators.reports import ratio
 
 
@@ -20,8 +20,10 @@ def pr_curve(df: DataFrame, score: str = "score", label: str = "label", groups:
              part_rows: int = PART_ROWS) -> DataFrame:
     """One point per distinct score used as threshold: flagged, tp, precision, recall, f1."""
     counts = score_counts(df, score, label, groups)
-    cum = running_totals(counts, score, {"flagged": "n", "tp": "p"}, groups, descending=True, part_rows=part_rows)
-    cum = with_group_totals(cum, groups, {"positives": F.sum("p"), "total": F.sum("n")})
+    cum = running_totals(
+        counts, score, {"flagged": "n", "tp": "p"}, groups, descending=True, part_rows=part_rows, rows=df.count(),
+        totals={"positives": "p", "total": "n"},
+    )
     p, rc = F.col("tp") / F.col("flagged"), ratio("tp", "positives")
     f1 = F.when(p + rc > 0, 2 * p * rc / (p + rc)).otherwise(F.lit(0.0))
     return cum.withColumns({"precision": p, "recall": rc, "f1": f1}).withColumnRenamed(score, "threshold")

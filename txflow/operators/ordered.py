@@ -1,10 +1,11 @@
 """Running totals, ranks and exact percentiles over a global order.
 
 ``Window.orderBy`` without partitions, and the ``percentile`` aggregate, pull a
-whole column into one task. Here equal values are counted first, the counts are
-written once, and only if a group still has more than ``part_rows`` distinct
-values is its value range cut at measured quantiles, so that every part has its
-own task and the parts before it arrive as one small table.
+whole column into one task. The functions here measure first. Small inputs take
+the plain Spark expression. Larger ones are cut into value ranges at measured
+quantiles, so that every range has its own task and what lies before it arrives
+as one small table; percentiles first narrow the search to a thin band of values
+around each target, so that almost no row is shuffled. Results are the same.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from txflow.operators.history import same
 from txflow.session import cut
 
-PART_ROWS = 4_000_000
-MAX_GROUPS = 1_000
+# Distinct values one task may order, and values one percentile aggregate may hold.
+PART_ROWS, SMALL_ROWS = 4_000_000, 1_000_000
+MAX_PARTS, MAX_GROUPS = 4_096, 1_000
+ACCURACY = 10_000
 _PART = "_part"
 
 
@@ -30,14 +33,14 @@ def _parts(counts: DataFrame, value: str, groups: Sequence[str], part_rows: int)
     )
     if not sizes:
         return None
-    n = min(4096, 1 + max(r["_n"] for r in sizes) // part_rows)
+    n = min(MAX_PARTS, 1 + max(r["_n"] for r in sizes) // part_rows)
     steps = F.array(*[F.lit(i / n) for i in range(1, n)])
     spark = counts.sparkSession
     if groups:
         big = spark.createDataFrame([tuple(r[g] for g in groups) for r in sizes], counts.select(*groups).schema)
         counts = same(counts, F.broadcast(big), groups, "left_semi")
     cuts = counts.groupBy(*groups).agg(
-        F.array_distinct(F.percentile_approx(value, steps, 10 * n)).alias("_cuts")
+        F.array_distinct(F.percentile_approx(value, steps, max(ACCURACY, 10 * n))).alias("_cuts")
     )
     # Collected, so that every branch of the plan sees the same cut points.
     return spark.createDataFrame(cuts.collect(), cuts.schema)
@@ -50,17 +53,28 @@ def running_totals(
     groups: Sequence[str] = (),
     descending: bool = False,
     part_rows: int = PART_ROWS,
+    rows: int | None = None,
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add ``out = sum(column)`` over all rows up to and including this one.
 
-    ``counts`` has one row per (groups, value) and is cut from its lineage here.
+    ``counts`` has one row per (groups, value). ``rows`` is an upper bound of its length
+    if one is known; within ``part_rows`` no measuring is needed. Otherwise the counts are
+    written once, since the measuring and both branches of the plan read them.
+    ``totals`` adds ``out = sum(column)`` over the whole group.
     """
-    counts, groups = cut(counts), list(groups)
+    groups, totals = list(groups), dict(totals or {})
     by = F.col(value).desc() if descending else F.col(value).asc()
-    parts = _parts(counts, value, groups, part_rows)
+    parts = None
+    if rows is None or rows > part_rows:
+        counts = cut(counts)
+        parts = _parts(counts, value, groups, part_rows)
     if parts is None:
-        w = Window.partitionBy(*groups).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumns({out: F.sum(c).over(w) for out, c in sums.items()})
+        whole = Window.partitionBy(*groups)
+        w = whole.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumns({
+            **{out: F.sum(c).over(w) for out, c in sums.items()}, **{out: F.sum(c).over(whole) for out, c in totals.items()},
+        })
 
     if groups:
         tagged = same(counts, F.broadcast(parts), groups, "left")
@@ -68,79 +82,107 @@ def running_totals(
         tagged = counts.crossJoin(F.broadcast(parts))
     index = F.coalesce(F.size(F.filter("_cuts", lambda e: e <= F.col(value))), F.lit(0))
     tagged = tagged.withColumn(_PART, index).drop("_cuts")
-    inside = (
-        Window.partitionBy(*groups, _PART).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    # A group has at most 4096 parts, so this window over part totals stays small.
+    inside = Window.partitionBy(*groups, _PART).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    # A group has at most MAX_PARTS parts, so this window over part totals stays small.
     part_order = F.col(_PART).desc() if descending else F.col(_PART).asc()
     before = Window.partitionBy(*groups).orderBy(part_order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        tagged.groupBy(*groups, _PART).agg(*[F.sum(c).alias("_t_" + out) for out, c in sums.items()])
-        .withColumns({"_b_" + out: F.sum("_t_" + out).over(before) for out in sums})
-    )
+    per_part = tagged.groupBy(*groups, _PART).agg(
+        *[F.sum(c).alias("_t_" + out) for out, c in {**sums, **totals}.items()]
+    ).withColumns({
+        **{"_b_" + out: F.sum("_t_" + out).over(before) for out in sums},
+        **{out: F.sum("_t_" + out).over(Window.partitionBy(*groups)) for out in totals},
+    }).drop(*["_t_" + out for out in {**sums, **totals}])
     joined = same(
-        tagged.withColumns({out: F.sum(c).over(inside) for out, c in sums.items()}),
-        totals, [*groups, _PART], "left",
+        tagged.withColumns({out: F.sum(c).over(inside) for out, c in sums.items()}), per_part, [*groups, _PART], "left",
     )
     return joined.select(
-        *counts.columns,
-        *[(F.col(out) + F.coalesce("_b_" + out, F.lit(0))).alias(out) for out in sums],
+        *counts.columns, *[(F.col(out) + F.coalesce("_b_" + out, F.lit(0))).alias(out) for out in sums], *totals,
     )
 
 
-def with_group_totals(df: DataFrame, groups: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
-    """Group aggregates joined back to the rows; one row when there are no groups."""
-    totals = df.groupBy(*groups).agg(*[c.alias(k) for k, c in aggs.items()])
-    if groups:
-        return same(df, totals, list(groups), "left")
-    return df.crossJoin(totals)
-
-
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
 
 
+def _interpolate(total: Column, p: float, lo: Column, hi: Column) -> Column:
+    pos = F.lit(float(p)) * (total - 1)
+    return lo + (hi - lo) * (pos - F.floor(pos))
+
+
+def _at_ranks(first: Column, past: Column, value: Column, total: Column, p: float) -> tuple[Column, Column]:
+    """Aggregates that pick the values at the two ranks around ``p``; a row holds ranks [first, past)."""
+    pos = F.lit(float(p)) * (total - 1)
+    pick = lambda at: F.max(F.when((first <= at) & (at < past), value))
+    return pick(F.floor(pos)), pick(F.ceil(pos))
+
+
 def percentiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    groups: Sequence[str] = (),
-    part_rows: int = PART_ROWS,
+    df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), small_rows: int = SMALL_ROWS
 ) -> DataFrame:
     """Exact percentiles with linear interpolation: one row per group, array ``pcts``."""
-    return percentiles_of_counts(value_counts(df, value, groups), value, probs, groups, part_rows)
+    groups = list(groups)
+    have = df.select(*groups, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    if have.count() <= small_rows:
+        return have.groupBy(*groups).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("pcts"))
+    # The approximate rank error is at most 1/ACCURACY, so this band holds the exact rank.
+    near = [min(1.0, max(0.0, p + side * 3 / ACCURACY)) for p in probs for side in (-1, 1)]
+    bands = have.groupBy(*groups).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(p) for p in near]), ACCURACY).alias("_q"),
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+    )
+    # In a short group the two ranks around a target can lie outside; its band is all its values.
+    whole = F.flatten(F.array_repeat(F.array("_min", "_max"), len(probs)))
+    bands = bands.withColumn("_q", F.when(F.col("_n") < 10 * ACCURACY, whole).otherwise(F.col("_q"))).drop("_min", "_max")
+    rows = bands.limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        return percentiles_of_counts(value_counts(have, "_v", groups), "_v", probs, groups)
+    return _from_bands(have, groups, df.sparkSession.createDataFrame(rows, bands.schema), probs)
+
+
+def _from_bands(have: DataFrame, groups: list[str], bands: DataFrame, probs: Sequence[float]) -> DataFrame:
+    small = F.broadcast(bands)
+    tagged = same(have, small, groups, "inner") if groups else have.crossJoin(small)
+    v, q = F.col("_v"), F.col("_q")
+    below = tagged.groupBy(*groups).agg(
+        F.max("_n").alias("_n"), *[F.count_if(v < q[2 * i]).alias(f"_below{i}") for i in range(len(probs))]
+    )
+    hits = F.array(*[F.when((v >= q[2 * i]) & (v <= q[2 * i + 1]), F.lit(i)) for i in range(len(probs))])
+    inside = tagged.select(*groups, "_v", F.explode(F.array_compact(hits)).alias("_i"))
+    counts = inside.groupBy(*groups, "_i", "_v").agg(F.count("*").alias("n"))
+    cum = running_totals(counts, "_v", {"upto": "n"}, [*groups, "_i"])
+    cum = same(cum, below, groups, "left") if groups else cum.crossJoin(below)
+    offset = F.element_at(F.array(*[F.col(f"_below{i}") for i in range(len(probs))]), F.col("_i") + 1)
+    first, past = offset + F.col("upto") - F.col("n"), offset + F.col("upto")
+    aggs = [F.max("_n").alias("_n")]
+    for i, p in enumerate(probs):
+        lo, hi = _at_ranks(first, past, F.when(F.col("_i") == i, v), F.col("_n"), p)
+        aggs += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
+    out = cum.groupBy(*groups).agg(*aggs)
+    pcts = []
+    for i, p in enumerate(probs):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        sure = F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("percentile outside its band")).cast("double")).otherwise(lo)
+        pcts.append(_interpolate(F.col("_n"), p, sure, hi))
+    return out.select(*groups, F.array(*pcts).alias("pcts"))
 
 
 def percentiles_of_counts(
     counts: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), part_rows: int = PART_ROWS
 ) -> DataFrame:
-    """The same from (groups, value, n) with one row per distinct value."""
+    """The same from (groups, value, n) with one row per distinct value, for any number of groups."""
     groups = list(groups)
-    cum = running_totals(counts, value, {"upto": "n"}, groups, part_rows=part_rows)
-    cum = with_group_totals(cum, groups, {"total": F.sum("n")})
-    v = F.col(value).cast("double")
-    picks = []
+    cum = running_totals(counts, value, {"upto": "n"}, groups, part_rows=part_rows, totals={"total": "n"})
+    v, first, past = F.col(value).cast("double"), F.col("upto") - F.col("n"), F.col("upto")
+    aggs = [F.max("total").alias("total")]
     for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("total") - 1)
-        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("upto") - F.col("n") <= at) & (at < F.col("upto"))
-            picks.append(F.max(F.when(hit, v)).alias(f"_{side}{i}"))
-    found = cum.groupBy(*groups).agg(F.max("total").alias("total"), *picks)
-    out = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("total") - 1)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append(lo + (hi - lo) * (pos - F.floor(pos)))
-    return found.select(*groups, F.array(*out).alias("pcts"))
-
+        lo, hi = _at_ranks(first, past, v, F.col("total"), p)
+        aggs += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
+    found = cum.groupBy(*groups).agg(*aggs)
+    pcts = [_interpolate(F.col("total"), p, F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i, p in enumerate(probs)]
+    return found.select(*groups, F.array(*pcts).alias("pcts"))
 
-def average_ranks(df: DataFrame, value: str, groups: Sequence[str] = (), part_rows: int = PART_ROWS) -> DataFrame:
-    """(groups, value, n, rank): the mean rank of each distinct value, from 1."""
-    cum = running_totals(value_counts(df, value, groups), value, {"upto": "n"}, groups, part_rows=part_rows)
-    return cum.select(*groups, value, "n", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
 
-
-def spearman(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
+def spearman(df: DataFrame, pairs: Mapping[str, tuple[str, str]], part_rows: int = PART_ROWS) -> DataFrame:
     """(pair, n, rho) for named column pairs; rows where either side is NULL are left out."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
@@ -148,21 +190,17 @@ def spearman(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
     ])).alias("e")).select("e.*").filter("a is not null and b is not null")
     # Equal pairs are merged first, so a frequent value is one row and no hot join key.
     joint = cut(long.groupBy("pair", "a", "b").agg(F.count("*").alias("w")))
-    ranks = {}
+    rows = joint.count()
+    both = joint
     for side in ("a", "b"):
         counts = joint.groupBy("pair", side).agg(F.sum("w").alias("n"))
-        cum = running_totals(counts, side, {"upto": "n"}, ["pair"])
-        ranks[side] = cum.select("pair", side, (F.col("upto") - (F.col("n") - 1) / 2).alias("r" + side))
-    both = joint.join(ranks["a"], ["pair", "a"]).join(ranks["b"], ["pair", "b"])
-    n = F.sum("w")
-    # Ranks average (n+1)/2, so the centred sums need no second pass.
-    mid = F.col("mid")
-    centred = both.join(
-        joint.groupBy("pair").agg(n.alias("total")).withColumn("mid", (F.col("total") + 1) / 2), "pair"
-    )
-    a, b, w = F.col("ra") - mid, F.col("rb") - mid, F.col("w")
-    out = centred.groupBy("pair").agg(
-        F.max("total").alias("n"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"),
+        cum = running_totals(counts, side, {"upto": "n"}, ["pair"], part_rows=part_rows, rows=rows, totals={"total": "n"})
+        # Average rank of equal values, measured from the middle rank (n + 1) / 2.
+        rank = F.col("upto") - (F.col("n") - 1) / 2 - (F.col("total") + 1) / 2
+        both = both.join(cum.select("pair", side, rank.alias("r" + side)), ["pair", side])
+    a, b, w = F.col("ra"), F.col("rb"), F.col("w")
+    out = both.groupBy("pair").agg(
+        F.sum(w).alias("n"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"),
     )
     scale = F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))
     return out.select("pair", "n", (F.col("ab") / F.when(scale > 0, scale)).alias("rho"))

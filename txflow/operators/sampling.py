@@ -36,7 +36,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
     return first.withColumn("_rn", F.row_number().over(final)).filter(F.col("_rn") <= n).drop("_h", "_b", "_rn")
 
 
-def stratified_rank(df: DataFrame, stratum: str, key: str, seed: int, buckets: int = 1024) -> DataFrame:
+def stratified_rank(df: DataFrame, stratum: str, key: str, seed: int, buckets: int = 65_536) -> DataFrame:
     """Add ``_rank``: position of the row in the hash order of its stratum, from 1.
 
     The rank is the rank inside a hash range plus the sizes of the lower ranges, so a
