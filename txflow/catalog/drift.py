@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from txflow.catalog.base import big, history, r, scored, scored_history, tx_events
 from txflow.catalog.registry import query
-from txflow.catalog.sql import S
+from txflow.catalog.sql import S, head
 from txflow.operators import calibration as cal
 from txflow.operators import drift
 from txflow.session import cut
@@ -37,7 +37,7 @@ _CATEGORY = "CASE WHEN psi >= 0.25 THEN 'retrain' WHEN psi >= 0.1 THEN 'watch' E
 
 
 def _d(body):
-    return S("SELECT 1", "uf").removesuffix("SELECT 1") + ", " + _SIDES + body
+    return head("uf") + ", " + _SIDES + body
 
 
 def _long(spark, sf):
@@ -96,7 +96,7 @@ _DEC = """q AS (SELECT DISTINCT unnest(quantile_cont({v}, [CAST(0 AS DOUBLE), 0.
     db AS (SELECT *, (SELECT count(*) FROM qi WHERE qi.e < {v}) AS bin FROM sc WHERE {v} IS NOT NULL)"""
 
 
-@query("d05_reliability_deciles", S("SELECT 1", "sc").removesuffix("SELECT 1") + ", " + _DEC.format(v="score_a") + """ SELECT bin, count(*) AS n,
+@query("d05_reliability_deciles", head("sc") + ", " + _DEC.format(v="score_a") + """ SELECT bin, count(*) AS n,
     CAST(sum(label) AS BIGINT) AS positives, round(avg(score_a), 6) AS mean_predicted, round(avg(label), 6) AS observed FROM db GROUP BY 1""")
 def d05(spark, sf):
     out = cal.reliability_deciles(scored(tx_events(spark, sf)), "score_a")
@@ -148,7 +148,7 @@ def _curves(spark, sf):
         0.5 * F.col("score_b") + z / 20 - F.greatest(z - 1.5, F.lit(0.0)) * F.col("merchant") / 500))
 
 
-@query("d10_response_monotonicity", S("SELECT 1", "sc").removesuffix("SELECT 1") + ", " + _GRID + """ SELECT count(*) AS n,
+@query("d10_response_monotonicity", head("sc") + ", " + _GRID + """ SELECT count(*) AS n,
     round(100 * avg(CAST(v = 0 AS INTEGER)), 6) AS monotone_pct, round(100 * avg(CAST(st = 0 AS INTEGER)), 6) AS strict_pct, round(avg(v), 6) AS mean_violations,
     round(avg(w), 6) AS mean_worst_drop, CASE WHEN 100 * avg(CAST(v = 0 AS INTEGER)) < 90 THEN 'material' WHEN 100 * avg(CAST(v = 0 AS INTEGER)) < 99 THEN 'minor' ELSE 'none' END AS severity
     FROM (SELECT tx_id, count(*) FILTER (d < -tol) AS v, count(*) FILTER (d < -1e-9) AS st, greatest(-min(d), 0) AS w FROM df GROUP BY 1)""")
@@ -158,13 +158,13 @@ def d10(spark, sf):
                       r("mean_worst_drop").alias("mean_worst_drop"), "severity")
 
 
-@query("d10_mean_response", S("SELECT 1", "sc").removesuffix("SELECT 1") + ", " + _GRID + """ SELECT CAST(i AS BIGINT) AS step, round(max(z), 6) AS value,
+@query("d10_mean_response", head("sc") + ", " + _GRID + """ SELECT CAST(i AS BIGINT) AS step, round(max(z), 6) AS value,
     round(avg(s), 6) AS mean_score FROM cv GROUP BY 1""")
 def d10m(spark, sf):
     return cal.mean_curve(_curves(spark, sf)).select(big("step").alias("step"), r("value").alias("value"), r("mean_score").alias("mean_score"))
 
 
-_TREND = S("SELECT 1", "sc").removesuffix("SELECT 1") + ", " + _DEC.format(v="user_amount_zscore") + """, tr AS (SELECT bin, count(*) AS n,
+_TREND = head("sc") + ", " + _DEC.format(v="user_amount_zscore") + """, tr AS (SELECT bin, count(*) AS n,
     avg(user_amount_zscore) AS z, avg(score_b) AS p, avg(label) AS o FROM db GROUP BY 1)"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from txflow.catalog.base import big, history, r, rt, tx_events, tx_orders
 from txflow.catalog.registry import query
-from txflow.catalog.sql import S
+from txflow.catalog.sql import S, head
 from txflow.operators import graph
 from txflow.operators.split import chrono_split
 
@@ -60,14 +60,14 @@ _RING = """ring AS (SELECT o.merchant, observed, coalesce(expected, 0) AS expect
      (SELECT avg(label) AS rate FROM tx) GROUP BY 1) e ON e.merchant = o.merchant)"""
 
 
-@query("g04_ring_table", S("SELECT 1", "tx").removesuffix("SELECT 1") + ", " + _RING + """ SELECT merchant, observed, round(expected, 6) AS expected,
+@query("g04_ring_table", head("tx") + ", " + _RING + """ SELECT merchant, observed, round(expected, 6) AS expected,
     round(excess, 6) AS excess, round(ratio, 6) AS ratio, CAST(excess >= 2 AND ratio >= 1.5 AS BIGINT) AS is_excess FROM ring""")
 def g04(spark, sf):
     return graph.ring_table(tx_events(spark, sf)).select(
         "merchant", "observed", r("expected").alias("expected"), r("excess").alias("excess"), r("ratio").alias("ratio"), big("is_excess").alias("is_excess"))
 
 
-@query("g04_ring_verdict", S("SELECT 1", "tx").removesuffix("SELECT 1") + ", " + _RING + """ SELECT count(*) AS merchants, max(observed) AS max_users,
+@query("g04_ring_verdict", head("tx") + ", " + _RING + """ SELECT count(*) AS merchants, max(observed) AS max_users,
     count(*) FILTER (observed >= 2) AS multi_user, count(*) FILTER (excess >= 2 AND ratio >= 1.5) AS excess_merchants,
     round(avg(ratio), 6) AS mean_ratio, round(quantile_cont(ratio, CAST(0.5 AS DOUBLE)), 6) AS median_ratio,
     CASE WHEN 100.0 * count(*) FILTER (excess >= 2 AND ratio >= 1.5) / count(*) < 5 THEN 'no_evidence'

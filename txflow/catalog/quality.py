@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from txflow.catalog.base import big, confident, model_long, r, routed, scored, scored_history, tx_events, tx_orders
 from txflow.catalog.registry import query
-from txflow.catalog.sql import S
+from txflow.catalog.sql import S, head
 from txflow.functions import decide
 from txflow.functions.clean import zero_out
 from txflow.operators import evaluate as ev
@@ -72,7 +72,7 @@ def e06(spark, sf):
     return out.select("model", "tp", "fp", "fn", "tn", *[r(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("e07_class_report", S("SELECT 1", "long").removesuffix("SELECT 1") + f""", c AS (SELECT {_AT} FROM long WHERE model = 'a'),
+@query("e07_class_report", head("long") + f""", c AS (SELECT {_AT} FROM long WHERE model = 'a'),
     k AS (SELECT '1' AS class, CAST(tp AS DOUBLE) / (tp + fp) AS p, CAST(tp AS DOUBLE) / (tp + fn) AS rc, 2.0 * tp / (2 * tp + fp + fn) AS f, tp + fn AS s FROM c
      UNION ALL SELECT '0', CAST(tn AS DOUBLE) / (tn + fn), CAST(tn AS DOUBLE) / (tn + fp), 2.0 * tn / (2 * tn + fp + fn), tn + fp FROM c)
     SELECT class, round(p, 6) AS "precision", round(rc, 6) AS recall, round(f, 6) AS f1, s AS support FROM k
@@ -124,7 +124,7 @@ def _grouped_ap(source: str, bucket: str) -> str:
 _FIXED_BUCKET = " + ".join(f"CAST(user_tx_count >= {e} AS INTEGER)" for e in _EDGES[1:-1])
 
 
-@query("e09_position_buckets", S("SELECT 1", "long").removesuffix("SELECT 1") + _grouped_ap("long", _FIXED_BUCKET))
+@query("e09_position_buckets", head("long") + _grouped_ap("long", _FIXED_BUCKET))
 def e09(spark, sf):
     df = scored_history(spark, sf).withColumn("bucket", ev.position_bucket("user_tx_count", _EDGES))
     out = ev.bucket_average_precision(df, "bucket", {"a": "score_a", "b": "score_b"})
@@ -136,14 +136,14 @@ _QUART = """(SELECT long.*, CAST(user_tx_count >= floor(q1) AS INTEGER) + CAST(u
      quantile_cont(CAST(user_tx_count AS DOUBLE), CAST(0.75 AS DOUBLE)) AS q3 FROM uf))"""
 
 
-@query("e09_quartile_buckets", S("SELECT 1", "long").removesuffix("SELECT 1") + _grouped_ap(_QUART, "qb"))
+@query("e09_quartile_buckets", head("long") + _grouped_ap(_QUART, "qb"))
 def e09q(spark, sf):
     df = ev.quartile_buckets(scored_history(spark, sf), "user_tx_count")
     out = ev.bucket_average_precision(df, "bucket", {"a": "score_a", "b": "score_b"})
     return out.select(big("bucket").alias("bucket"), "n", "positives", r("a").alias("a"), r("b").alias("b"))
 
 
-@query("e10_uniformity", S("SELECT 1", "long").removesuffix("SELECT 1") + _grouped_ap(_QUART, "qb").replace(
+@query("e10_uniformity", head("long") + _grouped_ap(_QUART, "qb").replace(
     "SELECT CAST(bucket AS BIGINT) AS bucket,", ", t AS (SELECT bucket,").replace(
     "round(max(ap) FILTER (model = 'a'), 6) AS a, round(max(ap) FILTER (model = 'b'), 6) AS b FROM ap GROUP BY 1",
     "max(ap) FILTER (model = 'b') - max(ap) FILTER (model = 'a') AS d FROM ap GROUP BY 1)") +
@@ -288,14 +288,14 @@ _CMP = f""", cmp AS (SELECT model, max(ap) AS ap, max_by(threshold, f1 - thresho
     sum(CAST(p AS DOUBLE) * tp / flagged) OVER (PARTITION BY model) / pos AS ap, {_PRF} FROM curve) GROUP BY 1)"""
 
 
-@query("e21_model_comparison", S("SELECT 1", "curve").removesuffix("SELECT 1") + _CMP +
+@query("e21_model_comparison", head("curve") + _CMP +
        " SELECT model, round(ap, 6) AS average_precision, best_threshold, round(best_f1, 6) AS best_f1 FROM cmp")
 def e21(spark, sf):
     out = ev.compare_models(_plain_long(spark, sf))
     return out.select("model", r("average_precision").alias("average_precision"), "best_threshold", r("best_f1").alias("best_f1"))
 
 
-@query("e22_model_change", S("SELECT 1", "curve").removesuffix("SELECT 1") + _CMP + """ SELECT round(a.ap, 6) AS before, round(b.ap, 6) AS after,
+@query("e22_model_change", head("curve") + _CMP + """ SELECT round(a.ap, 6) AS before, round(b.ap, 6) AS after,
     round(b.ap - a.ap, 6) AS delta, round((b.ap - a.ap) * 100 / a.ap, 4) AS change_pct,
     CASE WHEN b.ap > a.ap THEN 'improved' WHEN b.ap < a.ap THEN 'regressed' ELSE 'unchanged' END AS verdict
     FROM cmp a, cmp b WHERE a.model = 'a' AND b.model = 'b'""")
@@ -317,7 +317,7 @@ def _zeroed(cols):
     return e
 
 
-@query("e23_feature_ablation", S("SELECT 1", "uf").removesuffix("SELECT 1") + ", v AS (" + " UNION ALL ".join(
+@query("e23_feature_ablation", head("uf") + ", v AS (" + " UNION ALL ".join(
     f"SELECT '{n}' AS variant, label, {_zeroed(c)} AS s FROM uf" for n, c in _PARTS.items()) + """),
     c AS (SELECT variant, sum(n) OVER w AS flagged, sum(p) OVER w AS tp, p FROM (SELECT variant, s, count(*) AS n, sum(label) AS p FROM v GROUP BY ALL)
      WINDOW w AS (PARTITION BY variant ORDER BY s DESC)), a AS (SELECT variant, sum(CAST(p AS DOUBLE) * tp / flagged) / sum(p) AS ap FROM c GROUP BY 1)
@@ -361,7 +361,7 @@ def e24(spark, sf):
     return out.select("variant", "blocks", "tp", *[r(c).alias(c) for c in ("block_precision", "rare_block_rate", "new_mcc_block_rate")])
 
 
-@query("e25_validation_gate", S("SELECT 1", "curve").removesuffix("SELECT 1") + _CMP + """, f AS (SELECT model, 2.0 * tp / (2 * tp + fp + fn) AS f1 FROM
+@query("e25_validation_gate", head("curve") + _CMP + """, f AS (SELECT model, 2.0 * tp / (2 * tp + fp + fn) AS f1 FROM
     (SELECT model, count(*) FILTER (score >= 0.6 AND label = 1) AS tp, count(*) FILTER (score >= 0.6 AND label = 0) AS fp,
      count(*) FILTER (score < 0.6 AND label = 1) AS fn FROM long GROUP BY 1))
     SELECT round(b.ap - a.ap, 6) AS ap_change, round(fb.f1 - fa.f1, 6) AS f1_change,
@@ -375,7 +375,7 @@ def e25(spark, sf):
     return out.select(r("ap_change").alias("ap_change"), r("f1_change").alias("f1_change"), "decision")
 
 
-@query("e26_fusion_check", S("SELECT 1", "sc").removesuffix("SELECT 1") + """, v AS (SELECT label, m, s FROM sc, LATERAL (SELECT unnest(['a', 'b', 'fused']) AS m,
+@query("e26_fusion_check", head("sc") + """, v AS (SELECT label, m, s FROM sc, LATERAL (SELECT unnest(['a', 'b', 'fused']) AS m,
      unnest([score_a, score_b, round(0.9 * score_a + 0.1 * score_b, 6)]) AS s)), c AS (SELECT m, sum(n) OVER w AS flagged, sum(p) OVER w AS tp, p FROM
     (SELECT m, s, count(*) AS n, sum(label) AS p FROM v GROUP BY ALL) WINDOW w AS (PARTITION BY m ORDER BY s DESC)),
     t AS (SELECT m, sum(CAST(p AS DOUBLE) * tp / flagged) / sum(p) AS ap FROM c GROUP BY 1)
@@ -403,7 +403,7 @@ def _attempts(spark, sf):
         F.col("merchant").cast("double").alias("merchant_before"), (F.col("merchant") + F.col("attempt")).cast("double").alias("merchant_after"))
 
 
-@query("e27_evasion_report", S("SELECT 1", "sc").removesuffix("SELECT 1") + ", " + _ATT + """ SELECT count(*) AS catchable, CAST(sum(d) AS BIGINT) AS evaded_det,
+@query("e27_evasion_report", head("sc") + ", " + _ATT + """ SELECT count(*) AS catchable, CAST(sum(d) AS BIGINT) AS evaded_det,
     CAST(sum(e) AS BIGINT) AS evaded_any, round(avg(d), 6) AS rate_det, round(avg(e), 6) AS rate_any FROM (SELECT row_id,
      max(CAST(attempt = 0 AND score_after < 0.6 AS INTEGER)) AS d, max(CAST(score_after < 0.6 AS INTEGER)) AS e FROM att WHERE score_before >= 0.6 GROUP BY 1)""")
 def e27(spark, sf):
@@ -411,7 +411,7 @@ def e27(spark, sf):
     return out.select("catchable", "evaded_det", "evaded_any", r("rate_det").alias("rate_det"), r("rate_any").alias("rate_any"))
 
 
-@query("e28_perturbation_profile", S("SELECT 1", "sc").removesuffix("SELECT 1") + ", " + _ATT + "\nUNION ALL ".join(
+@query("e28_perturbation_profile", head("sc") + ", " + _ATT + "\nUNION ALL ".join(
     f""" SELECT '{f}' AS feature, round(avg(abs({f}_after - {f}_before)) / stddev_pop({f}_before), 6) AS shift, count(*) FILTER ({f}_after <> {f}_before) AS changed FROM att"""
     for f in ("amount", "merchant")))
 def e28(spark, sf):
@@ -419,13 +419,13 @@ def e28(spark, sf):
     return out.select("feature", r("shift").alias("shift"), "changed")
 
 
-@query("e28_score_drop", S("SELECT 1", "sc").removesuffix("SELECT 1") + ", " + _ATT + """ SELECT round(avg(score_before - score_after), 6) AS mean_drop,
+@query("e28_score_drop", head("sc") + ", " + _ATT + """ SELECT round(avg(score_before - score_after), 6) AS mean_drop,
     round(max(score_before - score_after), 6) AS max_drop, round(stddev_samp(score_before - score_after), 6) AS std_drop FROM att""")
 def e28d(spark, sf):
     return ev.score_drop(_attempts(spark, sf)).select(*[r(c).alias(c) for c in ("mean_drop", "max_drop", "std_drop")])
 
 
-@query("e29_robustness_verdict", S("SELECT 1", "sc").removesuffix("SELECT 1") + ", " + _ATT + """ SELECT round(x, 6) AS rate_any,
+@query("e29_robustness_verdict", head("sc") + ", " + _ATT + """ SELECT round(x, 6) AS rate_any,
     CASE WHEN x < 0.1 THEN 'structural' WHEN x > 0.5 THEN 'overfit' ELSE 'partial' END AS verdict FROM (SELECT avg(e) AS x FROM
     (SELECT row_id, max(CAST(score_after < 0.6 AS INTEGER)) AS e FROM att WHERE score_before >= 0.6 GROUP BY 1))""")
 def e29(spark, sf):
@@ -444,7 +444,7 @@ def _both(spark, sf):
     return real.unionByName(fake)
 
 
-@query("e30_fidelity", S("SELECT 1", "tx").removesuffix("SELECT 1") + ", " + _SYN + "\nUNION ALL ".join(f""" SELECT '{c}' AS feature,
+@query("e30_fidelity", head("tx") + ", " + _SYN + "\nUNION ALL ".join(f""" SELECT '{c}' AS feature,
     round(avg({c}) FILTER (source = 'real'), 5) AS mean_r, round(avg({c}) FILTER (source = 'synthetic'), 5) AS mean_s,
     round(stddev_samp({c}) FILTER (source = 'real'), 5) AS std_r, round(stddev_samp({c}) FILTER (source = 'synthetic'), 5) AS std_s,
     count(*) FILTER (source = 'synthetic' AND {c} < (SELECT min({c}) FROM syn WHERE source = 'real')) AS below,
@@ -454,14 +454,14 @@ def e30(spark, sf):
     return out.select("feature", *[r(c, 5).alias(c) for c in ("mean_r", "mean_s", "std_r", "std_s")], "below", "above")
 
 
-@query("e30_correlation_deltas", S("SELECT 1", "tx").removesuffix("SELECT 1") + ", " + _SYN + """ SELECT 'amount_merchant' AS pair, round(a, 6) AS r, round(b, 6) AS s,
+@query("e30_correlation_deltas", head("tx") + ", " + _SYN + """ SELECT 'amount_merchant' AS pair, round(a, 6) AS r, round(b, 6) AS s,
     round(abs(b - a), 6) AS delta FROM (SELECT corr(amount, merchant) FILTER (source = 'real') AS a, corr(amount, merchant) FILTER (source = 'synthetic') AS b FROM syn)""")
 def e30c(spark, sf):
     out = ev.correlation_deltas(_both(spark, sf), {"amount_merchant": ("amount", "merchant")})
     return out.select("pair", r("r").alias("r"), r("s").alias("s"), r("delta").alias("delta"))
 
 
-@query("e31_banks_helped", S("SELECT 1", "txo").removesuffix("SELECT 1") + """, v AS (SELECT CAST(floor((dense_rank() OVER (ORDER BY "user") - 1) / 150) AS BIGINT) AS bank, label,
+@query("e31_banks_helped", head("txo") + """, v AS (SELECT CAST(floor((dense_rank() OVER (ORDER BY "user") - 1) / 150) AS BIGINT) AS bank, label,
      round(amount / 500000, 3) AS sa, round(((merchant * 37) % 25) / 25.0, 3) AS sb FROM txo), l AS (SELECT bank, label, 'a' AS m, sa AS s FROM v UNION ALL SELECT bank, label, 'b', sb FROM v),
     c AS (SELECT bank, m, sum(n) OVER w AS flagged, sum(p) OVER w AS tp, p FROM (SELECT bank, m, s, count(*) AS n, sum(label) AS p FROM l GROUP BY ALL)
      WINDOW w AS (PARTITION BY bank, m ORDER BY s DESC)), t AS (SELECT bank, m, sum(CAST(p AS DOUBLE) * tp / flagged) / sum(p) AS ap FROM c GROUP BY ALL)

@@ -8,7 +8,7 @@ from txflow.catalog.base import (
     NULLABLE, big, confident, history, r, rt, raw_events, routed, scored, scored_history, tx_events, tx_orders,
 )
 from txflow.catalog.registry import query
-from txflow.catalog.sql import REASON, S, route_sql
+from txflow.catalog.sql import REASON, S, head, route_sql
 from txflow.functions import clean as c
 from txflow.functions import decide
 from txflow.operators import encode
@@ -98,7 +98,7 @@ _SPLIT = """, sp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY "user"
     <= floor(count(*) OVER (PARTITION BY "user") * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split FROM {src}) """
 
 
-@query("f12_frequency_encode", S("SELECT 1", "tx").removesuffix("SELECT 1") + _SPLIT.format(src="tx") + """
+@query("f12_frequency_encode", head("tx") + _SPLIT.format(src="tx") + """
     SELECT tx_id, round(coalesce(f.code, 0), 6) AS code FROM sp LEFT JOIN
     (SELECT merchant, ln(1 + count(*)) AS code FROM sp WHERE split = 'train' GROUP BY 1) f ON sp.merchant = f.merchant""")
 def f12(spark, sf):
@@ -107,7 +107,7 @@ def f12(spark, sf):
     return encode.apply_codes(df, codes, "merchant", "code").select("tx_id", r("code").alias("code"))
 
 
-@query("f13_label_encode", S("SELECT 1", "txo").removesuffix("SELECT 1") + _SPLIT.format(src="txo") + """
+@query("f13_label_encode", head("txo") + _SPLIT.format(src="txo") + """
     SELECT tx_id, CAST(coalesce(f.code, 0) AS BIGINT) AS code FROM sp LEFT JOIN
     (SELECT city, row_number() OVER (ORDER BY city) - 1 AS code FROM (SELECT DISTINCT city FROM sp WHERE split = 'train')) f
     ON sp.city = f.city""")
@@ -117,7 +117,7 @@ def f13(spark, sf):
     return encode.apply_codes(df, codes, "city", "code").select("tx_id", big("code").alias("code"))
 
 
-@query("f14_standard_scale", S("SELECT 1", "txo").removesuffix("SELECT 1") + _SPLIT.format(src="txo") + """
+@query("f14_standard_scale", head("txo") + _SPLIT.format(src="txo") + """
     SELECT tx_id, round((amount - m) / s, 6) AS z_amount, round(amount, 2) AS back,
      CAST(0 AS DOUBLE) AS z_const FROM sp, (SELECT avg(amount) AS m, stddev_pop(amount) AS s FROM sp WHERE split = 'train')""")
 def f14(spark, sf):

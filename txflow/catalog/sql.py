@@ -177,8 +177,8 @@ _CTES = {
 }
 
 
-def S(body: str, *names: str) -> str:  # noqa: N802
-    """``body`` with the named expressions and what they need in front."""
+def head(*names: str) -> str:
+    """The WITH list of the named expressions and what they need, to be continued."""
     need: list[str] = []
 
     def add(n):
@@ -189,5 +189,9 @@ def S(body: str, *names: str) -> str:  # noqa: N802
 
     for n in names:
         add(n)
-    head = ",\n".join(f"{n} AS ({_CTES[n][1]})" for n in need)
-    return (f"WITH {head}\n{body}") if need else body
+    return "WITH " + ",\n".join(f"{n} AS ({_CTES[n][1]})" for n in need) + "\n"
+
+
+def S(body: str, *names: str) -> str:  # noqa: N802
+    """``body`` with the named expressions in front."""
+    return (head(*names) if names else "") + body

@@ -17,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows of one key that one task may sort and scan.
 HOT_ROWS = 4_000_000
@@ -24,7 +25,7 @@ HOT_ROWS = 4_000_000
 # them, holds less than 1/10000 of the table and stays on the plain window path.
 MAX_HEAVY = 10_000
 
-SLICE, LO, WIDTH, SLICES, TOTAL = "_slice", "_lo", "_width", "_slices", "_total"
+GROUP, SLICE, LO, WIDTH, SLICES, TOTAL = "_group", "_slice", "_lo", "_width", "_slices", "_total"
 _FIRST, _BEFORE = Window.unboundedPreceding, -1
 
 
@@ -341,9 +342,14 @@ class LastYearMean(Feature):
 
 
 def same(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str) -> DataFrame:
-    """Equi-join that matches NULL keys too and keeps the left columns."""
+    """Equi-join that matches NULL keys too and keeps the left columns.
+
+    Columns with a leading underscore are the library's own and never NULL; they are
+    compared plainly, so that a join can reuse the partitioning of a window before it.
+    """
     right = right.select(*[F.col(c).alias("_j_" + c) if c in cols else F.col(c) for c in right.columns])
-    on = reduce(lambda a, b: a & b, [left[c].eqNullSafe(right["_j_" + c]) for c in cols])
+    pairs = [(left[c], right["_j_" + c], c.startswith("_")) for c in cols]
+    on = reduce(lambda a, b: a & b, [a == b if own else a.eqNullSafe(b) for a, b, own in pairs])
     joined = left.join(right, on, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*["_j_" + c for c in cols])
 
@@ -370,12 +376,13 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], ts: str = "ts", hot_rows: int
         .withColumn(WIDTH, (F.col("_hi") - F.col(LO) + 1) / F.col(SLICES))
         .drop("_hi")
     )
-    rows = stats.collect()
-    return df.sparkSession.createDataFrame(rows, stats.schema) if rows else None
+    rows = [(*r, i) for i, r in enumerate(stats.collect())]
+    schema = T.StructType([*stats.schema, T.StructField(GROUP, T.IntegerType(), False)])
+    return df.sparkSession.createDataFrame(rows, schema) if rows else None
 
 
 def split_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame | None, ts: str = "ts"):
-    """(rows of ordinary keys, rows of heavy keys with their slice, or None)."""
+    """(rows of ordinary keys, rows of heavy keys with their number and slice, or None)."""
     if heavy is None:
         return df, None
     small = F.broadcast(heavy)
@@ -413,7 +420,7 @@ def prior(
             cols = {k: c for f in layer if f.own_order is own for k, c in f.plain(order).items()}
             cold = cold.withColumns(cols) if cols else cold
         if hot is not None:
-            hot = _carry(hot, layer, order)
+            hot = _carry(hot, layer, Order((GROUP,), ts, tx))
     if hot is None:
         return cold
     return cold.unionByName(hot.select(*cold.columns))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txflow.operators.history import HOT_ROWS, SLICE, Order, PriorCount, _carry, heavy_keys, split_heavy
+from txflow.operators.history import GROUP, HOT_ROWS, SLICE, Order, PriorCount, _carry, heavy_keys, split_heavy
 from txflow.schema import BASE_COLUMNS, WINDOW
 
 
@@ -31,13 +31,13 @@ def build_windows(df: DataFrame, cols: Sequence[str] = BASE_COLUMNS, keys: Seque
     })
     if hot is not None:
         at = F.col("_at")
-        ranked = _carry(hot, [PriorCount("_at")], order).drop(SLICE)
+        ranked = _carry(hot, [PriorCount("_at")], Order((GROUP,), ts, tx)).drop(SLICE)
         home = F.floor(at / block_rows)
         halo = at % block_rows > block_rows - size
         placed = ranked.withColumn("_home", home).withColumn(
             "_block", F.explode(F.when(halo, F.array(home, home + 1)).otherwise(F.array(home)))
         )
-        block = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(1 - size, 0)
+        block = Window.partitionBy(GROUP, "_block").orderBy("_at").rowsBetween(1 - size, 0)
         placed = placed.withColumn("seq", F.collect_list(item).over(block)).filter("_block = _home")
         out = out.unionByName(placed.select(*out.columns))
     keep = (F.size("seq") == size) & ((F.col("_at") - (size - 1)) % stride == 0)

@@ -19,6 +19,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # A join after a window keeps the window's partitioning; keys too heavy for one
+        # task are sliced before, so the coarser partitioning is not a skewed one.
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
     )
     if master:
         builder = builder.master(master)

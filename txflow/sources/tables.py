@@ -13,6 +13,8 @@ CHANNELS = ("Swipe Transaction", "Online Transaction", "Chip Transaction")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A test table. Its timestamps carry no zone and are read as UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
