@@ -137,3 +137,28 @@ def test_no_refit_without_drift(spark, sf):
     model = learning.train(df, inputs, kind="linear")
     out = flows.refit_on_drift(model, df, df, df, inputs, ["amount"], 0.5, kind="linear")
     assert out.gate is None and not out.promoted and out.trigger.first()["retrain"] == 0
+
+
+def test_running_decision_counters(spark, tmp_path):
+    put(tmp_path, "a.txt", messages())
+    stream = st.transactions_of(io.read_topic(spark, "text", path=str(tmp_path / "in")))
+    counts = st.decision_counters(st.score_stream(stream, lambda d: d.withColumn("score", F.lit(0.99))))
+    st.start_table(counts, str(tmp_path / "out"), str(tmp_path / "checkpoint"), drain=True).awaitTermination()
+    got = {r["decision"]: (r["n"], r["model_invoked"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["approve"] == (8, 0) and sum(n for n, _ in got.values()) == 10 and sum(m for _, m in got.values()) == 1
+
+
+def test_merchant_table_joins_the_stream(spark, tmp_path):
+    put(tmp_path, "a.txt", messages())
+    table = spark.createDataFrame([("M-A", 0.25)], "merchant string, merch_large_tx_rate double")
+    score = lambda d: d.withColumn("score", F.coalesce("merch_large_tx_rate", F.lit(0.0)))
+    rows = drain(spark, tmp_path, lambda s: st.score_stream(s, score, merchants=table)).collect()
+    assert len(rows) == 10 and [r["fraud_score_raw"] for r in rows if r["position"] == 9] == [0.25]
+
+
+def test_state_of_one_user_can_be_read_back(spark, tmp_path):
+    put(tmp_path, "a.txt", messages())
+    drain(spark, tmp_path, st.stream_features)
+    state = io.read_state(spark, str(tmp_path / "checkpoint"), stateVarName="moments")
+    row = io.user_history(state.select("key.user", "value.*"), "stream-test-user").first()
+    assert row["n"] == 10 and row["top"] == 200

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txflow.catalog.base import big, history, r, scored, scored_history, tx_events
+from txflow.catalog.base import big, history, model_long, r, scored, scored_history, tx_events
 from txflow.catalog.registry import query
 from txflow.catalog.sql import S, head
 from txflow.operators import calibration as cal
 from txflow.operators import drift
+from txflow.operators.joining import with_row
 from txflow.session import cut
 
 # Reference: the first 60 % of the ids; monitored: the rest, with the amount moved and more values missing.
@@ -45,7 +46,7 @@ def _long(spark, sf):
     df = cut(history(spark, sf).select("tx_id", "ts", "amount", "merchant", "label", "user_amount_zscore"))
     edge = df.agg((0.6 * F.max("tx_id")).alias("_edge"))
     k = F.col("merchant")
-    df = df.crossJoin(F.broadcast(edge)).withColumn("side", F.when(F.col("tx_id") < F.col("_edge"), "ref").otherwise("mon"))
+    df = with_row(df, edge).withColumn("side", F.when(F.col("tx_id") < F.col("_edge"), "ref").otherwise("mon"))
     mon = F.col("side") == "mon"
     df = df.withColumns({
         "amount": F.when(mon, F.col("amount") * 1.25).otherwise(F.col("amount")), "hour": F.hour("ts"),
@@ -85,8 +86,6 @@ def d03(spark, sf):
 @query("d04_brier", S("""SELECT model, round(bs, 6) AS brier, round(p * (1 - p), 6) AS baseline, round(1 - bs / (p * (1 - p)), 6) AS skill FROM
     (SELECT model, avg((score - label) * (score - label)) AS bs, avg(label) AS p FROM long GROUP BY 1)""", "long"))
 def d04(spark, sf):
-    from txflow.catalog.base import model_long
-
     out = cal.brier(model_long(scored(tx_events(spark, sf))), "score", "label", "model")
     return out.select("model", r("brier").alias("brier"), r("baseline").alias("baseline"), r("skill").alias("skill"))
 

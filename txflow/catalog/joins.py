@@ -11,6 +11,7 @@ from txflow.operators import features as ft
 from txflow.operators import reports
 from txflow.operators.encode import apply_codes, frequency_table
 from txflow.operators.graph import expected_positive_users, observed_positive_users
+from txflow.operators.joining import with_row
 from txflow.operators.split import chrono_split, leaks, mismatches
 from txflow.operators.windows import build_windows
 from txflow.sources.tables import table
@@ -99,7 +100,7 @@ def j11(spark, sf):
     cols = ["user", "label"]
     same_rows = mismatches(df, ft.amount_history(df), "tx_id", cols).agg(F.count("*").alias("same_table"))
     flipped = mismatches(df, df.withColumn("label", F.lit(0)), "tx_id", cols).agg(F.count("*").alias("after_flip"))
-    return same_rows.crossJoin(flipped)
+    return with_row(same_rows, flipped)
 
 
 @query("j12_label_by_merchant_segment", S("""SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives,

@@ -11,6 +11,7 @@ from txflow.functions import decide
 from txflow.functions.clean import zero_out
 from txflow.operators import evaluate as ev
 from txflow.operators import metrics as mt
+from txflow.operators.joining import with_row
 from txflow.operators.ordered import spearman
 from txflow.operators.split import banks
 
@@ -331,7 +332,7 @@ def e23(spark, sf):
         long = part if long is None else long.unionByName(part)
     table = ev.compare_models(long)
     full = table.filter("model = 'full'").select(F.col("average_precision").alias("_full"))
-    return table.crossJoin(full).select(F.col("model").alias("variant"), r("average_precision", 5).alias("average_precision"),
+    return with_row(table, full).select(F.col("model").alias("variant"), r("average_precision", 5).alias("average_precision"),
                                         r(F.col("average_precision") - F.col("_full"), 5).alias("delta"))
 
 
@@ -385,7 +386,7 @@ def e26(spark, sf):
     table = ev.compare_models(model_long(df, {"a": "score_a", "b": "score_b", "fused": "fused"}))
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("average_precision")))
     flag = table.agg((pick("fused") <= pick("a")).cast("bigint").alias("null_result"))
-    return table.crossJoin(flag).select("model", r("average_precision").alias("average_precision"), "null_result")
+    return with_row(table, flag).select("model", r("average_precision").alias("average_precision"), "null_result")
 
 
 # Attempts on the same row: one deterministic and two weaker ones, with a closed-form outcome.

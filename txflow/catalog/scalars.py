@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txflow.catalog.base import (
-    NULLABLE, big, confident, history, r, rt, raw_events, routed, scored, scored_history, tx_events, tx_orders,
+    NULLABLE, big, confident, history, r, rt, raw_events, routed, scored, tx_events, tx_orders,
 )
 from txflow.catalog.registry import query
 from txflow.catalog.sql import REASON, S, head, route_sql

@@ -8,15 +8,13 @@ from txflow.catalog.base import big, r, scored, tx_events, tx_orders
 from txflow.catalog.registry import query
 from txflow.catalog.sql import S
 from txflow.operators import reports, sampling
-from txflow.operators.features import daily_volume
+from txflow.operators.features import amount_history, daily_volume
 from txflow.operators.learning import top_by_magnitude
 from txflow.operators.split import chrono_split, first_success
 
 
 @query("o01_sorted_rows", S("""SELECT tx_id, row_number() OVER (PARTITION BY "user" ORDER BY ts, tx_id) - 1 AS at FROM txo""", "txo"))
 def o01(spark, sf):
-    from txflow.operators.features import amount_history
-
     return amount_history(tx_orders(spark, sf)).sort("user", "ts", "tx_id").select("tx_id", F.col("user_tx_count").alias("at"))
 
 

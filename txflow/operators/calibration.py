@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txflow.functions.clean import bin_index
+from txflow.operators.joining import with_row
 from txflow.operators.ordered import percentiles, spearman
 from txflow.operators.sampling import stratified_split
 from txflow.session import cut
@@ -42,7 +43,7 @@ def quantile_bin(df: DataFrame, value: str, n: int = 10) -> DataFrame:
     q = percentiles(df, value, [i / n for i in range(n + 1)]).select(F.array_distinct("pcts").alias("_edges"))
     inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
     b = F.size(F.filter(inner, lambda e: e < F.col(value)))
-    return df.crossJoin(F.broadcast(q)).withColumn("bin", b).drop("_edges")
+    return with_row(df, q).withColumn("bin", b).drop("_edges")
 
 
 def reliability_deciles(df: DataFrame, prob: str, label: str = "label", n: int = 10) -> DataFrame:
@@ -84,7 +85,7 @@ def recalibration(df: DataFrame, prob: str, label: str = "label", key: str = "tx
     raw = F.max(F.when(F.col("method") == "raw", F.col("ece")))
     p, i = (F.max(F.when(F.col("method") == m, F.col("ece"))) for m in ("platt", "isotonic"))
     best = F.when((raw - p > 0.001) | (raw - i > 0.001), F.when(i <= p, "isotonic").otherwise("platt")).otherwise("none")
-    return table.select("method", "brier", "skill", "ece").crossJoin(table.agg(best.alias("best")))
+    return with_row(table.select("method", "brier", "skill", "ece"), table.agg(best.alias("best")))
 
 
 def _merge_equal(fit: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def response_curves(df: DataFrame, grid: DataFrame, score_at: Callable[[Column],
 
     Evaluated inside the row, so rows are not multiplied and nothing is shuffled.
     """
-    return df.crossJoin(F.broadcast(grid)).withColumn("curve", F.transform("grid", score_at))
+    return with_row(df, grid).withColumn("curve", F.transform("grid", score_at))
 
 
 def monotone_rows(curves: DataFrame) -> DataFrame:

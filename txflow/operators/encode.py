@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txflow.operators.history import same
+from txflow.operators.joining import same, with_row
 from txflow.operators.ordered import running_totals
 
 
@@ -71,8 +71,8 @@ def scaler_stats(train: DataFrame, cols: Sequence[str], sample: bool = False, mi
 
 
 def scale(df: DataFrame, stats: DataFrame, cols: Sequence[str], inverse: bool = False) -> DataFrame:
-    """(x - mean) / std, or back; ``stats`` is one row, so it is broadcast."""
-    out = df.crossJoin(F.broadcast(stats))
+    """(x - mean) / std, or back; ``stats`` is one row."""
+    out = with_row(df, stats)
     done = {}
     for i, c in enumerate(cols):
         m, s = F.col(f"m_{i}"), F.col(f"s_{i}")

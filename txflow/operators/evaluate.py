@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from txflow.functions import decide
 from txflow.functions.clean import bin_index
+from txflow.operators.joining import with_row
 from txflow.operators.metrics import average_precision, confusion, pr_curve, summary_from_curve
 from txflow.operators.ordered import percentiles
 from txflow.operators.reports import ratio, wide_to_rows
@@ -56,7 +57,7 @@ def model_change(table: DataFrame, before: str, after: str, metric: str = "avera
     a = table.filter(F.col("model") == after).select(F.col(metric).alias("after"))
     delta = F.col("after") - F.col("before")
     verdict = F.when(delta > 0, "improved").when(delta < 0, "regressed").otherwise("unchanged")
-    return b.crossJoin(a).withColumns({"delta": delta, "change_pct": relative_change("before", "after"), "verdict": verdict})
+    return with_row(b, a).withColumns({"delta": delta, "change_pct": relative_change("before", "after"), "verdict": verdict})
 
 
 # --- position -----------------------------------------------------------------------------
@@ -70,7 +71,7 @@ def quartile_buckets(df: DataFrame, position: str) -> DataFrame:
     """Add ``bucket`` 0-3 by the truncated quartiles of the position."""
     q = percentiles(df, position, [0.25, 0.5, 0.75])
     b = F.size(F.filter("pcts", lambda e: F.floor(e) <= F.col(position)))
-    return df.crossJoin(F.broadcast(q)).withColumn("bucket", b).drop("pcts")
+    return with_row(df, q).withColumn("bucket", b).drop("pcts")
 
 
 def bucket_average_precision(df: DataFrame, bucket: str, scores: dict[str, str], label: str = "label",
@@ -118,10 +119,9 @@ def evidence(uniformity_row: DataFrame, proxies: DataFrame, score_rho: DataFrame
 
     ``proxies`` has the count ``n`` of features with |rho| > .5, ``score_rho`` the column ``rho``.
     """
-    row = (
-        uniformity_row.select(F.col("verdict").alias("u")).crossJoin(proxies.select("n"))
-        .crossJoin(score_rho.select("rho")).crossJoin(skew_row.select(F.col("verdict").alias("s")))
-    )
+    row = uniformity_row.select(F.col("verdict").alias("u"))
+    for other in (proxies.select("n"), score_rho.select("rho"), skew_row.select(F.col("verdict").alias("s"))):
+        row = with_row(row, other)
     one = lambda c: c.cast("int")
     moves = F.coalesce(F.abs("rho") > 0.1, F.lit(False))
     n_for = one(F.col("u") == "concentrated") + one(F.col("n") > 0) + one(moves) + one(F.col("s") == "skews_early")
@@ -279,8 +279,8 @@ def routing_ablation(df: DataFrame, variants: dict[str, Column], rare: Column, n
 
 def gate(current: DataFrame, candidate: DataFrame, ap_drop: float = GATE_AP_DROP, f1_drop: float = GATE_F1_DROP) -> DataFrame:
     """Promote or reject a candidate; both inputs are one row with average_precision and f1."""
-    row = current.select(F.col("average_precision").alias("ap0"), F.col("f1").alias("f0")).crossJoin(
-        candidate.select(F.col("average_precision").alias("ap1"), F.col("f1").alias("f1")))
+    row = with_row(current.select(F.col("average_precision").alias("ap0"), F.col("f1").alias("f0")),
+                   candidate.select(F.col("average_precision").alias("ap1"), F.col("f1").alias("f1")))
     lost_ap, lost_f1 = F.col("ap0") - F.col("ap1"), F.col("f0") - F.col("f1")
     bad_ap, bad_f1 = lost_ap > ap_drop, lost_f1 > f1_drop
     reasons = F.concat_ws("; ", F.when(bad_ap, F.format_string(f"AUC-PR dropped by %.4f (limit {ap_drop})", lost_ap)),
@@ -342,7 +342,7 @@ def fidelity(both: DataFrame, cols: Sequence[str], source: str = "source", real:
     moments = wide_to_rows(both.agg(*aggs), list(cols), stats)
     limits = both.filter(F.col(source) == real).agg(
         *[f(F.col(c).cast("double")).alias(f"_{n}{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))])
-    fake = both.filter(F.col(source) == synthetic).crossJoin(F.broadcast(limits))
+    fake = with_row(both.filter(F.col(source) == synthetic), limits)
     outside = []
     for i, c in enumerate(cols):
         outside += [F.count_if(F.col(c) < F.col(f"_lo{i}")).alias(f"{i}_below"), F.count_if(F.col(c) > F.col(f"_hi{i}")).alias(f"{i}_above")]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from txflow.functions.clean import composite_key, signed_log1p
 from txflow.operators.encode import scale, scaler_stats
+from txflow.operators.joining import with_row
 from txflow.operators.ordered import percentiles
 from txflow.operators.reports import entity_stats
 from txflow.session import cut
@@ -53,7 +54,7 @@ def observed_positive_users(df: DataFrame, user: str = "user", merchant: str = "
 def expected_positive_users(df: DataFrame, user: str = "user", merchant: str = "merchant", label: str = "label") -> DataFrame:
     """Distinct positive users a merchant would have if positives fell evenly on all visits."""
     rate = df.agg(F.avg(label).alias("_rate"))
-    visits = df.groupBy(merchant, user).agg(F.count("*").alias("_n")).crossJoin(F.broadcast(rate))
+    visits = with_row(df.groupBy(merchant, user).agg(F.count("*").alias("_n")), rate)
     chance = 1 - F.pow(1 - F.col("_rate"), F.col("_n"))
     return visits.groupBy(merchant).agg(F.sum(chance).alias("expected"))
 
@@ -83,7 +84,7 @@ def ring_verdict(table: DataFrame) -> DataFrame:
         F.when(F.col("merchants") == 0, "no_fraud_in_split").when(pct < 5, "no_evidence")
         .when(pct < 20, "weak_evidence").otherwise("notable_evidence")
     )
-    return out.crossJoin(median).withColumn("verdict", verdict)
+    return with_row(out, median).withColumn("verdict", verdict)
 
 
 def strip_leaky(nodes: DataFrame) -> DataFrame:

@@ -13,12 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txflow.operators.joining import same
+
 # Rows of one key that one task may sort and scan.
 HOT_ROWS = 4_000_000
 # Heavy keys looked up by broadcast. A key beyond these, being lighter than each of
@@ -341,19 +342,6 @@ class LastYearMean(Feature):
         return {self.out: F.col("_ly")}
 
 
-def same(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str) -> DataFrame:
-    """Equi-join that matches NULL keys too and keeps the left columns.
-
-    Columns with a leading underscore are the library's own and never NULL; they are
-    compared plainly, so that a join can reuse the partitioning of a window before it.
-    """
-    right = right.select(*[F.col(c).alias("_j_" + c) if c in cols else F.col(c) for c in right.columns])
-    pairs = [(left[c], right["_j_" + c], c.startswith("_")) for c in cols]
-    on = reduce(lambda a, b: a & b, [a == b if own else a.eqNullSafe(b) for a, b, own in pairs])
-    joined = left.join(right, on, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*["_j_" + c for c in cols])
-
-
 def slice_of(micros: Column) -> Column:
     """Time slice of a position inside its heavy key; never decreases with time."""
     raw = F.floor((micros - F.col(LO)) / F.col(WIDTH))

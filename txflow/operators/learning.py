@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from txflow.functions import decide
 from txflow.operators.encode import scale, scaler_stats
+from txflow.operators.joining import with_row
 from txflow.operators.sampling import hash_order
 
 # --- input -------------------------------------------------------------------------------
@@ -29,7 +30,7 @@ def with_weight(df: DataFrame, label: str = "label") -> DataFrame:
     """Add ``weight``: negatives per positive on positive rows, 1 elsewhere."""
     p = F.sum(F.col(label).cast("bigint"))
     ratio = df.agg(F.when(p > 0, (F.count("*") - p) / F.when(p > 0, p)).otherwise(F.lit(1.0)).alias("_w"))
-    return df.crossJoin(F.broadcast(ratio)).withColumn("weight", F.when(F.col(label) == 1, F.col("_w")).otherwise(F.lit(1.0))).drop("_w")
+    return with_row(df, ratio).withColumn("weight", F.when(F.col(label) == 1, F.col("_w")).otherwise(F.lit(1.0))).drop("_w")
 
 
 def train(df: DataFrame, inputs: Sequence[str], label: str = "label", kind: str = "trees", rounds: int = 20, depth: int = 5,
@@ -67,7 +68,7 @@ def augment(df: DataFrame, synthetic: DataFrame, cols: Sequence[str], label: str
     """
     means = df.filter(F.col(label) == 1).agg(*[F.avg(c).alias("_mean_" + c) for c in cols])
     have = set(synthetic.columns)
-    full = synthetic.crossJoin(F.broadcast(means)).select(*[
+    full = with_row(synthetic, means).select(*[
         (F.coalesce(F.col(c).cast("double"), F.col("_mean_" + c)) if c in have else F.col("_mean_" + c)).alias(c) for c in cols
     ])
     parts = [(df.select(*[F.col(c).cast("double").alias(c) for c in cols], label), "real")]
@@ -110,7 +111,7 @@ def top_frequency(df: DataFrame, top: str = "top_features", k: int = 3) -> DataF
 def attribution_check(freq: DataFrame, importance: DataFrame, rows: DataFrame, n: int = 10) -> DataFrame:
     """Global rank next to the share of rows that list the feature on top."""
     total = rows.agg(F.count("*").alias("_n"))
-    top = importance.filter(F.col("rank") <= n).join(freq, "feature", "left").crossJoin(total)
+    top = with_row(importance.filter(F.col("rank") <= n).join(freq, "feature", "left"), total)
     pct = F.coalesce(F.col("n"), F.lit(0)) * 100 / F.when(F.col("_n") > 0, F.col("_n"))
     return top.select("feature", "rank", pct.alias("top_pct"))
 

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txflow.operators.history import same
+from txflow.operators.joining import same, with_row
 from txflow.session import cut
 
 # Distinct values one task may order, and values one percentile aggregate may hold.
@@ -79,7 +79,7 @@ def running_totals(
     if groups:
         tagged = same(counts, F.broadcast(parts), groups, "left")
     else:
-        tagged = counts.crossJoin(F.broadcast(parts))
+        tagged = with_row(counts, parts)
     index = F.coalesce(F.size(F.filter("_cuts", lambda e: e <= F.col(value))), F.lit(0))
     tagged = tagged.withColumn(_PART, index).drop("_cuts")
     inside = Window.partitionBy(*groups, _PART).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
@@ -140,8 +140,7 @@ def percentiles(
 
 
 def _from_bands(have: DataFrame, groups: list[str], bands: DataFrame, probs: Sequence[float]) -> DataFrame:
-    small = F.broadcast(bands)
-    tagged = same(have, small, groups, "inner") if groups else have.crossJoin(small)
+    tagged = same(have, F.broadcast(bands), groups, "inner") if groups else with_row(have, bands)
     v, q = F.col("_v"), F.col("_q")
     below = tagged.groupBy(*groups).agg(
         F.max("_n").alias("_n"), *[F.count_if(v < q[2 * i]).alias(f"_below{i}") for i in range(len(probs))]
@@ -150,7 +149,7 @@ def _from_bands(have: DataFrame, groups: list[str], bands: DataFrame, probs: Seq
     inside = tagged.select(*groups, "_v", F.explode(F.array_compact(hits)).alias("_i"))
     counts = inside.groupBy(*groups, "_i", "_v").agg(F.count("*").alias("n"))
     cum = running_totals(counts, "_v", {"upto": "n"}, [*groups, "_i"])
-    cum = same(cum, below, groups, "left") if groups else cum.crossJoin(below)
+    cum = same(cum, below, groups, "left") if groups else with_row(cum, below)
     offset = F.element_at(F.array(*[F.col(f"_below{i}") for i in range(len(probs))]), F.col("_i") + 1)
     first, past = offset + F.col("upto") - F.col("n"), offset + F.col("upto")
     aggs = [F.max("_n").alias("_n")]

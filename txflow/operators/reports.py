@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from txflow.functions.decide import segment
 from txflow.operators.history import HOT_ROWS, Previous, prior
+from txflow.operators.joining import with_row
 from txflow.operators.ordered import percentiles
 
 # Inclusive history-depth buckets.
@@ -116,7 +117,7 @@ def earliest_positive(df: DataFrame, user: str = "user", position: str = "user_t
     q = percentiles(first, "pos", [0.0, 0.25, 0.5, 0.75]).select(
         *[F.col("pcts")[i].alias(n) for i, n in enumerate(("earliest", "p25", "median", "p75"))]
     )
-    return q.crossJoin(first.agg(F.count("*").alias("users_with_positives")))
+    return with_row(q, first.agg(F.count("*").alias("users_with_positives")))
 
 
 def segment_contrast(df: DataFrame, cols: Sequence[str], a: Column, b: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txflow.operators.joining import with_row
+
 
 def hash_order(key: str, seed: int) -> Column:
     return F.xxhash64(F.col(key), F.lit(seed))
@@ -40,22 +42,21 @@ def stratified_rank(df: DataFrame, stratum: str, key: str, seed: int, buckets: i
     """Add ``_rank``: position of the row in the hash order of its stratum, from 1.
 
     The rank is the rank inside a hash range plus the sizes of the lower ranges, so a
-    large stratum is ranked by many tasks. A stratum is a label or a decision, so the
-    broadcast table has ``buckets`` rows for each of a handful of values.
+    large stratum is ranked by many tasks; the join reuses the window's partitioning.
     """
     width = 2**64 // buckets
     h = hash_order(key, seed)
     tagged = df.withColumns({"_h": h, "_b": F.floor(h / F.lit(float(width)))})
     before = Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = tagged.groupBy(stratum, "_b").agg(F.count("*").alias("_n"))
-    offsets = F.broadcast(sizes.select(stratum, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    offsets = sizes.select(stratum, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     rank = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", key)) + F.col("_off")
     return tagged.join(offsets, [stratum, "_b"]).withColumn("_rank", rank).select(*df.columns, "_rank")
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, frac: float = 0.5, seed: int = 42) -> DataFrame:
     """Add ``part`` ('a'/'b'): in every stratum the first floor(n * frac) rows in hash order are 'a'."""
-    sizes = F.broadcast(df.groupBy(stratum).agg(F.count("*").alias("_all")))  # one row per stratum
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("_all"))
     ranked = stratified_rank(df, stratum, key, seed).join(sizes, stratum)
     first = F.col("_rank") <= F.floor(F.col("_all") * F.lit(float(frac)))
     return ranked.withColumn("part", F.when(first, "a").otherwise("b")).select(*df.columns, "part")
@@ -66,4 +67,4 @@ def ratio_subsample(df: DataFrame, label: str, key: str, k: int, epoch: int = 0)
     ranked = stratified_rank(df, label, key, epoch)
     positives = df.agg(F.sum(F.col(label).cast("bigint")).alias("_p"))
     keep = (F.col(label) == 1) | (F.col("_rank") <= k * F.col("_p"))
-    return ranked.crossJoin(F.broadcast(positives)).filter(keep).select(*df.columns)
+    return with_row(ranked, positives).filter(keep).select(*df.columns)

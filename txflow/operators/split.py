@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txflow.operators.encode import dense_index
-from txflow.operators.history import HOT_ROWS, KeyTotals, PriorCount, prior, same
+from txflow.operators.history import HOT_ROWS, KeyTotals, PriorCount, prior
+from txflow.operators.joining import same, with_row
 from txflow.operators.ordered import percentiles
 
 
@@ -43,13 +44,18 @@ def recent_slice(df: DataFrame, fraction: float = 0.2, ts: str = "ts") -> DataFr
     """The most recent ``fraction`` of the rows, by time."""
     at = df.select(F.unix_micros(ts).alias("at"))
     cutoff = percentiles(at, "at", [1 - fraction]).select(F.col("pcts")[0].alias("_cutoff"))
-    return df.crossJoin(F.broadcast(cutoff)).filter(F.unix_micros(ts) > F.col("_cutoff")).drop("_cutoff")
+    return with_row(df, cutoff).filter(F.unix_micros(ts) > F.col("_cutoff")).drop("_cutoff")
 
 
-def banks(df: DataFrame, user: str = "user", size: int = 150) -> DataFrame:
-    """Add ``bank``: users in sorted order, ``size`` users to a bank."""
+def banks(df: DataFrame, user: str = "user", size: int = 150, count: int | None = None) -> DataFrame:
+    """Add ``bank``: users in sorted order, ``size`` users to a bank, or ``count`` banks of equal size."""
     ranks = dense_index(df, user, "_rank")
-    return same(df, ranks, [user], "left").withColumn("bank", F.floor(F.col("_rank") / size)).drop("_rank")
+    if count:
+        ranks = with_row(ranks, ranks.agg(F.count("*").alias("_users")))
+        bank = F.floor(F.col("_rank") * count / F.col("_users"))
+    else:
+        bank = F.floor(F.col("_rank") / size)
+    return same(df, ranks.select(user, bank.alias("bank")), [user], "left")
 
 
 def first_success(df: DataFrame, row: str, attempt: str, success: str) -> DataFrame:

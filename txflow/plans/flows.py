@@ -13,10 +13,11 @@ from txflow.functions import decide
 from txflow.functions.clean import missing_count
 from txflow.operators import drift, encode, evaluate, learning
 from txflow.operators.features import clean_transactions, enrich
+from txflow.operators.joining import with_row
 from txflow.operators.metrics import metrics_at, score_summary
 from txflow.operators.split import chrono_split, recent_slice
 from txflow.operators.windows import build_windows, serving_vector
-from txflow.schema import BASE_COLUMNS, ENRICHED, N_FEATURES
+from txflow.schema import BASE_COLUMNS, ENRICHED
 from txflow.session import cut
 
 FREQUENCY = ("Merchant Name", "Merchant City", "Zip")
@@ -100,10 +101,7 @@ def refit_on_drift(current: PipelineModel, reference: DataFrame, monitored: Data
 
     def judged(score: str) -> DataFrame:
         ap = score_summary(both, score, label).select("average_precision")
-        return ap.crossJoin(metrics_at(both, threshold, score, label).select("f1"))
+        return with_row(ap, metrics_at(both, threshold, score, label).select("f1"))
 
     result = cut(evaluate.gate(judged("old"), judged("candidate")))
     return Refit(trigger, result, fresh, result.first()["decision"] == "promote")
-
-
-__all__ = ["N_FEATURES", "Refit", "model_input", "refit_on_drift", "verdicts"]
