@@ -120,3 +120,9 @@ def g08b(spark, sf):
 @query("g08_fan_out_cap")
 def g08c(spark, sf):
     return graph.cap_fan_out(tx_events(spark, sf), "merchant", 15, "tx_id").select("merchant", "tx_id")
+
+
+@query("g08_fan_out_sizes", S("SELECT merchant, least(count(*), 15) AS edges FROM tx GROUP BY 1", "tx"))
+def g08d(spark, sf):
+    capped = graph.cap_fan_out(tx_events(spark, sf), "merchant", 15, "tx_id")
+    return capped.groupBy("merchant").agg(F.count("*").alias("edges"))

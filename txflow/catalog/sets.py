@@ -61,6 +61,11 @@ def o07s(spark, sf):
     return sampling.stratified_sample(tx_events(spark, sf), "mcc", "tx_id", 20).select("mcc", "tx_id")
 
 
+@query("o07_stratum_sizes", S("SELECT mcc, least(count(*), 20) AS n FROM tx GROUP BY 1", "tx"))
+def o07n(spark, sf):
+    return sampling.stratified_sample(tx_events(spark, sf), "mcc", "tx_id", 20).groupBy("mcc").agg(F.count("*").alias("n"))
+
+
 @query("o08_ratio_subsample", S("""SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 1) * 3 AS negatives FROM txo WHERE label = 1
     HAVING count(*) > 0""".replace("count(*) FILTER (label = 1) * 3", "least(count(*) * 3, (SELECT count(*) FROM txo WHERE label = 0))"), "txo"))
 def o08(spark, sf):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from txflow.functions import decide
 from txflow.functions.clean import missing_count
 from txflow.operators import drift, encode, evaluate, learning
-from txflow.operators.features import clean_transactions, enrich
+from txflow.operators.features import clean_transactions, merchant_features, population_features, user_features
 from txflow.operators.joining import with_row
 from txflow.operators.metrics import metrics_at, score_summary
 from txflow.operators.split import chrono_split, recent_slice
@@ -34,10 +34,11 @@ def model_input(raw: DataFrame, frac: float = 0.8) -> DataFrame:
     keep = {f"raw_{n}": F.col(c) for n, c in (
         ("merchant", "Merchant Name"), ("mcc", "MCC"), ("city", "Merchant City"), ("state", "Merchant State"))}
     channel = F.when(F.col("`chip_Chip Transaction`") == 1, "chip").when(F.col("`chip_Online Transaction`") == 1, "online").otherwise("swipe")
-    rich = enrich(
-        clean.withColumns({**keep, "raw_channel": channel}), user="User", amount="amount_raw", merchant="raw_merchant", mcc="raw_mcc",
-        channel="raw_channel", city="raw_city", state="raw_state")
-    parts = cut(chrono_split(rich, "User", frac))  # read by every encoder and by the rows themselves
+    rows = clean.withColumns({**keep, "raw_channel": channel})
+    # Gap, user features and split share the exchange by user; merchants need their own.
+    rich = user_features(rows, "User", "amount_raw", "raw_merchant", "raw_mcc", "raw_channel", "raw_city", "raw_state")
+    rich = merchant_features(chrono_split(rich, "User", frac, measure=rows), "raw_merchant", "amount_raw", measure=rows)
+    parts = cut(population_features(rich, measure=rows))  # read by every encoder and by the rows themselves
     codes = encode.fit_encoders(parts.filter("split = 'train'"), FREQUENCY, LABEL)
     coded = encode.encode(parts, codes)
     scaled = [c for c in BASE_COLUMNS if not c.startswith(("err_", "chip_"))]

@@ -7,11 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(master: str | None = None, shuffle_partitions: int | None = None, **conf) -> SparkSession:
+SHUFFLE_BYTES = 128 << 20
+
+
+def get_session(master: str | None = None, shuffle_partitions: int | None = None, input_bytes: int | None = None,
+                **conf) -> SparkSession:
     """A session with the settings the library expects.
 
-    On a cluster leave ``master`` and ``shuffle_partitions`` unset: the submit
-    command names the master, and AQE coalesces from the cluster's own default.
+    On a cluster leave ``master`` unset and give ``input_bytes``, the size of the table to
+    be processed: shuffles then start with one partition per 128 MB and AQE merges the
+    ones that turn out small. Spark's own default of 200 would make 500 GB partitions of 100 TB.
     """
     builder = (
         SparkSession.builder.appName("txflow")
@@ -25,6 +30,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     )
     if master:
         builder = builder.master(master)
+    if input_bytes:
+        parts = max(200, input_bytes // SHUFFLE_BYTES)
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for name, value in conf.items():
