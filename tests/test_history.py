@@ -157,3 +157,15 @@ def test_mismatches_finds_missing_and_changed(spark):
     b = spark.createDataFrame([(1, "x"), (2, "y"), (4, "z")], "k long, v string")
     assert mismatches(a, a, "k", ["v"]).count() == 0
     assert mismatches(a, b, "k", ["v"]).count() == 3
+
+
+def test_heavy_rows_are_exchanged_once_by_slice(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = prior(tx_events(spark, sf), "user", [PriorCount("n"), PriorCount("m", ("merchant",)), Moments("amount", mean="x")], hot_rows=10)
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Every other exchange lies above an aggregate and carries one row per slice.
+    rows = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(" in x and "HashAggregate" not in lines[i + 1] and "Project" not in lines[i + 1]]
+    assert sum("_slice" in lines[i] or "user" in lines[i] for i in rows) <= 2

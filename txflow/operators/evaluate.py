@@ -246,18 +246,20 @@ def what_if(df: DataFrame, prob: str, conf: str, position: str, blocks: Sequence
             label: str = "label") -> DataFrame:
     """Router counts, precision and recall for many block thresholds, without scoring again.
 
-    One aggregate with a few counters per threshold; rows are not multiplied.
+    The threshold only tells which of the rows that reach the block rule are blocked, so
+    rows are routed once and counted per threshold in one aggregate.
     """
-    y, aggs = F.col(label) == 1, [F.count_if(F.col(label) == 1).alias("_p")]
+    y = F.col(label) == 1
+    d = decide.route(prob, conf, position, prob_block=0.0, conf_stepup=stepup)["decision"]
+    routed = df.select(F.col(prob).alias("_p"), (d == "block").alias("_reach"), (d == "step_up").alias("_step"), y.alias("_y"))
+    aggs = [F.count_if("_y").alias("_pos"), F.count_if("_step").alias("step_ups")]
     for i, b in enumerate(blocks):
-        d = decide.route(prob, conf, position, prob_block=float(b), conf_stepup=stepup)["decision"]
-        aggs += [F.count_if(d == "block").alias(f"{i}_blocks"), F.count_if(d == "step_up").alias(f"{i}_step_ups"),
-                 F.count_if((d == "block") & y).alias(f"{i}_tp")]
-    row = df.agg(*aggs)
-    items = F.array(*[F.struct(F.lit(float(b)).alias("prob_block"), *[F.col(f"{i}_{s}").alias(s) for s in ("blocks", "step_ups", "tp")])
+        hit = F.col("_reach") & (F.col("_p") >= float(b))
+        aggs += [F.count_if(hit).alias(f"{i}_blocks"), F.count_if(hit & F.col("_y")).alias(f"{i}_tp")]
+    items = F.array(*[F.struct(F.lit(float(b)).alias("prob_block"), *[F.col(f"{i}_{s}").alias(s) for s in ("blocks", "tp")])
                       for i, b in enumerate(blocks)])
-    out = row.select("_p", F.explode(items).alias("e")).select("_p", "e.*")
-    return out.select("prob_block", "blocks", "step_ups", "tp", ratio("tp", "blocks").alias("precision"), ratio("tp", "_p").alias("recall"))
+    out = routed.agg(*aggs).select("_pos", "step_ups", F.explode(items).alias("e")).select("_pos", "step_ups", "e.*")
+    return out.select("prob_block", "blocks", "step_ups", "tp", ratio("tp", "blocks").alias("precision"), ratio("tp", "_pos").alias("recall"))
 
 
 def routing_ablation(df: DataFrame, variants: dict[str, Column], rare: Column, new_mcc: Column, label: str = "label") -> DataFrame:

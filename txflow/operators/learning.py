@@ -41,7 +41,7 @@ def train(df: DataFrame, inputs: Sequence[str], label: str = "label", kind: str
     if kind == "trees":
         model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, cacheNodeIds=False, **common)
     else:
-        model = LogisticRegression(maxIter=50, regParam=1e-4, **common)
+        model = LogisticRegression(maxIter=25, regParam=1e-4, **common)
     return Pipeline(stages=[vector, model]).fit(with_weight(df, label))
 
 
