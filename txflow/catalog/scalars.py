@@ -143,7 +143,7 @@ def f16(spark, sf):
     return tx_events(spark, sf).select("tx_id", rt(c.safe_ratio("amount", "merchant")).alias("ratio"))
 
 
-@query("f17_missing_count", S("SELECT tx_id, n_missing FROM cf", "cf"))
+@query("f17_missing_count", S("SELECT tx_id, CAST(n_missing AS BIGINT) AS n_missing FROM cf", "cf"))
 def f17(spark, sf):
     return history(spark, sf).select("tx_id", big(c.missing_count(NULLABLE)).alias("n_missing"))
 
