@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,19 +42,26 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a fresh local one only where none is named."""
+    """The folder ``spark.checkpoint.dir`` names, which every executor must see.
+
+    Only a local master may go without: it gets a folder of its own under /tmp.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+    """Write ``df`` as Parquet to the shared folder and continue from there.
 
-    Used where several branches read one aggregate: it is computed once, and a
-    lost executor re-reads the files instead of recomputing the branch.
+    Used where several branches read one result: it is computed once, each branch scans
+    only its columns, and a lost executor re-reads the files instead of recomputing.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
