@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 WORD_SPLIT = " \t\n\x0b\x0c\r"  # the six characters outside [^\x20\x09-\x0D]
 
@@ -45,14 +47,6 @@ def sampled(df: DataFrame, rows: int, *cols: str) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit("sample"), *cols), F.lit(1 << 40)) < share)
 
 
-def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
-def numpy_column(column: pa.Array, dtype=np.int64) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
-
-
 def slices(b: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose ``column`` holds about ``limit`` bytes, or one row."""
     sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -104,3 +98,19 @@ class PrefixHash:
 def single_threaded() -> None:
     """Spark already runs one task per core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def with_struct(df: DataFrame, out: str, fields: T.StructType, compute: Callable[[list], list[list]], column: str = "text") -> DataFrame:
+    """``df`` and a struct column of what ``compute`` gives, field by field, for a list of values of ``column``."""
+    if out in df.columns:
+        raise ValueError(f"the table has a column {out} already")
+    kinds = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, column):
+                found = compute(b.column(column).to_pylist())
+                own = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(found, kinds, strict=True)], fields=list(kinds))
+                yield pa.RecordBatch.from_arrays([*b.columns, own], names=[*b.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, fields)]))

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txflow.llm import chat, tokens
+from txflow.llm import chat, language, lines, packing, tokens
+from txflow.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 OVER = 4096
@@ -30,8 +31,56 @@ def op3_chat_examples(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digest(chat.expand(given.unionByName(extra)))
 
 
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    known = language.fit(docs.filter(~held_out()))
+    found = language.identify(docs.select("doc_id", "text"), known)
+    return found.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.margin", "language.accepted")
+
+
+def op10_line_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = lines.judge(table(spark, sf, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         "n_lines", "n_removed_lines", "line_chars", "removed_chars")
+
+
+# Words and lines as the query takes them; a line counts once for each distinct text of a host.
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, string_split_regex(t, '[ \t\n\v\f\r]+') AS parts FROM d),
+ww AS (SELECT r, list_filter(parts, lambda x: x <> '') AS words FROM w),
+tri AS (SELECT r, unnest(range(1, len(words) - 1)) AS i, words FROM ww WHERE len(words) >= 3),
+tri2 AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS k FROM tri),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM tri2) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM hit) GROUP BY r),
+ln AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY r),
+pl AS (SELECT * FROM (SELECT l.r, d.source, d.t, trim(lower(regexp_replace(line, '[ \t\v\f\r]+', ' ', 'g')), ' ') AS line
+       FROM ln l JOIN d USING (r)) WHERE line <> ''),
+fr AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT t) AS docs FROM pl GROUP BY source, line) a
+       JOIN (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source) b USING (source) WHERE docs > 20 AND docs > 0.01 * texts),
+lost AS (SELECT p.r, count(*) AS n_lines, sum(length(p.line)) AS line_chars, count(f.line) AS n_removed_lines,
+         sum(CASE WHEN f.line IS NULL THEN 0 ELSE length(p.line) END) AS removed_chars
+         FROM pl p LEFT JOIN fr f ON p.source IS NOT DISTINCT FROM f.source AND p.line = f.line GROUP BY p.r),
+b AS (SELECT d.r, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ \t\n\v\f\r]', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+      coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines,
+      CAST(coalesce(line_chars, 0) AS BIGINT) AS line_chars, CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars
+      FROM d JOIN ww USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND removed_chars <= 0.5 * line_chars AS kept, n_lines, n_removed_lines, line_chars, removed_chars FROM f
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_chat_examples": op3_chat_examples,
+    "op8_packing": op8_packing,
+    "op9_language": op9_language,
+    "op10_line_rules": op10_line_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_line_rules": OP10_SQL}
