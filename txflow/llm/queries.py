@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txflow.llm import chat, language, lines, packing, tokens
+from txflow.llm import chat, language, lines, packing, simhash, tokens
 from txflow.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op3_chat_examples(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digest(chat.expand(given.unionByName(extra)))
 
 
+def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
@@ -79,6 +84,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_chat_examples": op3_chat_examples,
+    "op4_simhash": op4_simhash,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_line_rules": op10_line_rules,
