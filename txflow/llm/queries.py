@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txflow.llm import chat, language, lines, packing, simhash, tokens
+from txflow.llm import chat, language, lines, packing, simhash, suffixes, tokens
 from txflow.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), with_text=False)
+    return found.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+
+
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_chat_examples": op3_chat_examples,
     "op4_simhash": op4_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_line_rules": op10_line_rules,
