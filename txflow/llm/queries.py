@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txflow.llm import chat, language, lines, packing, simhash, suffixes, tokens
+from txflow.llm import chat, decontaminate, language, lines, packing, simhash, suffixes, tokens
 from txflow.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER).alias("over_limit"))
 
 
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("_row")
+
+
 def op3_chat_examples(spark: SparkSession, sf: str) -> DataFrame:
     given = table(spark, sf, "conversations")
     said = "</s>[INST] ok [/INST]"
@@ -88,6 +92,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_decontamination": op2_decontamination,
     "op3_chat_examples": op3_chat_examples,
     "op4_simhash": op4_simhash,
     "op6_suffix_dedup": op6_suffix_dedup,
