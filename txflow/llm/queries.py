@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txflow.llm import chat, decontaminate, language, lines, packing, simhash, suffixes, tokens
+from txflow.llm import chat, decontaminate, language, lines, packing, quality, simhash, suffixes, tokens
 from txflow.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,14 @@ def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
 
 
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    good = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
+    learn = docs.filter(~held_out())
+    model = quality.fit(learn.join(good, "doc_id", "left_semi"), learn)
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "quality.score", "quality.predicted")
+
+
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
@@ -96,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat_examples": op3_chat_examples,
     "op4_simhash": op4_simhash,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_line_rules": op10_line_rules,
