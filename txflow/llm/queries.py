@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txflow.llm import chat, decontaminate, language, lines, packing, quality, simhash, suffixes, tokens
+from txflow.llm import chat, decontaminate, language, lines, packing, quality, simhash, suffixes, tokens, urls
 from txflow.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,23 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Fixed by the query's contract: host, path, verdict.
+GIVEN_RULES = (
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+)
+
+
+def page_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of the documents that pages show: the number in a page's path is a document's id."""
+    number = F.regexp_extract("url", "://[^?#]*/([0-9]+)", 1).try_cast("bigint")
+    pages = table(spark, sf, "pages").select("url", number.alias("doc_id"))
+    return pages.join(table(spark, sf, "labels"), "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+
+
+def op5_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(table(spark, sf, "pages"), page_labels(spark, sf), GIVEN_RULES)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), with_text=False)
     return found.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
@@ -103,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_chat_examples": op3_chat_examples,
     "op4_simhash": op4_simhash,
+    "op5_url_rules": op5_url_rules,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
