@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,7 +116,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND removed_chars <= 0.5 * line_chars AS kept, n_lines, n_removed_lines, line_chars, removed_chars FROM f
 """
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES: dict[str, Query] = {
+    "pipeline": pipeline,
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op3_chat_examples": op3_chat_examples,
@@ -127,4 +133,4 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_line_rules": op10_line_rules,
 }
-ORACLES: dict[str, str] = {"op10_line_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op10_line_rules": OP10_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -386,3 +386,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     joined = rows.join(by_row, "_row", "left").select(*rest, "_text", "_spans")
     schema = T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(f"_{f.name}", f.dataType) for f in _REMOVED)])
     return joined.mapInArrow(_remove(rest, "_text", with_text), schema)
+
+
+def cut_from(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The documents with their repeats cut out; columns and untouched texts as given. Documents that lose all their bytes go."""
+    found = remove_repeats(docs.withColumn("_null", F.col(text).isNull()), text, length, gram)
+    kept = found.filter((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_bytes")))
+    new = F.when(~F.col("_null"), F.col("_kept_text")).alias(text)
+    return kept.select(*(new if c == text else F.col(c) for c in docs.columns))
