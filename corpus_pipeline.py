@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txflow.llm import decontaminate, language, packing, simhash, suffixes
-from txflow.llm.common import held_out
+from txflow.llm.common import held_out, packed
 from txflow.session import cut
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or with a narrow margin between languages."""
     known = language.fit(docs.filter(~held_out()))
-    found = language.identify(docs, known, out="_language")
-    return found.filter(language.accepted("_language")).select(*docs.columns)
+    rest, back = packed(docs, "text")
+    found = language.identify(docs.select(rest, "text"), known)
+    return found.filter(language.accepted()).select(*(back.get(c, F.col(c)) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,16 @@ def filled(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def packed(df: DataFrame, *without: str) -> tuple[Column, dict[str, Column]]:
+    """The columns of ``df`` as one struct ``_rest``, and columns that take them out again under their names.
+
+    Beside it an operator can name its own columns freely, whatever the table's are called.
+    """
+    names = [c for c in df.columns if c not in without]
+    held = F.struct(F.lit(0).alias("k"), *[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)]).alias("_rest")
+    return held, {c: F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(names)}
+
+
 def held_out(key: str = "doc_id") -> Column:
     """True for the quarter of ids whose crc32 is 2 modulo 4; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txflow.llm.common import U64, PrefixHash, filled, mix, numbered, slices
+from txflow.llm.common import U64, PrefixHash, filled, mix, numbered, packed, slices
 from txflow.session import cut
 
 MASKS = ("1101011", "11100101", "1100010011")
@@ -198,6 +198,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **h
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """The documents without a verified overlap; columns as given."""
-    rows = numbered(docs)
-    found = overlaps_with(rows, benchmark, text, **how).select("_row").distinct()
-    return rows.join(cut(found), "_row", "left_anti").select(*docs.columns)
+    rest, back = packed(docs)
+    found = overlaps_with(numbered(docs.select(F.col(text).alias("text"))), benchmark, **how).select("_row").distinct()
+    return numbered(docs.select(rest)).join(cut(found), "_row", "left_anti").select(*back.values())

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txflow.llm.common import WORD_SPLIT, filled, numbered
+from txflow.llm.common import WORD_SPLIT, filled, numbered, packed
 from txflow.session import cut
 
 MIN_DOCS = 20  # a line in at most this many texts of a host stays
@@ -105,6 +105,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The kept documents with their frequent lines taken out; columns as given."""
     verdicts = judge(docs, key, text, host, **limits).filter("kept").select("_row", F.col("removed").alias("_gone"))
-    joined = numbered(docs).join(verdicts, "_row")
-    lines = F.filter(F.split(filled(text), "\n"), lambda x: ~F.array_contains("_gone", _line_hash(_normal(x))))
-    return joined.withColumn(text, F.when(F.size("_gone") > 0, F.array_join(lines, "\n")).otherwise(F.col(text))).select(*docs.columns)
+    rest, back = packed(docs)
+    joined = numbered(docs.select(rest, F.col(text).alias("_text"))).join(verdicts, "_row")
+    lines = F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("_gone", _line_hash(_normal(x))))
+    new = F.when(F.size("_gone") > 0, F.array_join(lines, "\n")).otherwise(F.col("_text")).alias(text)
+    return joined.select(*(new if c == text else column for c, column in back.items()))

@@ -59,8 +59,8 @@ def op5_url_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    found = suffixes.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), with_text=False)
-    return found.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+    found = suffixes.remove_repeats(table(spark, sf, "documents"), with_text=False)
+    return found.drop("kept_text")
 
 
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txflow.llm.common import U64, filled, numbered, slices
+from txflow.llm.common import U64, filled, numbered, packed, slices
 from txflow.llm.components import components
 from txflow.session import cut
 
@@ -284,4 +284,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     found = classes(docs, key, text, width, distance)
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row"))
     best = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row").alias("_row"))
-    return numbered(docs).join(best, "_row", "left_semi").select(*docs.columns)
+    rest, back = packed(docs)
+    return numbered(docs.select(rest)).join(best, "_row", "left_semi").select(*back.values())

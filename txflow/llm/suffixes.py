@@ -32,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txflow.llm.common import U64, PrefixHash, filled, mix, numbered, slices
+from txflow.llm.common import U64, PrefixHash, filled, mix, numbered, packed, slices
 from txflow.session import cut
 
 LENGTH = 200
@@ -354,12 +354,12 @@ _REMOVED = T.StructType([
 ])
 
 
-def _remove(rest: list[str], text: str, with_text: bool):
+def _remove(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, text):
+            for b in slices(whole, "_text"):
                 out = {n: [] for n in _REMOVED.names}
-                for data, spans in zip(b.column(text).cast(pa.binary()).to_pylist(), b.column("_spans").to_pylist(), strict=True):
+                for data, spans in zip(b.column("_text").cast(pa.binary()).to_pylist(), b.column("_spans").to_pylist(), strict=True):
                     gone = merged([(s["low"], s["high"]) for s in spans or ()])
                     edges = [0, *(x for s in gone for x in s), len(data)]
                     kept = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
@@ -369,28 +369,35 @@ def _remove(rest: list[str], text: str, with_text: bool):
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                     out["kept_text"].append(kept.decode(errors="ignore") if with_text else None)
                 own = [pa.array(out[f.name], pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in _REMOVED]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *own], names=[*rest, *(f"_{n}" for n in _REMOVED.names)])
+                yield pa.RecordBatch.from_arrays([b.column("_rest"), *own], names=["_rest", *_REMOVED.names])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
-    """``docs`` without its text, and _n_bytes, _n_removed, _n_spans, _kept_sha256 and _kept_text.
-
-    The kept text drops bytes of a character that a removed span cuts.
-    """
-    rest = [c for c in docs.columns if c != text]
-    rows = numbered(docs.withColumn("_text", filled(text)).drop(text))
+def _removed(docs: DataFrame, rest: Column, text: str, length: int, gram: int, with_text: bool) -> DataFrame:
+    """(_rest, n_bytes, n_removed, n_spans, kept_sha256, kept_text)."""
+    rows = numbered(docs.select(rest, filled(text).alias("_text")))
     spans = repeated_spans(rows.select("_row", F.col("_text").alias("text")), length, gram)
     by_row = spans.groupBy("_row").agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
-    joined = rows.join(by_row, "_row", "left").select(*rest, "_text", "_spans")
-    schema = T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(f"_{f.name}", f.dataType) for f in _REMOVED)])
-    return joined.mapInArrow(_remove(rest, "_text", with_text), schema)
+    joined = rows.join(by_row, "_row", "left").select("_rest", "_text", "_spans")
+    return joined.mapInArrow(_remove(with_text), T.StructType([joined.schema["_rest"], *_REMOVED.fields]))
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every row.
+
+    The hash is of the remaining bytes; the kept text also drops bytes of a character that a removed span cuts.
+    """
+    rest, back = packed(docs.select(key))
+    return _removed(docs, rest, text, length, gram, with_text).select(back[key], *_REMOVED.names)
 
 
 def cut_from(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The documents with their repeats cut out; columns and untouched texts as given. Documents that lose all their bytes go."""
-    found = remove_repeats(docs.withColumn("_null", F.col(text).isNull()), text, length, gram)
-    kept = found.filter((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_bytes")))
-    new = F.when(~F.col("_null"), F.col("_kept_text")).alias(text)
-    return kept.select(*(new if c == text else F.col(c) for c in docs.columns))
+    rest, back = packed(docs, text)
+    rest = F.struct(rest.alias("given"), F.col(text).isNull().alias("none")).alias("_rest")
+    found = _removed(docs, rest, text, length, gram, True)
+    kept = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    new = F.when(~F.col("_none"), F.col("kept_text")).alias(text)
+    kept = kept.select(F.col("_rest.none").alias("_none"), F.col("_rest.given").alias("_rest"), "kept_text")
+    return kept.select(*(new if c == text else back[c] for c in docs.columns))
