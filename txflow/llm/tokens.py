@@ -177,6 +177,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         failed = counted.filter("n_tokens IS NULL").select("_row")
         if failed.isEmpty():
             break
+        failed = cut(failed)  # so that the planner sees how small it is
         overlap *= 4
         chunk = max(chunk, 2 * overlap)
         left = base.join(failed, "_row", "left_semi")
