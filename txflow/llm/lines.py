@@ -80,7 +80,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
           max_share: float = MAX_SHARE, depleted: float = DEPLETED) -> DataFrame:
     """One row per document: the base figures, base_failed, n_lines, n_removed_lines, line_chars, removed_chars, removed (hashes), kept."""
     base = numbered(docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), filled(text).alias("_text")))
-    pieces = F.filter(F.transform(F.split(_normal(F.col("_text")), "\n"), F.trim), lambda x: x != "")
+    pieces = F.filter(F.transform(F.split(_normal(F.col("_text")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     slim = base_figures(base).withColumns({
         "_copy": F.xxhash64("_text"),
         "_pieces": F.transform(pieces, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("chars"))),
