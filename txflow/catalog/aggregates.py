@@ -90,9 +90,9 @@ def a09(spark, sf):
     return reports.segment_table(df).select("split", "segment", "n", "positives", r("rate").alias("rate"))
 
 
-@query("a10_depth_buckets", S("""SELECT lo || '-' || hi AS bucket, count(n) AS n, CAST(coalesce(sum(label), 0) AS BIGINT) AS positives,
-    round(coalesce(avg(label), 0), 6) AS rate FROM (VALUES (0,9),(10,49),(50,99),(100,199),(200,499),(500,999),(1000,99999)) b(lo, hi)
-    LEFT JOIN (SELECT label, row_number() OVER (PARTITION BY "user" ORDER BY ts, tx_id) - 1 AS n FROM tx) ON n BETWEEN lo AND hi GROUP BY ALL""", "tx"))
+@query("a10_depth_buckets", S("""SELECT lo || coalesce('-' || hi, '+') AS bucket, count(n) AS n, CAST(coalesce(sum(label), 0) AS BIGINT) AS positives,
+    round(coalesce(avg(label), 0), 6) AS rate FROM (VALUES (0,9),(10,49),(50,99),(100,199),(200,499),(500,999),(1000,NULL)) b(lo, hi)
+    LEFT JOIN (SELECT label, row_number() OVER (PARTITION BY "user" ORDER BY ts, tx_id) - 1 AS n FROM tx) ON n BETWEEN lo AND coalesce(hi, n) GROUP BY ALL""", "tx"))
 def a10(spark, sf):
     out = reports.depth_table(amount_history(tx_events(spark, sf)))
     return out.select("bucket", big("n").alias("n"), big("positives").alias("positives"), r("rate").alias("rate"))

@@ -21,6 +21,8 @@ from txflow.session import cut
 FIXED_EDGES = (0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 3e-2, 0.1, 0.3, 0.5, 0.7, 0.9, 0.97, 1.0 + 1e-9)
 EPS_ABS, EPS_REL, EPS_STRICT = 1e-4, 0.01, 1e-9
 GRID_POINTS, GRID_LOW, GRID_HIGH = 41, 0.005, 0.995
+# Scores an isotonic fit can tell apart.
+SCORE_GRID = 100_000
 
 
 def brier(df: DataFrame, prob: str, label: str = "label", *groups: str) -> DataFrame:
@@ -76,7 +78,7 @@ def recalibration(df: DataFrame, prob: str, label: str = "label", key: str = "tx
     parts = cut(VectorAssembler(inputCols=["p"], outputCol="x").transform(parts))
     fit, hold = parts.filter("part = 'a'"), parts.filter("part = 'b'")
     platt = LogisticRegression(featuresCol="x", labelCol="y", probabilityCol="q", regParam=1e-4).fit(fit)
-    iso = IsotonicRegression(featuresCol="x", labelCol="y", predictionCol="isotonic").fit(_merge_equal(fit))
+    iso = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="isotonic").fit(_merge_equal(fit))
     judged = iso.transform(platt.transform(hold)).withColumn("platt", vector_to_array("q")[1])
     long = judged.select("y", F.explode(F.array(*[
         F.struct(F.lit(m).alias("method"), F.col(c).alias("prob")) for m, c in (("raw", "p"), ("platt", "platt"), ("isotonic", "isotonic"))
@@ -89,8 +91,8 @@ def recalibration(df: DataFrame, prob: str, label: str = "label", key: str = "tx
 
 
 def _merge_equal(fit: DataFrame) -> DataFrame:
-    """Mean label per distinct score: the isotonic fit sees one weighted row per score."""
-    merged = fit.groupBy("p").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
+    """Mean label per score on a grid of 1 / SCORE_GRID: the isotonic fit, whose last step pools on the driver, sees at most that many weighted rows."""
+    merged = fit.groupBy((F.round(F.col("p") * SCORE_GRID) / SCORE_GRID).alias("p")).agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
     return VectorAssembler(inputCols=["p"], outputCol="x").transform(merged)
 
 

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from txflow.operators.joining import same, with_row
-from txflow.operators.ordered import running_totals
+from txflow.session import cut
 
 
 def frequency_table(train: DataFrame, col: str) -> DataFrame:
@@ -20,22 +19,16 @@ def frequency_table(train: DataFrame, col: str) -> DataFrame:
 def dense_index(df: DataFrame, col: str, out: str = "code") -> DataFrame:
     """(col, out): each distinct non-NULL value with its rank in sorted order, from 0.
 
-    Text is ranked inside its two-character prefix and the prefixes are added up,
-    so no task sorts all values.
+    Values are dealt out by range and numbered inside their partition; the partitions' sizes,
+    one row each, are added up. No task sorts all values, whatever they have in common.
     """
     values = df.filter(F.col(col).isNotNull()).select(col).distinct()
-    if not isinstance(df.schema[col].dataType, T.StringType):
-        one = values.withColumn("_one", F.lit(1).cast("bigint"))
-        return running_totals(one, col, {out: "_one"}).select(col, (F.col(out) - 1).alias(out))
-    tagged = values.withColumn("_prefix", F.left(F.col(col), F.lit(2)))
-    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per two-character prefix.
-    sizes = tagged.groupBy("_prefix").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = F.row_number().over(Window.partitionBy("_prefix").orderBy(col))
-    return tagged.withColumn("_rn", inside).join(offsets, "_prefix").select(
-        col, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(out)
-    )
+    placed = cut(values.repartitionByRange(col).sortWithinPartitions(col).withColumn("_id", F.monotonically_increasing_id()))
+    tagged = placed.select(col, F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = tagged.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return tagged.join(offsets, "_part").select(col, (F.col("_off") + F.col("_at")).cast("bigint").alias(out))
 
 
 def label_table(train: DataFrame, col: str) -> DataFrame:

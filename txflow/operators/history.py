@@ -16,15 +16,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from txflow.operators.joining import same
+from txflow.session import cut
 
 # Rows of one key that one task may sort and scan.
 HOT_ROWS = 4_000_000
-# Heavy keys looked up by broadcast. A key beyond these, being lighter than each of
-# them, holds less than 1/10000 of the table and stays on the plain window path.
-MAX_HEAVY = 10_000
 
 GROUP, SLICE, LO, WIDTH, SLICES, TOTAL = "_group", "_slice", "_lo", "_width", "_slices", "_total"
 _FIRST, _BEFORE = Window.unboundedPreceding, -1
@@ -114,11 +111,15 @@ class Moments(Feature):
         if self.mean:
             out[self.mean] = F.avg(v).over(w)
         if self.std:
-            out[self.std] = spread(v).over(w)
+            out[self.std] = self._spread(F.count(v).over(w), F.min(v).over(w), F.max(v).over(w), spread(v).over(w))
         if self.max:
             out[self.max] = F.max(v).over(w)
         return out
 
+    def _spread(self, n: Column, low: Column, high: Column, otherwise: Column) -> Column:
+        """Exactly zero for equal values, however the sums were added up."""
+        return F.when(low == high, F.when(n > (1 if self.sample else 0), F.lit(0.0))).otherwise(otherwise)
+
     def local(self, o):
         w, v = o.prior(SLICE), F.col(self.value)
         return {
@@ -126,6 +127,7 @@ class Moments(Feature):
             self.id + "mean": F.avg(v).over(w),
             self.id + "var": F.var_pop(v).over(w),
             self.id + "max": F.max(v).over(w),
+            self.id + "min": F.min(v).over(w),
         }
 
     def totals(self, o):
@@ -135,6 +137,7 @@ class Moments(Feature):
             self.id + "tmean": F.avg(v),
             self.id + "tvar": F.var_pop(v),
             self.id + "tmax": F.max(v),
+            self.id + "tmin": F.min(v),
         }
 
     def centres(self, o):
@@ -154,6 +157,7 @@ class Moments(Feature):
             i + "csum": F.sum(n * off).over(before),
             i + "csq": F.sum(n * var + n * off * off).over(before),
             i + "cmax": F.max(F.col(i + "tmax")).over(before),
+            i + "cmin": F.min(F.col(i + "tmin")).over(before),
         }
 
     def final(self, o):
@@ -165,7 +169,8 @@ class Moments(Feature):
         q2 = _zero(F.col(i + "csq") - F.col(i + "csum") * F.col(i + "csum") / some2)
         n = n1 + n2
         some = F.when(n > 0, n)
-        mean = (n1 * m1 + n2 * m2) / some
+        low, high = F.least(i + "min", i + "cmin"), F.greatest(i + "max", i + "cmax")
+        mean = F.when(low == high, low.cast("double")).otherwise((n1 * m1 + n2 * m2) / some)
         ss = n1 * v1 + q2 + (m1 - m2) * (m1 - m2) * n1 * n2 / some
         ss = F.greatest(ss, F.lit(0.0))
         div = F.when(n > 1, n - 1) if self.sample else some
@@ -175,9 +180,9 @@ class Moments(Feature):
         if self.mean:
             out[self.mean] = mean
         if self.std:
-            out[self.std] = F.sqrt(ss / div)
+            out[self.std] = self._spread(n, low, high, F.sqrt(ss / div))
         if self.max:
-            out[self.max] = F.greatest(i + "max", i + "cmax")
+            out[self.max] = high
         return out
 
 
@@ -351,31 +356,28 @@ def slice_of(micros: Column) -> Column:
 def heavy_keys(df: DataFrame, keys: Sequence[str], ts: str = "ts", hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """The keys with more than ``hot_rows`` rows, with the slicing each one gets.
 
-    One aggregate over the key columns; at most ``MAX_HEAVY`` rows reach the driver.
+    One aggregate over the key columns. The table is written, so the planner knows its size: it is
+    broadcast while it is small and joined by a shuffle beyond.
     """
     micros = F.unix_micros(F.col(ts))
     stats = (
         df.groupBy(*keys)
         .agg(F.count("*").alias(TOTAL), F.min(micros).alias(LO), F.max(micros).alias("_hi"))
         .filter(F.col(TOTAL) > hot_rows)
-        .orderBy(F.desc(TOTAL), *keys)
-        .limit(MAX_HEAVY)
         .withColumn(SLICES, F.ceil(F.col(TOTAL) / hot_rows))
         .withColumn(WIDTH, (F.col("_hi") - F.col(LO) + 1) / F.col(SLICES))
         .drop("_hi")
     )
-    rows = [(*r, i) for i, r in enumerate(stats.collect())]
-    schema = T.StructType([*stats.schema, T.StructField(GROUP, T.IntegerType(), False)])
-    return df.sparkSession.createDataFrame(rows, schema) if rows else None
+    table = cut(stats.withColumn(GROUP, F.monotonically_increasing_id()))
+    return None if table.isEmpty() else table
 
 
 def split_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame | None, ts: str = "ts"):
     """(rows of ordinary keys, rows of heavy keys with their number and slice, or None)."""
     if heavy is None:
         return df, None
-    small = F.broadcast(heavy)
-    cold = same(df, small, keys, "left_anti")
-    hot = same(df, small, keys, "inner").withColumn(SLICE, slice_of(F.unix_micros(F.col(ts))))
+    cold = same(df, heavy, keys, "left_anti")
+    hot = same(df, heavy, keys, "inner").withColumn(SLICE, slice_of(F.unix_micros(F.col(ts))))
     return cold, hot
 
 

@@ -12,8 +12,13 @@ from txflow.operators.reports import ratio
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label", groups: Sequence[str] = ()) -> DataFrame:
-    """(groups, score, n, p): rows and positives per distinct score, combined map-side."""
-    return df.groupBy(*groups, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("p"))
+    """(groups, score, n, p): rows and positives per distinct score, combined map-side; rows without a score are left out."""
+    return df.filter(F.col(score).isNotNull()).groupBy(*groups, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("p"))
+
+
+def unscored(df: DataFrame, score: str = "score", groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, unscored): rows that no curve counts because their score is NULL."""
+    return df.groupBy(*groups).agg(F.count_if(F.col(score).isNull()).alias("unscored"))
 
 
 def pr_curve(df: DataFrame, score: str = "score", label: str = "label", groups: Sequence[str] = (),
@@ -21,7 +26,7 @@ def pr_curve(df: DataFrame, score: str = "score", label: str = "label", groups:
     """One point per distinct score used as threshold: flagged, tp, precision, recall, f1."""
     counts = score_counts(df, score, label, groups)
     cum = running_totals(
-        counts, score, {"flagged": "n", "tp": "p"}, groups, descending=True, part_rows=part_rows, rows=df.count(),
+        counts, score, {"flagged": "n", "tp": "p"}, groups, descending=True, part_rows=part_rows,
         totals={"positives": "p", "total": "n"},
     )
     p, rc = F.col("tp") / F.col("flagged"), ratio("tp", "positives")

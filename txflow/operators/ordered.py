@@ -20,30 +20,25 @@ from txflow.session import cut
 
 # Distinct values one task may order, and values one percentile aggregate may hold.
 PART_ROWS, SMALL_ROWS = 4_000_000, 1_000_000
-MAX_PARTS, MAX_GROUPS = 4_096, 1_000
+MAX_GROUPS = 1_000
 ACCURACY = 10_000
 _PART = "_part"
 
 
 def _parts(counts: DataFrame, value: str, groups: Sequence[str], part_rows: int) -> DataFrame | None:
     """Cut points of the groups too long for one task; None when there are none."""
-    sizes = (
-        counts.groupBy(*groups).agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > part_rows).orderBy(F.desc("_n")).limit(MAX_GROUPS).collect()
-    )
-    if not sizes:
+    long = cut(counts.groupBy(*groups).agg(F.count("*").alias("_n")).filter(F.col("_n") > part_rows))
+    most = long.agg(F.max("_n")).first()[0]
+    if most is None:
         return None
-    n = min(MAX_PARTS, 1 + max(r["_n"] for r in sizes) // part_rows)
+    n = 1 + most // part_rows
     steps = F.array(*[F.lit(i / n) for i in range(1, n)])
-    spark = counts.sparkSession
     if groups:
-        big = spark.createDataFrame([tuple(r[g] for g in groups) for r in sizes], counts.select(*groups).schema)
-        counts = same(counts, F.broadcast(big), groups, "left_semi")
-    cuts = counts.groupBy(*groups).agg(
+        counts = same(counts, long.select(*groups), groups, "left_semi")
+    # Written, so that every branch of the plan sees the same cut points.
+    return cut(counts.groupBy(*groups).agg(
         F.array_distinct(F.percentile_approx(value, steps, max(ACCURACY, 10 * n))).alias("_cuts")
-    )
-    # Collected, so that every branch of the plan sees the same cut points.
-    return spark.createDataFrame(cuts.collect(), cuts.schema)
+    ))
 
 
 def running_totals(
@@ -77,13 +72,13 @@ def running_totals(
         })
 
     if groups:
-        tagged = same(counts, F.broadcast(parts), groups, "left")
+        tagged = same(counts, parts, groups, "left")
     else:
         tagged = with_row(counts, parts)
     index = F.coalesce(F.size(F.filter("_cuts", lambda e: e <= F.col(value))), F.lit(0))
     tagged = tagged.withColumn(_PART, index).drop("_cuts")
     inside = Window.partitionBy(*groups, _PART).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    # A group has at most MAX_PARTS parts, so this window over part totals stays small.
+    # One row per part of a group.
     part_order = F.col(_PART).desc() if descending else F.col(_PART).asc()
     before = Window.partitionBy(*groups).orderBy(part_order).rowsBetween(Window.unboundedPreceding, -1)
     per_part = tagged.groupBy(*groups, _PART).agg(
@@ -105,8 +100,9 @@ def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataF
 
 
 def _interpolate(total: Column, p: float, lo: Column, hi: Column) -> Column:
+    # The terms in which the percentile aggregate adds up, so that every path gives the same last digit.
     pos = F.lit(float(p)) * (total - 1)
-    return lo + (hi - lo) * (pos - F.floor(pos))
+    return F.when(lo == hi, lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
 
 
 def _at_ranks(first: Column, past: Column, value: Column, total: Column, p: float) -> tuple[Column, Column]:

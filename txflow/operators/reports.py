@@ -12,8 +12,8 @@ from txflow.operators.history import HOT_ROWS, Previous, prior
 from txflow.operators.joining import with_row
 from txflow.operators.ordered import percentiles
 
-# Inclusive history-depth buckets.
-DEPTH_BUCKETS = ((0, 9), (10, 49), (50, 99), (100, 199), (200, 499), (500, 999), (1000, 99999))
+# Inclusive history-depth buckets; the last one is open.
+DEPTH_BUCKETS = ((0, 9), (10, 49), (50, 99), (100, 199), (200, 499), (500, 999), (1000, None))
 
 
 def ratio(a, b) -> Column:
@@ -97,15 +97,19 @@ def segment_table(df: DataFrame, position: str = "user_tx_count", split: str = "
 def depth_bucket(position: str, buckets=DEPTH_BUCKETS) -> Column:
     p, out = F.col(position), None
     for lo, hi in buckets:
-        hit = (p >= lo) & (p <= hi)
-        out = F.when(hit, f"{lo}-{hi}") if out is None else out.when(hit, f"{lo}-{hi}")
+        hit = (p >= lo) if hi is None else (p >= lo) & (p <= hi)
+        out = F.when(hit, _bucket_name(lo, hi)) if out is None else out.when(hit, _bucket_name(lo, hi))
     return out
 
 
+def _bucket_name(lo: int, hi: int | None) -> str:
+    return f"{lo}+" if hi is None else f"{lo}-{hi}"
+
+
 def depth_table(df: DataFrame, position: str = "user_tx_count", label: str = "label", buckets=DEPTH_BUCKETS) -> DataFrame:
     """One row per bucket, also for buckets without rows."""
     got = label_balance(df.withColumn("bucket", depth_bucket(position, buckets)), "bucket", label=label)
-    names = df.sparkSession.createDataFrame([(f"{lo}-{hi}",) for lo, hi in buckets], "bucket string")
+    names = df.sparkSession.createDataFrame([(_bucket_name(lo, hi),) for lo, hi in buckets], "bucket string")
     return names.join(got, "bucket", "left").select(
         "bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "positives", "rate")]
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txflow.operators.joining import with_row
+from txflow.operators.joining import same, with_row
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -51,20 +51,20 @@ def stratified_rank(df: DataFrame, stratum: str, key: str, seed: int, buckets: i
     sizes = tagged.groupBy(stratum, "_b").agg(F.count("*").alias("_n"))
     offsets = sizes.select(stratum, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     rank = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", key)) + F.col("_off")
-    return tagged.join(offsets, [stratum, "_b"]).withColumn("_rank", rank).select(*df.columns, "_rank")
+    return same(tagged, offsets, [stratum, "_b"], "inner").withColumn("_rank", rank).select(*df.columns, "_rank")
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, frac: float = 0.5, seed: int = 42) -> DataFrame:
     """Add ``part`` ('a'/'b'): in every stratum the first floor(n * frac) rows in hash order are 'a'."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_all"))
-    ranked = stratified_rank(df, stratum, key, seed).join(sizes, stratum)
+    ranked = same(stratified_rank(df, stratum, key, seed), sizes, [stratum], "inner")
     first = F.col("_rank") <= F.floor(F.col("_all") * F.lit(float(frac)))
     return ranked.withColumn("part", F.when(first, "a").otherwise("b")).select(*df.columns, "part")
 
 
 def ratio_subsample(df: DataFrame, label: str, key: str, k: int, epoch: int = 0) -> DataFrame:
-    """All positives and ``k`` negatives per positive; another draw for every epoch."""
+    """All positives and ``k`` negatives per positive; another draw for every epoch. Rows without a label are drawn like negatives, apart from them."""
     ranked = stratified_rank(df, label, key, epoch)
     positives = df.agg(F.sum(F.col(label).cast("bigint")).alias("_p"))
-    keep = (F.col(label) == 1) | (F.col("_rank") <= k * F.col("_p"))
+    keep = F.col(label).eqNullSafe(F.lit(1)) | (F.col("_rank") <= k * F.col("_p"))
     return with_row(ranked, positives).filter(keep).select(*df.columns)
