@@ -17,7 +17,9 @@ are packed each; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,39 +35,68 @@ from txflow.session import cut
 
 LENGTH = 2048
 END_ID = 1
-REMEMBERED = 300_000  # parts that a worker keeps; it starts anew beyond, results stay the same
+REMEMBERED = 300_000  # parts of a generation that a worker keeps; results do not depend on it
+
+
+# A word of ASCII letters and signs after it: two tokens of the pre-tokenizer, whatever follows a space.
+_TAILED = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+
+
+class Remembered(dict):
+    """Parts and their ids in two generations: what was used lately survives when the older one goes."""
+
+    older: dict = {}
+
+    def renew(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+    def missing(self, parts: set[str]) -> list[str]:
+        """Parts that are not known; those of the older generation move up."""
+        new = parts - self.keys()
+        again = new & self.older.keys()
+        self.update((p, self.older[p]) for p in again)
+        return list(new - again)
 
 
 class WordCoder:
-    """Encodes texts as little-endian 32-bit ids (16-bit if the vocabulary allows)."""
+    """Encodes texts as 32-bit ids (16-bit if the vocabulary allows)."""
 
     def __init__(self, path: str):
         single_threaded()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes | None] = {}
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = np.dtype(self.code)
+        self.first, self.later = Remembered(), Remembered()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.width).tobytes() for x in found]
+        return [array(self.code, x.ids).tobytes() for x in found]
 
-    def _learn(self, known: dict, parts: set[str], before: str) -> None:
-        new = list(parts - known.keys())
-        for p in new:
+    def _learn(self, known: Remembered, parts: set[str], before: str) -> None:
+        new, tailed = [], []
+        for p in known.missing(parts):
             if not p or p[0].isspace() or p[-1].isspace():
                 known[p] = None  # the white space beside the space may join it
-        new = [p for p in new if p not in known]
+            elif (m := _TAILED.fullmatch(p)) and before:
+                tailed.append((p, *m.groups()))  # a word and the signs after it are tokens apart
+            else:
+                new.append(p)
+        if tailed:
+            new += known.missing({w for _, w, _ in tailed} - set(new))
+            self._learn(self.first, {t for *_, t in tailed}, "")
         known.update(zip(new, self._encode([before + p for p in new]), strict=True))
+        known.update((p, known[w] + self.first[t]) for p, w, t in tailed)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first, self.later = {}, {}
         split = [t.split(" ") for t in texts]
+        self.first.renew()
+        self.later.renew()
         self._learn(self.first, {s[0] for s in split}, "")
-        self._learn(self.later, {p for s in split for p in s[1:]}, " ")
+        self._learn(self.later, set().union(*(s[1:] for s in split)), " ")
         out, whole = [], []
         for i, s in enumerate(split):
             parts = [self.first[s[0]], *map(self.later.__getitem__, s[1:])]
