@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,19 +103,50 @@ def _find_runs(length: int, gram: int):
             for b in slices(whole, "text"):
                 rows, texts = b.column("_row").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()
                 long = [i for i, t in enumerate(texts) if len(t) >= length]
+                parts = []
                 for data, who, offsets, at in _buffers([rows[i] for i in long], [texts[i] for i in long], length):
                     starts = np.array(at, np.int64)
                     doc, first, last, key = runs_of(np.frombuffer(data, np.uint8), starts, np.append(starts[1:], len(data)), length, gram)
                     digest = xxhash.xxh3_64_intdigest
                     body = [digest(data[a:z]) for a, z in zip(first.tolist(), (last + length).tolist(), strict=True)]
                     low = first - starts[doc] + np.array(offsets, np.int64)[doc]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(key.view(np.int64)), pa.array(np.array(body, U64).view(np.int64)), pa.array(np.array(who, np.int64)[doc]),
-                        pa.array(low), pa.array((last - first + 1).astype(np.int32))], names=["gram", "body", "_row", "low", "windows"])
+                    parts.append((key.view(np.int64), np.array(body, U64).view(np.int64), np.array(who, np.int64)[doc], low, last - first + 1))
+                if parts:
+                    yield _gathered(*(np.concatenate(x) for x in zip(*parts, strict=True)), length)
 
     return run
 
 
+_RUN = "spans boolean, gram long, body long, _row long, low long, windows int, many boolean"
+
+
+def _gathered(gram: np.ndarray, body: np.ndarray, row: np.ndarray, low: np.ndarray, windows: np.ndarray, length: int) -> pa.RecordBatch:
+    """Runs ahead of the shuffle: equal ones of a batch become one, marked ``many``, and the places of all of them become joined spans.
+
+    Spans have nothing left to meet, so they are dealt out by their document. A gram of which a text
+    has thousands (a line of one letter) leaves each batch as one run for each body.
+    """
+    order = np.lexsort((low, row, body, gram))
+    gram, body, row, low, windows = (x[order] for x in (gram, body, row, low, windows))
+    new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (body[1:] != body[:-1]))) if len(gram) else np.zeros(0, bool)
+    size = np.diff(np.append(np.flatnonzero(new), len(gram)))
+    many = np.repeat(size > 1, size)
+    at = np.flatnonzero(many)
+    at = at[np.lexsort((low[at], row[at]))]
+    r, start, end = row[at], low[at], low[at] + windows[at]
+    # Windows of a document in a row: the ends only grow, as runs of one document do not overlap.
+    first = np.concatenate(([True], (r[1:] != r[:-1]) | (start[1:] > end[:-1]))) if len(at) else np.zeros(0, bool)
+    head = np.flatnonzero(first)
+    tail = np.append(head[1:], len(at)) - 1 if len(at) else head
+    spread = mix(r[head].astype(U64)).view(np.int64)
+    zero = np.zeros(len(head), np.int64)
+    columns = [
+        (np.zeros(int(new.sum()), bool), np.ones(len(head), bool)), (gram[new], spread), (body[new], zero), (row[new], r[head]), (low[new], start[head]),
+        (windows[new].astype(np.int32), (end[tail] - start[head]).astype(np.int32)), (many[new], np.ones(len(head), bool)),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["spans", "gram", "body", "_row", "low", "windows", "many"])
+
+
 _SPLIT = "_row long, low long, windows int, gram long, rim boolean, repeated boolean"
 
 
@@ -128,7 +160,7 @@ def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, np.ndarray] | None = None
     before = None  # gram and body of the row ahead of ``held``, and whether its body has company so far
     company = False
-    names = ("gram", "body", "_row", "low", "windows")
+    names = ("gram", "body", "_row", "low", "windows", "many")
 
     def part(rows: dict[str, np.ndarray], after) -> pa.RecordBatch | None:
         nonlocal before, company
@@ -141,7 +173,7 @@ def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same_gram[0], same_body[0] = (False, False) if before is None else (gram[0] == before[0], body[0] == before[1])
         same_gram[n], same_body[n] = (False, False) if after is None else (gram[-1] == after[0], body[-1] == after[1])
         same_body &= same_gram
-        repeated = same_body[:-1] | same_body[1:]
+        repeated = same_body[:-1] | same_body[1:] | rows["many"]
         begins, ends = ~same_body[:-1], ~same_body[1:]
         group = np.cumsum(begins)
         met = np.concatenate(([company], same_gram[:-1][begins]))  # company ahead of each body
@@ -153,7 +185,13 @@ def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           names=["_row", "low", "windows", "gram", "rim", "repeated"])
 
     for b in batches:
-        rows = {c: b.column(c).to_numpy() for c in names}
+        done = b.filter(b.column("spans"))
+        if done.num_rows:
+            no, yes = pa.array(np.zeros(done.num_rows, bool)), pa.array(np.ones(done.num_rows, bool))
+            yield pa.RecordBatch.from_arrays([*(done.column(c) for c in ("_row", "low", "windows", "gram")), no, yes],
+                                             names=["_row", "low", "windows", "gram", "rim", "repeated"])
+            b = b.filter(pc.invert(b.column("spans")))
+        rows = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
         if held is not None:
             rows = {c: np.concatenate((held[c], rows[c])) for c in names}
         if not len(rows["gram"]):
@@ -319,8 +357,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, runs
     """(_row, low, high): byte spans whose bytes go, of ``docs`` with ``_row`` and ``text``; spans may overlap."""
     if not 8 <= gram <= length:
         raise ValueError("a gram has 8 bytes at least and is no longer than the passage")
-    found = docs.select("_row", "text").mapInArrow(_find_runs(length, gram), "gram long, body long, _row long, low long, windows int")
-    ordered = found.repartition("gram").sortWithinPartitions("gram", "body", "_row", "low")
+    found = docs.select("_row", "text").mapInArrow(_find_runs(length, gram), _RUN)
+    ordered = found.repartition("gram").sortWithinPartitions("spans", "gram", "body", "_row", "low")
     split = cut(ordered.mapInArrow(_split_runs, _SPLIT))
     whole = split.filter("repeated").select("_row", "low", (F.col("low") + F.col("windows") + length - 1).alias("high"))
     rims = split.filter("rim").drop("rim")
