@@ -12,9 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txflow.functions import decide
-from txflow.operators.encode import scale, scaler_stats
 from txflow.operators.joining import with_row
-from txflow.operators.sampling import hash_order
 
 # --- input -------------------------------------------------------------------------------
 
@@ -33,16 +31,19 @@ def with_weight(df: DataFrame, label: str = "label") -> DataFrame:
     return with_row(df, ratio).withColumn("weight", F.when(F.col(label) == 1, F.col("_w")).otherwise(F.lit(1.0))).drop("_w")
 
 
-def train(df: DataFrame, inputs: Sequence[str], label: str = "label", kind: str = "trees", rounds: int = 20, depth: int = 5,
+def train(df: DataFrame, inputs: Sequence[str] | str, label: str = "label", kind: str = "trees", rounds: int = 300, depth: int = 6,
           step: float = 0.1, seed: int = 42) -> PipelineModel:
-    """Class-weighted classifier: boosted trees, or a linear model that can be explained exactly."""
-    vector = VectorAssembler(inputCols=list(inputs), outputCol="features")
-    common = dict(featuresCol="features", labelCol=label, weightCol="weight")
+    """Class-weighted classifier: boosted trees, or a linear model that can be explained exactly.
+
+    ``inputs`` are columns, or the name of one vector column.
+    """
+    vector = [] if isinstance(inputs, str) else [VectorAssembler(inputCols=list(inputs), outputCol="features")]
+    common = dict(featuresCol=inputs if isinstance(inputs, str) else "features", labelCol=label, weightCol="weight")
     if kind == "trees":
         model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, cacheNodeIds=False, **common)
     else:
         model = LogisticRegression(maxIter=25, regParam=1e-4, **common)
-    return Pipeline(stages=[vector, model]).fit(with_weight(df, label))
+    return Pipeline(stages=[*vector, model]).fit(with_weight(df, label))
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
@@ -108,6 +109,14 @@ def top_frequency(df: DataFrame, top: str = "top_features", k: int = 3) -> DataF
     return names.groupBy("feature").agg(F.count("*").alias("n"))
 
 
+def attributions_agree(top: DataFrame, importance: DataFrame, n: int = 5, column: str = "top_features") -> DataFrame:
+    """One row: whether each of the ``n`` features that matter most over all rows leads some row's attributions."""
+    seen = top.select(F.explode(column).alias("e")).select("e.feature").distinct()
+    first = importance.filter(F.col("rank") <= n)
+    met = first.join(seen.withColumn("met", F.lit(1)), "feature", "left")
+    return met.agg(F.count("*").alias("features"), F.count("met").alias("found"), (F.count("met") == F.count("*")).alias("agree"))
+
+
 def attribution_check(freq: DataFrame, importance: DataFrame, rows: DataFrame, n: int = 10) -> DataFrame:
     """Global rank next to the share of rows that list the feature on top."""
     total = rows.agg(F.count("*").alias("_n"))
@@ -211,11 +220,3 @@ def ensemble_score(models: dict[int, PipelineModel], df: DataFrame, out: str = "
         total = total + F.col(f"_s{b}")
     return df.withColumn(out, total / len(models)).drop(*[f"_s{b}" for b in models])
 
-
-def standardized(train_df: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return scale(df, scaler_stats(train_df, cols), cols)
-
-
-def hash_split(df: DataFrame, key: str, frac: float, seed: int = 42) -> Column:
-    """True for about ``frac`` of the rows, repeatable, without a shuffle."""
-    return F.pmod(hash_order(key, seed), F.lit(10_000)) < int(frac * 10_000)

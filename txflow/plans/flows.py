@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from txflow.operators.joining import with_row
 from txflow.operators.metrics import metrics_at, score_summary
 from txflow.operators.split import chrono_split, recent_slice
 from txflow.operators.windows import build_windows, serving_vector
-from txflow.schema import BASE_COLUMNS, ENRICHED
+from txflow.schema import BASE_COLUMNS, ENRICHED, WINDOW
 from txflow.session import cut
 
 FREQUENCY = ("Merchant Name", "Merchant City", "Zip")
@@ -50,6 +51,23 @@ def model_input(raw: DataFrame, frac: float = 0.8) -> DataFrame:
     }).select("tx_id", "User", "ts", "split", "label", *ENRICHED, "n_missing", "vector")
 
 
+SLOTS = [f"{c}_t{t}" for c in BASE_COLUMNS for t in range(WINDOW)]
+INPUTS = [*SLOTS, *ENRICHED, *(f"{c}__missing" for c in ENRICHED)]
+
+
+def training_rows(raw: DataFrame, frac: float = 0.8) -> DataFrame:
+    """(tx_id, User, split, label, user_tx_count, inputs, window_inputs) of rows with a full window.
+
+    ``inputs`` is the whole model input as a vector named by ``INPUTS``: 210 window slots, 33 history features and a
+    flag for each of these that is missing (its slot holds 0 then). ``window_inputs`` is the first 210.
+    """
+    rows = model_input(raw, frac).filter("vector IS NOT NULL")
+    filled = F.transform("vector", lambda x: F.coalesce(x, F.lit(0.0)))
+    flags = F.transform(F.slice("vector", len(SLOTS) + 1, len(ENRICHED)), lambda x: F.when(x.isNull(), 1.0).otherwise(0.0))
+    return rows.select("tx_id", "User", "split", "label", "user_tx_count", array_to_vector(F.concat(filled, flags)).alias("inputs"),
+                       array_to_vector(F.slice(filled, 1, len(SLOTS))).alias("window_inputs"))
+
+
 def verdicts(scored: DataFrame, threshold: float = decide.THRESHOLD, coefficients: dict | None = None, means: dict | None = None) -> DataFrame:
     """Verdict records of scored rows; rows with too little history carry no score."""
     enough = F.col("user_tx_count") >= decide.COLDSTART_MAX + 1
