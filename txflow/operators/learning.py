@@ -146,6 +146,7 @@ PHRASES = {
     "merchant_user_count": ("rare", "visited this merchant", 3),
     "mcc_user_count": ("rare", "transacted in this merchant category", 3),
 }
+# Sentences of a rationale.
 PATTERN_TEXT = (
     "the transaction's overall pattern (recent amounts, timing, and merchant activity) closely resembles historical "
     "fraud patterns, without any single unusual attribute standing out"

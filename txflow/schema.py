@@ -20,6 +20,7 @@ CHANNEL_VALUES = ("Chip Transaction", "Online Transaction", "Swipe Transaction")
 ONLINE = "Online Transaction"
 ONLINE_CITY = " ONLINE"
 
+# Names and order of the model input and of the message fields, all that follows here.
 BASE_COLUMNS = (
     "Merchant Name", "Merchant City", "Merchant State", "Zip", "MCC", "amount_raw", "amount_log",
     "hours_since_last", *["err_" + e for e in ERROR_TYPES], "hour", "day_of_week", "month",

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values of the raw format.
-CHANNELS = ("Swipe Transaction", "Online Transaction", "Chip Transaction")
+from txflow.schema import CHANNEL_VALUES
+
+# Keys modulo three, the last raw value first.
+CHANNELS = CHANNEL_VALUES[::-1]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
