@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txflow.llm.common import filled
+from txflow.llm.common import filled, slices
 
 OPEN, CLOSE = "<s>", "</s>"
 CONTROLS = ("<s>", "</s>", "<unk>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -107,7 +107,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "loss_sha256": s["loss"].hexdigest(), "formatted_chars": s["formatted_chars"], "n_examples": s["n_examples"]}
 
     state: dict | None = None
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, "text")):
         out, kind = [], b.schema.field("conv").type
         for r in b.to_pylist():
             if state is None or r["conv"] != state["conv"]:
