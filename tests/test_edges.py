@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_io_and_stream import CASE, drain, messages, put
 from txflow.operators import calibration, metrics, ordered, reports, sampling
 from txflow.operators.encode import dense_index
-from txflow.operators.history import Moments, prior
+from txflow.operators.history import Moments, PriorCount, Trailing, heavy_keys, prior, split_heavy
 from txflow.streaming import verdicts as st
 
 T0 = datetime(2025, 1, 1)
@@ -99,3 +99,16 @@ def test_rows_of_one_moment_go_by_number(spark, tmp_path):
     put(tmp_path, "a.txt", [m.replace("txn-", "") for m in messages([(0, "M-A", "5411", 1 + i, "Chip") for i in range(12)])])
     rows = {r["tx_id"]: r["user_tx_count"] for r in drain(spark, tmp_path, st.stream_features).collect()}
     assert rows == {str(i): i for i in range(12)}
+
+
+def test_slices_hold_equally_many_rows(spark):
+    # All but a few rows lie in one hour, and one moment alone holds 60.
+    times = [i * 86_400 for i in range(20)] + [3 * 86_400 + i for i in range(300)] + [3 * 86_400 + 500] * 60
+    df = spark.createDataFrame([(i, 1, T0 + timedelta(seconds=s), 1.0 * i) for i, s in enumerate(times)], "tx_id long, user long, ts timestamp, amount double")
+    _, hot = split_heavy(df, ["user"], heavy_keys(df, ["user"], hot_rows=40))
+    sizes = sorted(r["count"] for r in hot.groupBy("_slice").count().collect())
+    assert sum(sizes) == len(times) and sizes[-1] <= 80 and len(sizes) >= 8
+    spec = [Moments("amount", n="n", mean="mean", std="std", max="top"), PriorCount("c"), Trailing("t", "c", 3_600)]
+    plain = {r.tx_id: tuple(r) for r in prior(df, "user", spec).collect()}
+    for r in prior(df, "user", spec, hot_rows=40).collect():
+        assert all(x == y or math.isclose(x, y, rel_tol=1e-9) for x, y in zip(tuple(r), plain[r.tx_id], strict=True))

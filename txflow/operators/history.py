@@ -23,7 +23,7 @@ from txflow.session import cut
 # Rows of one key that one task may sort and scan.
 HOT_ROWS = 4_000_000
 
-GROUP, SLICE, LO, WIDTH, SLICES, TOTAL = "_group", "_slice", "_lo", "_width", "_slices", "_total"
+GROUP, SLICE, LO, CUTS, TOTAL = "_group", "_slice", "_lo", "_cuts", "_total"
 _FIRST, _BEFORE = Window.unboundedPreceding, -1
 
 
@@ -293,7 +293,7 @@ class Trailing(Feature):
     def attach(self, df, base, o):
         # Every distinct timestamp is both a data point and a question "how many rows
         # lie before me minus the span"; questions are answered by one running sum.
-        meta = [LO, WIDTH, SLICES]
+        meta = [CUTS]
         at = o.micros()
         points = base.groupBy(*o.keys, *meta, at.alias("_at")).agg(F.count("*").alias("_add"))
         mixed = points.select(
@@ -349,27 +349,32 @@ class LastYearMean(Feature):
 
 def slice_of(micros: Column) -> Column:
     """Time slice of a position inside its heavy key; never decreases with time."""
-    raw = F.floor((micros - F.col(LO)) / F.col(WIDTH))
-    return F.greatest(F.lit(0).cast("bigint"), F.least(F.col(SLICES) - 1, raw))
+    return F.size(F.filter(CUTS, lambda c: c < micros)).cast("bigint")
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], ts: str = "ts", hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The keys with more than ``hot_rows`` rows, with the slicing each one gets.
+    """The keys with more than ``hot_rows`` rows, with the times at which each one is cut.
 
-    One aggregate over the key columns. The table is written, so the planner knows its size: it is
-    broadcast while it is small and joined by a shuffle beyond.
+    The cuts are quantiles of the key's own timestamps, so slices hold about equally many rows however
+    unevenly these lie in time; a moment that fills a slice alone gets one to itself. The table is written, so the
+    planner knows its size: it is broadcast while it is small and joined by a shuffle beyond.
     """
     micros = F.unix_micros(F.col(ts))
-    stats = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias(TOTAL), F.min(micros).alias(LO), F.max(micros).alias("_hi"))
-        .filter(F.col(TOTAL) > hot_rows)
-        .withColumn(SLICES, F.ceil(F.col(TOTAL) / hot_rows))
-        .withColumn(WIDTH, (F.col("_hi") - F.col(LO) + 1) / F.col(SLICES))
-        .drop("_hi")
+    large = cut(
+        df.groupBy(*keys).agg(F.count("*").alias(TOTAL), F.min(micros).alias(LO)).filter(F.col(TOTAL) > hot_rows)
+        .withColumn(GROUP, F.monotonically_increasing_id())
     )
-    table = cut(stats.withColumn(GROUP, F.monotonically_increasing_id()))
-    return None if table.isEmpty() else table
+    most = large.agg(F.max(TOTAL)).first()[0]
+    if most is None:
+        return None
+    n = -(-most // hot_rows)
+    steps = F.array(*[F.lit(i / n) for i in range(1, n)])
+    own = same(df.select(*keys, micros.alias("_at")), large, keys, "inner")
+    found = own.groupBy(GROUP).agg(F.percentile_approx("_at", steps, max(10_000, 10 * n)).alias("_q"))
+    # A quantile that comes twice is a moment with more rows than a slice: cut before it too.
+    twice = F.filter("_q", lambda c, i: (i > 0) & (c == F.get("_q", F.greatest(i - 1, F.lit(0)))))
+    cuts = F.array_sort(F.array_distinct(F.concat("_q", F.transform(twice, lambda c: c - 1))))
+    return cut(large.join(found.select(GROUP, cuts.alias(CUTS)), GROUP))
 
 
 def split_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame | None, ts: str = "ts"):
