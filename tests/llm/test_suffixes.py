@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from txflow.llm import suffixes
@@ -83,3 +84,35 @@ def test_odd_rows(odd):
 
 def test_empty(empty):
     assert suffixes.remove_repeats(empty).collect() == [] and suffixes.cut_from(empty).collect() == []
+
+
+def common_passage(n, seed=8):
+    """A passage of 230 bytes in n documents with different surroundings."""
+    rng = np.random.default_rng(seed)
+    passage = random_text(rng, 230, 20)
+    return [random_text(rng, 150, 20) + passage + random_text(rng, 150, 20) for _ in range(n)]
+
+
+def test_a_passage_of_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffixes.repeated_spans, "__defaults__", (200, 64, 20))
+    texts = common_passage(600)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:5] for r in suffixes.remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute([t.encode() for t in texts], 200)))
+
+
+@pytest.mark.parametrize("seen", [1 << 16, 400])
+def test_a_task_sends_an_equal_window_twice(seen):
+    texts = common_passage(3_000)
+    rims = [[{"gram": 5, "low": 120, "windows": 80, "repeated": i % 7 == 0, "deal": 3}] for i in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"_row": list(range(len(texts))), "text": texts, "rims": rims})
+    out = [r for b in suffixes._fetch(200, seen)(iter([batch])) for r in b.to_pylist()]
+    sent = Counter(r["bytes"] for r in out)
+    assert {sent[texts[0][k : k + 200].encode()] for k in range(150, 181)} == {2}
+    order = sorted(out, key=lambda r: (r["gram"], r["bucket"], r["bytes"] or b""))
+    batches = [pa.RecordBatch.from_pylist(order[k : k + 100], pa.schema([
+        *((c, pa.int64()) for c in ("gram", "bucket", "_row", "low", "high")), ("repeated", pa.bool_()), ("dealt", pa.bool_()), ("bytes", pa.binary())]))
+        for k in range(0, len(order), 100)]
+    gone = {(r["_row"], k) for b in suffixes._sort_rims(200)(iter(batches)) for r in b.to_pylist() for k in range(r["low"], r["high"] - 199)}
+    times = Counter(t[k : k + 200] for t in texts for k in range(120, 200))
+    assert gone == {(i, k) for i, t in enumerate(texts) if i % 7 for k in range(120, 200) if times[t[k : k + 200]] > 1}

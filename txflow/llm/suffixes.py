@@ -17,7 +17,9 @@ of a whole corpus would move each byte many times; most of that is saved first,
 3. The spans found are joined per document and cut out.
 
 Grams that many runs share (common lines with different surroundings) are dealt out window by
-window, by the hash of the window, so that no task needs all runs of a gram.
+window, by the hash of the window, so that no task needs all runs of a gram. Equal windows meet there:
+each task ahead of the shuffle sends two of them at most (as long as its table of windows lasts), and they are
+sorted by their bytes and compared with their neighbours, so a passage in any number of documents takes constant memory.
 
 Defined cases: a null text is empty; matches never cross documents; repeated rows are documents of their own,
 so each of them repeats the other; texts shorter than ``length`` lose nothing; an empty table gives an
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txflow.llm.common import U64, PrefixHash, filled, mix, numbered, packed, slices
+from txflow.llm.common import BASE, U64, PrefixHash, filled, mix, numbered, packed, slices
 from txflow.session import cut
 
 LENGTH = 200
@@ -45,6 +47,7 @@ GRAM = 64
 BUFFER = 1 << 18  # bytes that are hashed at a time
 RUNS = 2_048  # runs of one gram that a task sorts together
 SORTED = 1 << 20  # bytes of runs that are sorted at a time
+SEEN = 1 << 16  # distinct dealt windows that a task remembers
 
 _PLACE = U64((1 << 20) - 1)
 
@@ -290,10 +293,20 @@ def repeated_heads(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -
     return np.unique(np.concatenate([a[equal], b[equal]]))
 
 
-def _fetch(length: int):
-    """Bytes of the rims of each document; one row for each window where the gram is dealt out."""
+_PIECE = "gram long, bucket long, _row long, low long, high long, repeated boolean, dealt boolean, bytes binary"
+
+
+def _fetch(length: int, seen: int = SEEN):
+    """Bytes of the rims of each document; single windows where the gram is dealt out.
+
+    A task sends an equal window twice, which is enough to mark whatever equals it; further ones are repeats for sure and
+    leave as joined spans without bytes. When the table of windows that were sent is full, those that were sent twice
+    stay for another turn, so that windows seen once do not drive them out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[bytes, int] = {}
+        older: set[bytes] = set()
         for whole in batches:
             for b in slices(whole, "text"):
                 out = []
@@ -301,20 +314,53 @@ def _fetch(length: int):
                     for r in rims:
                         low, n = r["low"], r["windows"]
                         if r["deal"] == 1:
-                            out.append((r["gram"], 0, row, low, r["repeated"], text[low : low + n + length - 1]))
+                            out.append((r["gram"], 0, row, low, low + n + length - 1, r["repeated"], False, text[low : low + n + length - 1]))
                             continue
+                        spread, span = row * BASE % (1 << 63), None
                         for k in range(low, low + n):
                             head = text[k : k + length]
-                            out.append((r["gram"], xxhash.xxh3_64_intdigest(head) % r["deal"], row, k, r["repeated"], head))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                            times = sent.get(head, 0) or 2 * (head in older)
+                            if times == 2:
+                                sent[head] = 2
+                                if not r["repeated"]:  # the others are out as a whole already
+                                    if span is not None and span[1] == k + length - 1:
+                                        span[1] = k + length
+                                    else:
+                                        if span is not None:
+                                            out.append((spread, -1, row, *span, False, True, None))
+                                        span = [k, k + length]
+                                continue
+                            sent[head] = times + 1
+                            out.append((r["gram"], xxhash.xxh3_64_intdigest(head) % r["deal"], row, k, k + length, r["repeated"], True, head))
+                        if span is not None:
+                            out.append((spread, -1, row, *span, False, True, None))
+                        if len(sent) >= seen:  # a run adds few
+                            sent, older = {}, {w for w, times in sent.items() if times == 2}
+                kinds = (*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)],
-                                                 names=["gram", "bucket", "_row", "low", "repeated", "bytes"])
+                                                 names=["gram", "bucket", "_row", "low", "high", "repeated", "dealt", "bytes"])
 
     return run
 
 
+def _equal_windows(rows: pa.RecordBatch, last: tuple | None) -> tuple[list[tuple], tuple | None]:
+    """Spans of the dealt windows that equal a neighbour, byte by byte; ``last`` is the window ahead and whether its span is out."""
+    out = []
+    for gram, row, low, high, repeated, head in zip(*(rows.column(c).to_pylist() for c in ("gram", "_row", "low", "high", "repeated", "bytes")), strict=True):
+        same = last is not None and last[0] == gram and last[1] == head
+        if same and not last[3]:
+            out.append(last[2])
+        if same and not repeated:
+            out.append((row, low, high))
+        last = (gram, head, (row, low, high), same or repeated)
+    return out, last
+
+
 def _sort_rims(length: int):
-    """Spans of the repeated windows among rims sorted by gram and bucket, whole grams at a time."""
+    """Spans of the repeated windows among rims sorted by gram and bucket, whole grams at a time.
+
+    Dealt windows come sorted by their bytes and need only their neighbours, however many are equal.
+    """
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
@@ -337,10 +383,17 @@ def _sort_rims(length: int):
             pa.array(hit[last] - base[who] + low[who] + length)], names=["_row", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, key = [], 0, None
+        rows, size, key, last = [], 0, None, None
         for b in batches:
-            for r in b.to_pylist():
-                new = (r["gram"], r["bucket"])
+            dealt = b.column("dealt")
+            done = b.filter(pc.is_null(b.column("bytes")))
+            if done.num_rows:
+                yield done.select(["_row", "low", "high"])
+            spans, last = _equal_windows(b.filter(pc.and_(dealt, pc.is_valid(b.column("bytes")))), last)
+            if spans:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in spans], pa.int64()) for k in range(3)], names=["_row", "low", "high"])
+            for r in b.filter(pc.invert(dealt)).to_pylist():
+                new = r["gram"]
                 if new != key and size > SORTED:
                     yield solve(rows)
                     rows, size = [], 0
@@ -368,8 +421,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, runs
     fields = F.struct("gram", "low", "windows", "repeated", "deal")
     wanted = dealt.groupBy("_row").agg(F.collect_list(fields).alias("rims"))
     pieces = docs.select("_row", "text").join(wanted, "_row").mapInArrow(
-        _fetch(length), "gram long, bucket long, _row long, low long, repeated boolean, bytes binary")
-    rim_spans = pieces.repartition("gram", "bucket").sortWithinPartitions("gram", "bucket").mapInArrow(
+        _fetch(length), _PIECE)
+    head = F.when(F.col("dealt"), F.col("bytes"))
+    rim_spans = pieces.repartition("gram", "bucket").sortWithinPartitions("gram", "bucket", head).mapInArrow(
         _sort_rims(length), "_row long, low long, high long")
     return whole.unionByName(rim_spans)
 
