@@ -68,3 +68,35 @@ def test_odd_rows(odd, empty, bench, spark):
     assert Counter(r.doc_id for r in hit.collect()) == Counter(r.doc_id for r in odd.collect() if r.text and r.text.startswith("The quick"))
     assert dc.remove_contaminated(odd, own).columns == odd.columns
     assert dc.contaminated(empty, bench).collect() == [] and dc.contaminated(odd, bench.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("first", "last", "stop"), [(0x4E00, 0x9FA5, "。"), (0x30A1, 0x30F6, "、"), (0x0E01, 0x0E2E, " ")])
+def test_scripts_without_spaces(spark, first, last, stop):
+    def text(n, seed):
+        return "".join(chr(c) if k % 9 else chr(c) + stop for k, c in enumerate(random.Random(seed).choices(range(first, last), k=n)))
+
+    items = {1: text(40, 1), 2: text(12, 2)}
+    swapped = "".join("Z" if k % 10 == 3 else c for k, c in enumerate(items[1]))
+    docs = [text(70, 3) + items[1] + text(50, 4), text(30, 5) + swapped + text(30, 6), text(25, 7) + items[2].replace(stop, "!") + text(9, 8), text(300, 9)]
+    own = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r.doc_id: r.item_ids for r in dc.contaminated(df, own).collect()} == {0: [1], 1: [1], 2: [2]}
+
+
+def test_tokens():
+    for text in ("naïve “déjà” – vu…", "中文，abc中文 3月。", "ไทย", "한국어 문장", "a\u00a0b\u3000c", "", "。", "𠀀𠀁x", "é"):
+        data, want, open_word = text.encode(), [], False
+        for c in text:
+            single = any(low <= ord(c) <= high for low, high in dc.NO_SPACES)
+            if not single and not c.isalnum():
+                open_word = False
+            elif single or not open_word:
+                want.append(c)
+                open_word = not single
+            else:
+                want[-1] += c
+        start = dc.tokens_of(data)[1].tolist()
+        if text != "ไทย":
+            want = [w for w in want if w not in "，。"]
+        assert [data[s:].decode()[: len(w)] for s, w in zip(start, want, strict=True)] == want
+    assert len(dc.tokens_of(b"a\xff\x80b c\xe4")[0]) == 2

@@ -11,7 +11,8 @@ The benchmark is a query set: its items are cut into segments, the segments deal
 Documents are scanned once for each block, in no shuffle, whatever the number of documents that hold a
 passage. Segments overlap by a stretch, so none is lost at a border.
 
-Tokens are maximal runs of letters, digits and non-ASCII characters of the lower-case text.
+Tokens are maximal runs of letters and digits of the lower-case text; non-ASCII spaces, punctuation and symbols end them
+as ASCII ones do. In scripts that put no spaces between words (``NO_SPACES``) each code point is a token.
 
 Defined cases: a null or empty text matches nothing; an item with fewer than ``SHORTEST`` tokens is ignored (single words
 would mark clean documents); repeated rows and ids each get a row; empty tables give an empty table; other columns are ignored.
@@ -19,6 +20,7 @@ would mark clean documents); repeated rows and ids each get a row; empty tables
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,12 +45,58 @@ _IN_TOKEN = np.zeros(256, bool)
 _IN_TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+# First and last code points: Thai, Lao, Tibetan, Myanmar, Khmer, Tai scripts, Han, Kana, Bopomofo, Yi, Javanese.
+NO_SPACES = (
+    (0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007),
+    (0x3021, 0x3029), (0x3031, 0x303C), (0x3041, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF),
+    (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xAA80, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x33FFF),
+)
+_APART, _WORD, _ALONE = 0, 1, 2
+_LAST = 0x34000  # this and the code points above it count as letters
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.full(_LAST + 1, _WORD, np.uint8)
+    for low, high in NO_SPACES:
+        kinds[low : high + 1] = _ALONE
+    for k in range(0x20000):
+        if unicodedata.category(chr(k))[0] in "PSZ" or chr(k).isspace():
+            kinds[k] = _APART
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def _kind_of_bytes(codes: np.ndarray) -> np.ndarray:
+    """Each byte's kind, its code point's; bytes that are no UTF-8 count as letters."""
+    kind = _IN_TOKEN[codes].astype(np.uint8)
+    at = np.flatnonzero(codes >= 0xC0)
+    if not len(at):
+        return kind
+    b = [np.append(codes, np.zeros(3, np.uint8))[at + k].astype(np.int64) for k in range(4)]
+    size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+    whole = (b[1] >> 6 == 2) & ((size < 3) | (b[2] >> 6 == 2)) & ((size < 4) | (b[3] >> 6 == 2))
+    tail = [x & 63 for x in b]
+    point = np.select([size == 2, size == 3], [(b[0] & 31) << 6 | tail[1], (b[0] & 15) << 12 | tail[1] << 6 | tail[2]],
+                      (b[0] & 7) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3])
+    found = _KINDS[np.minimum(point, _LAST)]
+    for k in range(4):
+        here = whole & (k < size)
+        kind[at[here] + k] = found[here]
+    return kind
+
+
 def tokens_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of each token of lower-case UTF-8 text."""
     codes = np.frombuffer(data, np.uint8)
-    inside = np.concatenate(([False], _IN_TOKEN[codes], [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edges[::2], edges[1::2]
+    kind = _kind_of_bytes(codes)
+    before = np.concatenate((np.zeros(1, np.uint8), kind))[: len(kind)]
+    opens = (before != kind) | (kind == _ALONE) & (codes >> 6 != 2)  # a token, or what is between two
+    edges = np.append(np.flatnonzero(opens), len(codes))
+    start, end = edges[:-1], edges[1:]
+    inside = kind[start] != _APART
+    start, end = start[inside], end[inside]
     return mix(PrefixHash(codes).of(start, end) + (end - start).astype(U64)), start
 
 
