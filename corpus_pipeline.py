@@ -25,7 +25,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies."""
+    """Keeps one document of each class of near copies: op4's fingerprints of 3 words within 3 bits.
+
+    That is no similarity of word shingles: few pairs with a Jaccard similarity of 0.8 are this near, see the README.
+    """
     return simhash.keep_one(docs)
 
 
