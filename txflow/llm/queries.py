@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txflow.llm import chat, decontaminate, language, lines, packing, quality, simhash, suffixes, tokens, urls
+from txflow.llm import chat, decontaminate, language, lines, packing, quality, simhash, suffixes, tokens, urls, whitening
 from txflow.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,16 @@ def op10_line_rules(spark: SparkSession, sf: str) -> DataFrame:
                          "n_lines", "n_removed_lines", "line_chars", "removed_chars")
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    model = whitening.fit(vectors)
+    rows = whitening.whiten(vectors, model).select(
+        "vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("component", "whitened"))
+    explained = F.array(*[F.lit(float(e)) for e in model.explained]) if len(model.explained) else F.array().cast("array<double>")
+    return rows.select("vec_id", (F.col("component") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+                       F.get(explained, F.col("component")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
 # Words and lines as the query takes them; a line counts once for each distinct text of a host.
 OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
@@ -132,5 +142,6 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_line_rules": op10_line_rules,
+    "op11_whitening": op11_whitening,
 }
 ORACLES: dict[str, str] = {"op10_line_rules": OP10_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
