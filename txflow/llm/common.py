@@ -8,11 +8,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from txflow.session import cut
+
 WORD_SPLIT = " \t\n\x0b\x0c\r"  # the six characters outside [^\x20\x09-\x0D]
 
 U64 = np.uint64
@@ -124,3 +127,31 @@ def with_struct(df: DataFrame, out: str, fields: T.StructType, compute: Callable
                 yield pa.RecordBatch.from_arrays([*b.columns, own], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, fields)]))
+
+
+def prefixed(df: DataFrame, order: list[Column], amount: str) -> DataFrame:
+    """``df``, range-sorted by ``order`` and written, with ``_before``: the sum of ``amount`` (long) over all rows before.
+
+    Two passes: every task adds up inside its range, then one row per range holds its total, and the
+    prefix sums of these are the ranges' starts. Rows that are equal in ``order`` stand in any order.
+    """
+    names = [f"_order{i}" for i in range(len(order))]
+    ranged = df.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)])
+    # Grouped by the planner's ranges; the order keys go before the rows are written.
+    ranged = ranged.repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, part = 0, TaskContext.get().partitionId()
+        for b in batches:
+            own = b.column(amount).to_numpy(zero_copy_only=False)
+            before = place + np.cumsum(own) - own
+            place += int(own.sum())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(np.full(len(own), part, np.int64)), pa.array(before, pa.int64())], names=[*b.schema.names, "_part", "_inside"])
+
+    fields = [T.StructField("_part", T.LongType()), T.StructField("_inside", T.LongType())]
+    placed = cut(ranged.mapInArrow(run, T.StructType([*ranged.schema.fields, *fields])))
+    totals = placed.groupBy("_part").agg(F.sum(amount).alias("_total"))  # one row per range
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(totals.select("_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start")))
+    return placed.join(starts, "_part").select(*df.columns, (F.col("_start") + F.col("_inside")).alias("_before"))

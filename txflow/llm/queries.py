@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txflow.llm import chat, decontaminate, language, lines, packing, quality, simhash, suffixes, tokens, urls, whitening
+from txflow.llm import chat, decontaminate, language, lines, mixing, packing, quality, simhash, suffixes, tokens, urls, whitening
 from txflow.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,30 @@ def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
                        F.get(explained, F.col("component")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
 
 
+def op12_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(table(spark, sf, "documents"))
+
+
+# The same queues: full sources by ratio of cap and weight, then cumulative words in md5 order.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+')) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS rk FROM s0),
+s2 AS (SELECT *, CAST([3, 1, 2][rk % 3 + 1] AS DOUBLE) AS w, source_size * 2.0::DOUBLE AS cap FROM s1),
+s3 AS (SELECT *, (1.5::DOUBLE * (SELECT CAST(sum(source_size) AS DOUBLE) FROM s2) - coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+       / sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM s2),
+l AS (SELECT lv AS level FROM s3 WHERE lv <= cap / w ORDER BY cap / w, rk LIMIT 1),
+s AS (SELECT source, rk, source_size, least(cap, (SELECT level FROM l) * w) AS target FROM s3),
+q AS (SELECT r, doc_id, size, rk, source_size, target, e, md5('12:' || e || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, (SELECT unnest([0, 1]) AS e) WHERE e = 0 OR (source_size < target AND size > 0)),
+c AS (SELECT *, sum(size) OVER (PARTITION BY rk ORDER BY e, h, size, r) AS upto FROM q),
+t AS (SELECT *, CAST(greatest(0, least(size, floor(target) - (upto - size))) AS BIGINT) AS taken, CASE WHEN target > 0 THEN CAST(upto AS DOUBLE) / target ELSE 0 END AS f FROM c),
+p AS (SELECT *, sum(taken) OVER (ORDER BY f, rk, e, h, size, r) - taken AS pos FROM t)
+SELECT doc_id, size, source_size, target, CAST(sum(taken) AS BIGINT) AS taken, CAST(min(CASE WHEN taken > 0 THEN pos END) AS BIGINT) AS first_position
+FROM p GROUP BY r, doc_id, size, source_size, target
+"""
+
+
 # Words and lines as the query takes them; a line counts once for each distinct text of a host.
 OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
@@ -143,5 +167,6 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_line_rules": op10_line_rules,
     "op11_whitening": op11_whitening,
+    "op12_mixing": op12_mixing,
 }
-ORACLES: dict[str, str] = {"op10_line_rules": OP10_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES: dict[str, str] = {"op10_line_rules": OP10_SQL, "op12_mixing": OP12_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
