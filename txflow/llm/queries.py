@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txflow.llm import chat, decontaminate, language, lines, mixing, packing, quality, simhash, suffixes, tokens, urls, whitening
+from txflow.llm import alignment, chat, decontaminate, language, lines, mixing, packing, quality, simhash, suffixes, tokens, urls, whitening
 from txflow.llm.common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,11 @@ FROM p GROUP BY r, doc_id, size, source_size, target
 """
 
 
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    per_doc, _ = alignment.aligned(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return per_doc
+
+
 # Words and lines as the query takes them; a line counts once for each distinct text of a host.
 OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
@@ -168,5 +173,6 @@ QUERIES: dict[str, Query] = {
     "op10_line_rules": op10_line_rules,
     "op11_whitening": op11_whitening,
     "op12_mixing": op12_mixing,
+    "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {"op10_line_rules": OP10_SQL, "op12_mixing": OP12_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
