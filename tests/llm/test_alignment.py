@@ -125,8 +125,7 @@ def test_many_slices(spark, coders, monkeypatch):
 def test_one_long_group_stays_small(coders):
     """Runs of one character end at few common bytes: links are products of counts, not rows."""
     text = "a" * 200_001 + "́" * 50_000
-    one, two = alignment.side(A), alignment.side(B)
-    columns, pairs = alignment._align_slice(pa.array([text]), one, two)
+    columns, pairs = alignment._align_slice(pa.array([text]), alignment.words_of(A, B))
     assert columns["n_links"][0].as_py() >= columns["n_a"][0].as_py() and len(pairs) < 1000
 
 

@@ -8,7 +8,7 @@ are products of counts, never listed one by one. ``Table.group_by`` sums them fo
 ids, the slice's documents that hold it. Spark adds up these partial counts over all slices; the totals
 return to the slices with the best count of each A id, and a second Arrow pass adds them up for each document.
 
-Tokenizers see each distinct word once a slice: where a space between two characters that are no white space starts a
+Tokenizers see each word once while a worker remembers it: where a space between two characters that are no white space starts a
 token in both vocabularies, a text is its words' tokens in a row. Other texts are encoded whole.
 
 Defined cases: null and empty texts have no tokens, and neither have texts whose tokens' bytes, joined, differ
@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 from txflow.llm.common import filled, single_threaded, slices
 from txflow.session import cut
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+REMEMBERED = 400_000  # words a worker keeps; results do not depend on it
 SPACE = "▁"
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -128,33 +129,69 @@ def _encode(coder, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _offsets(n), np.fromiter((i for x in found for i in x), np.int32, int(n.sum()))
 
 
-def token_lists(texts: pa.LargeStringArray, sides: list[Side]) -> list[pa.LargeListArray]:
-    """The tokens of space + text on each side; distinct words are encoded once."""
+class Words:
+    """Words a worker has met, with their tokens on both sides; it starts anew when there are too many."""
+
+    def __init__(self, sides: list[Side]):
+        self.sides = sides
+        self.splits = all(s.coder.splits for s in sides)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts = [np.zeros(1, np.int64) for _ in self.sides]
+        self.ids = [np.zeros(0, np.int32) for _ in self.sides]
+
+    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Offsets and ids of the stored words and, after them, of ``texts``."""
+        out = []
+        for s, starts, ids in zip(self.sides, self.starts, self.ids, strict=True):
+            more, own = _encode(s.coder, texts)
+            out.append((np.concatenate((starts, starts[-1] + more[1:])), np.concatenate((ids, own))))
+        return out
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the (distinct) words are stored."""
+        if len(self.place) > REMEMBERED:
+            self._clear()
+        new = [w for w in words if w not in self.place]
+        found, n = self.encoded(new), len(self.place)
+        self.starts, self.ids = [x for x, _ in found], [y for _, y in found]
+        self.place.update(zip(new, range(n, n + len(new)), strict=True))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+
+@cache
+def words_of(a_path: str, b_path: str) -> Words:
+    return Words([side(a_path), side(b_path)])
+
+
+def token_lists(texts: pa.LargeStringArray, known: Words) -> list[pa.LargeListArray]:
+    """The tokens of space + text on each side."""
     parts = pc.split_pattern(texts, " ")
-    if not all(s.coder.splits for s in sides):
+    if not known.splits:
         parts = pa.LargeListArray.from_arrays(pa.array(np.arange(len(texts) + 1), pa.int64()), texts)
-    words = parts.flatten().dictionary_encode()
-    code, known = words.indices.to_numpy().astype(np.int64), words.dictionary
+    coded = parts.flatten().dictionary_encode()
+    code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     ends = parts.offsets.to_numpy().astype(np.int64)
     ends = ends - ends[0]
-    # White space at a part's edge may join the space beside it.
-    edge = pc.fill_null(pc.match_substring_regex(known, r"^$|^[\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}]$"), True).to_numpy(zero_copy_only=False)
-    whole = np.add.reduceat(np.append(edge[code], False), np.minimum(ends[:-1], len(code))) > 0 if len(ends) > 1 else np.zeros(0, bool)
-    whole &= np.diff(ends) > 1  # a text of one part is that part
-    listed, at = known.to_pylist(), np.flatnonzero(whole)
-    used = np.zeros(len(listed), bool)
+    # White space at a part's edge may join the space beside it, so such a text is encoded whole.
+    edge = pc.match_substring_regex(words, r"^$|^[\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}]$").to_numpy(zero_copy_only=False)
+    whole = np.add.reduceat(edge[code], ends[:-1]) > 0 if len(texts) else np.zeros(0, bool)
+    if not known.splits:
+        whole[:] = True
+    used = np.zeros(len(words), bool)
     used[code[np.repeat(~whole, np.diff(ends))]] = True
-    place = np.cumsum(used) - 1
-    units = [w for w, u in zip(listed, used.tolist(), strict=True) if u] + texts.take(pa.array(at)).to_pylist()
+    place = np.zeros(len(words), np.int64)
+    place[used] = known.places(words.filter(pa.array(used)).to_pylist())
     # Every text as a list of units: its words, or itself.
     count = np.where(whole, 1, np.diff(ends))
     first = _offsets(count)
     unit = np.empty(int(count.sum()), np.int64)
     unit[_ranges(first[:-1][~whole], count[~whole])] = place[code[np.repeat(~whole, np.diff(ends))]]
-    unit[first[:-1][whole]] = int(used.sum()) + np.arange(len(at))
+    unit[first[:-1][whole]] = len(known.place) + np.arange(int(whole.sum()))
     out = []
-    for s in sides:
-        start, ids = _encode(s.coder, units)
+    for start, ids in known.encoded(texts.filter(pa.array(whole)).to_pylist()):
         n = np.diff(start)[unit]
         out.append(_lists(_offsets(n)[first], ids[_ranges(start[:-1][unit], n)]))
     return out
@@ -212,21 +249,36 @@ def _written(a: _Flat, b: _Flat, a_side: Side, b_side: Side, docs: int) -> pa.La
 
 def _links(a: _Flat, b: _Flat) -> pa.Table:
     """(doc, a, b, links): how many pairs of occurrences share a group."""
+    groups = int(a.last.sum())
+    a_size, b_size = np.bincount(a.group, minlength=groups), np.bincount(b.group, minlength=groups)
+    # Most groups have one token on a side: as many links as the other side has tokens.
+    plain = np.flatnonzero(np.minimum(a_size, b_size) == 1)
+    most = np.maximum(a_size, b_size)[plain]
+    step = _ranges(np.zeros(len(plain), np.int64), most)
+    at = np.repeat(plain, most)
+    a_at, b_at = (_offsets(size)[at] + step * (size[at] > 1) for size in (a_size, b_size))
+    doc_of = a.doc[a.last]  # by group
+    direct = pa.table({"doc": doc_of[at], "a": a.ids[a_at], "b": b.ids[b_at], "links": np.ones(len(at), np.int64)})
+    # The others count the ids of either side before these meet, so a long group gives no row for each pair of places.
+    mixed = np.minimum(a_size, b_size) > 1
+
     def counted(x: _Flat, name: str) -> pa.Table:
-        return pa.table({"group": x.group, name: x.ids}).group_by(["group", name], use_threads=False).aggregate([([], "count_all")]).rename_columns(["group", name, f"n_{name}"])
+        own = mixed[x.group]
+        return pa.table({"group": x.group[own], name: x.ids[own]}).group_by(["group", name], use_threads=False).aggregate(
+            [([], "count_all")]).rename_columns(["group", name, f"n_{name}"])
 
     joined = counted(a, "a").join(counted(b, "b"), keys="group", join_type="inner", use_threads=False)
-    doc_of = a.doc[a.last]  # by group
-    table = pa.table({"doc": doc_of[joined.column("group").to_numpy()], "a": joined.column("a"), "b": joined.column("b"),
-                      "links": pc.multiply(joined.column("n_a"), joined.column("n_b"))})
-    return table.group_by(["doc", "a", "b"], use_threads=False).aggregate([("links", "sum")]).rename_columns(["doc", "a", "b", "links"])
+    product = pa.table({"doc": doc_of[joined.column("group").to_numpy()], "a": joined.column("a"), "b": joined.column("b"),
+                        "links": pc.multiply(joined.column("n_a"), joined.column("n_b"))})
+    return pa.concat_tables([direct, product]).group_by(["doc", "a", "b"], use_threads=False).aggregate([("links", "sum")]).rename_columns(["doc", "a", "b", "links"])
 
 
-def _align_slice(texts: pa.Array, a_side: Side, b_side: Side) -> tuple[dict[str, pa.Array], pa.Table]:
+def _align_slice(texts: pa.Array, known: Words) -> tuple[dict[str, pa.Array], pa.Table]:
     """The document columns of a slice, and its pairs (pair, a, b, docs)."""
     n = len(texts)
     texts = texts.cast(pa.large_string())
-    a_lists, b_lists = token_lists(texts, [a_side, b_side])
+    a_side, b_side = known.sides
+    a_lists, b_lists = token_lists(texts, known)
     right = _same_bytes(a_lists, a_side, texts) & _same_bytes(b_lists, b_side, texts) & (pc.binary_length(texts).to_numpy() > 0)
     kept = pa.array(np.flatnonzero(right))
     a, b = align(a_lists.take(kept), b_lists.take(kept), a_side, b_side)
@@ -260,11 +312,11 @@ def _align_slice(texts: pa.Array, a_side: Side, b_side: Side) -> tuple[dict[str,
 
 def _first_pass(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_side, b_side = side(a_path), side(b_path)
+        known = words_of(a_path, b_path)
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
             for b in slices(whole, "text", SLICE_BYTES):
-                columns, pairs = _align_slice(b.column("text"), a_side, b_side)
+                columns, pairs = _align_slice(b.column("text"), known)
                 n = b.num_rows
                 columns |= {"_slice": pa.array(np.full(n, number)), "_at": pa.array(np.arange(n))}
                 yield pa.RecordBatch.from_arrays(
