@@ -363,7 +363,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
     totals = slice_pairs.groupBy("a", "b").agg(F.sum("docs").alias("docs"))
     # The rows of an A id are its partners, no more than B's vocabulary has.
     totals = cut(totals.withColumn("best", F.col("docs") == F.max("docs").over(Window.partitionBy("a"))))
-    known = slice_pairs.drop("docs").join(totals, ["a", "b"]).select(F.col("_slice").alias("_of"), "_pair", F.col("docs").alias("_count"), F.col("best").cast("int").alias("_best"))
+    # Both sides grow with the corpus, so neither is broadcast while it happens to be small.
+    known = slice_pairs.drop("docs").join(totals.hint("merge"), ["a", "b"]).select(F.col("_slice").alias("_of"), "_pair", F.col("docs").alias("_count"), F.col("best").cast("int").alias("_best"))
     names = ["_key", *_COUNTS, "groups"]
     rows = found.filter("_a IS NULL").select("_slice", *names, "_pair", "_links")
     schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
