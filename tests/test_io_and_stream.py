@@ -162,3 +162,130 @@ def test_state_of_one_user_can_be_read_back(spark, tmp_path):
     state = io.read_state(spark, str(tmp_path / "checkpoint"), stateVarName="moments")
     row = io.user_history(state.select("key.user", "value.*"), "stream-test-user").first()
     assert row["n"] == 10 and row["top"] == 200
+
+
+def test_scoring_under_an_observation(spark, sf):
+    """A model must not hold on to the session: an observed query cannot be sent to the workers with it."""
+    from pyspark.sql import Observation
+
+    df, inputs = learning.with_indicators(tx_events(spark, sf), ["amount", "merchant"])
+    model, seen = learning.train(df, inputs, kind="linear"), Observation()
+    scored = learning.score(model, df).observe(seen, F.count(F.lit(1)).alias("n"))
+    scored.write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == df.count()
+    again = learning.score(model, df).filter("score >= 0")
+    assert again.count() == df.count()
+
+
+def held(spark, folder, hold, files):
+    """Rows of ten users in time slices, each row in its own slice's file or two files later."""
+    rows = []
+    for i in range(400):
+        at = START + timedelta(minutes=30 * i)
+        rows.append((at, f"txn-{i}", f"u{i * 7 % 10}", float(5 + i * 37 % 90), f"M{i % 6}", i // (400 // files) + 2 * (i * 13 % 3 == 0)))
+    for k in range(files + 2):
+        lines = [json.dumps({"transaction_id": t, "user_id": u, "timestamp": at.isoformat(), "amount": a, "use_chip": "Chip Transaction", "merchant_name": m,
+                             "merchant_city": "C", "merchant_state": "S", "zip_code": "1", "mcc": m, "errors": []}) for at, t, u, a, m, f in rows[::-1] if f == k]
+        put(folder, f"{k}.txt", lines)
+        __import__("os").utime(folder / "in" / f"{k}.txt", (k + 1, k + 1))
+    stream = st.transactions_of(io.read_topic(spark, "text", path=str(folder / "in"), maxFilesPerTrigger=1))
+    begin = lambda s: st.start(st.stream_features(s, hold=hold), str(folder / "out"), str(folder / "checkpoint"), drain=True)
+    if hold:
+        st.drain(stream, str(folder / "ends"), begin)
+    else:
+        begin(stream).awaitTermination()
+    return sorted(spark.read.parquet(str(folder / "out")).collect(), key=lambda r: r["ts"])
+
+
+def test_held_rows_come_in_the_order_of_their_times(spark, tmp_path):
+    rows = held(spark, tmp_path, f"{30 * 200} minutes", 5)
+    assert len(rows) == 400 and not any(r["is_late"] for r in rows)
+    seen, last = {}, {}
+    for r in rows:
+        assert r["user_tx_count"] == seen.get(r["user"], 0), r["tx_id"]
+        gap = (r["ts"] - last[r["user"]]).total_seconds() / 86400 if r["user"] in last else None
+        assert r["days_since_last_tx"] == (None if gap is None else pytest.approx(gap))
+        seen[r["user"]], last[r["user"]] = seen.get(r["user"], 0) + 1, r["ts"]
+    # Nothing waits any more.
+    assert io.read_state(spark, str(tmp_path / "checkpoint"), stateVarName="held").count() == 0
+
+
+def test_rows_past_the_watermark_are_scored_and_marked(spark, tmp_path):
+    rows = held(spark, tmp_path, "1 minute", 5)
+    assert len(rows) == 400 and 0 < sum(r["is_late"] for r in rows) < 200
+
+
+def test_without_holding_the_borders_of_batches_show(spark, tmp_path):
+    rows = held(spark, tmp_path, None, 5)
+    assert len(rows) == 400 and any(r["is_late"] for r in rows)
+
+
+def test_counts_by_batch_survive_a_repeated_batch(spark, tmp_path):
+    put(tmp_path, "a.txt", messages(CASE[:6]))
+    score = lambda d: d.withColumn("score", F.lit(0.99))
+    path = str(tmp_path / "counts")
+
+    def run():
+        stream = st.transactions_of(io.read_topic(spark, "text", path=str(tmp_path / "in")))
+        st.start_counts(st.score_stream(stream, score), path, str(tmp_path / "checkpoint"), drain=True).awaitTermination()
+        return sum(r["n"] for r in st.read_counts(spark, path).collect())
+
+    assert run() == 6
+    before = {tuple(r) for r in st.read_counts(spark, path).collect()}
+    st.minute_counts(spark.createDataFrame([(START, "block", True)], "timestamp timestamp, decision string, model_invoked boolean").limit(0))
+    last = st.compact_counts(spark, path)
+    assert {tuple(r) for r in st.read_counts(spark, path).collect()} == before
+    put(tmp_path, "b.txt", messages(CASE[6:], 6))
+    assert run() == 10
+    # The batch after the merge is done again: its counts are replaced, not added.
+    again = spark.read.parquet(f"{path}/upto=-1/batch={last + 1}").collect()
+    spark.createDataFrame(again).write.mode("overwrite").parquet(f"{path}/upto=-1/batch={last + 1}")
+    assert sum(r["n"] for r in st.read_counts(spark, path).collect()) == 10
+    assert st.compact_counts(spark, path, "2026-03-01 12:00:00") > last
+    assert min(r["minute"] for r in st.read_counts(spark, path).collect()) >= datetime(2026, 3, 1, 12)
+
+
+def test_fitted_model_inside_the_stream(spark, sf, tmp_path):
+    """All rows of the stream get the score, decision and rule that the same model gives on batch windows."""
+    from pyspark.ml.functions import vector_to_array
+
+    from txflow.catalog import streams
+    from txflow.operators import encode as enc
+    from txflow.operators.features import clean_transactions, user_features
+    from txflow.operators.windows import build_windows, serving_vector
+    from txflow.schema import BASE_COLUMNS, ENRICHED, MERCHANT_FEATURES
+
+    raw = raw_events(spark, sf)
+    encoding = flows.fit_encoding(flows.clean_split(raw).filter("split = 'train'"))
+    encoding.save(str(tmp_path / "encoding"))
+    encoding = flows.Encoding.load(spark, str(tmp_path / "encoding"))
+    rows = user_features(flows.keyed_rows(clean_transactions(raw)), "User", "amount_raw", "raw_merchant", "raw_mcc", "raw_channel", "raw_city", "raw_state")
+    rows = rows.withColumns({c: F.lit(None).cast("double") for c in MERCHANT_FEATURES})
+    merchants = rows.groupBy(F.col("raw_merchant").alias("merchant")).agg((F.count("*") % 7).cast("double").alias("merch_large_tx_rate"))
+    rows = rows.drop("merch_large_tx_rate").join(merchants, rows["raw_merchant"] == merchants["merchant"])
+    seq = build_windows(enc.scale(encoding.coded(rows), encoding.stats, flows.SCALED), BASE_COLUMNS, ("User",))
+    batch = seq.withColumn("slots", serving_vector("user_tx_count", "seq", BASE_COLUMNS, ENRICHED)).withColumn("inputs", flows.model_vector("slots"))
+    model = learning.train(batch, "inputs", kind="linear")
+    want = {str(r["tx_id"]): r for r in learning.score(model, batch.withColumn("x", vector_to_array("inputs"))).select("tx_id", "score").collect()}
+
+    score = st.model_score(model, encoding, [(merchants, "merchant")])
+    out = streams._drain(spark, raw, lambda s, hold: st.score_stream(streams._encoded(s, encoding), score, 0.5, hold=hold),
+                         time=streams.build_timestamp("Year", "Month", "Day", "Time")).collect()
+    assert len(out) == raw.count()
+    scored = [r for r in out if r["model_invoked"]]
+    assert {r["transaction_id"] for r in scored} == set(want) and len(want) > 500
+    assert all(r["fraud_score_raw"] == pytest.approx(want[r["transaction_id"]]["score"], rel=1e-6, abs=1e-9) for r in scored)
+    assert all((r["decision"] == "block") == (r["rule"] == "high_prob_high_conf") for r in out)
+    assert all(r["fraud_score_raw"] >= 0.5 and r["confidence_score"] >= 0.75 for r in scored if r["decision"] == "block")
+    assert len({r["decision"] for r in scored}) > 1
+
+
+def test_messages_give_all_base_columns(spark, tmp_path):
+    put(tmp_path, "a.txt", messages())
+    df = st.transactions_of(spark.read.text(str(tmp_path / "in")))
+    codes = {c: spark.createDataFrame([("5411", 3.0), ("M-A", 7.0), ("10001", 2.0)], "value string, code double") for c in (*flows.FREQUENCY, *flows.LABEL)}
+    rows = st.encoded(df, flows.Encoding(codes, None), st.message_columns()).collect()
+    assert len(rows) == 10 and all(len(r["base"]) == 21 for r in rows)
+    first = next(r for r in rows if r["tx_id"] == "txn-0")
+    assert first["mcc"] == "5411" and first["base"][:5] == [7.0, 0.0, 0.0, 2.0, 3.0] and first["base"][7] is None
+    assert first["base"][-3:] == [1.0, 0.0, 0.0] and first["base"][15:18] == [10.0, 6.0, 3.0]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from txflow.functions.clean import bin_index
 from txflow.operators.joining import with_row
+from txflow.operators.learning import without_summary
 from txflow.operators.ordered import percentiles, spearman
 from txflow.operators.sampling import stratified_split
 from txflow.session import cut
@@ -77,7 +78,7 @@ def recalibration(df: DataFrame, prob: str, label: str = "label", key: str = "tx
     parts = stratified_split(df.select(key, F.col(prob).alias("p"), F.col(label).cast("double").alias("y")), "y", key, 0.5, seed)
     parts = cut(VectorAssembler(inputCols=["p"], outputCol="x").transform(parts))
     fit, hold = parts.filter("part = 'a'"), parts.filter("part = 'b'")
-    platt = LogisticRegression(featuresCol="x", labelCol="y", probabilityCol="q", regParam=1e-4).fit(fit)
+    platt = without_summary(LogisticRegression(featuresCol="x", labelCol="y", probabilityCol="q", regParam=1e-4).fit(fit))
     iso = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="isotonic").fit(_merge_equal(fit))
     judged = iso.transform(platt.transform(hold)).withColumn("platt", vector_to_array("q")[1])
     long = judged.select("y", F.explode(F.array(*[

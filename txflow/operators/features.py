@@ -16,8 +16,8 @@ DAY = 86_400
 LARGE_AMOUNT = 200.0
 
 
-def clean_transactions(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Raw text rows -> typed rows with the 21 base columns before encoding."""
+def typed_transactions(raw: DataFrame) -> DataFrame:
+    """Raw text rows, stored or streamed -> typed rows with the base columns that need no other row."""
     typed = raw.withColumns({
         "ts": c.build_timestamp("Year", "Month", "Day", "Time"),
         "amount_raw": c.parse_amount("Amount"),
@@ -25,10 +25,15 @@ def clean_transactions(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         "Zip": c.clean_zip("Zip", "Use Chip"),
         "Merchant State": c.clean_state("Merchant State", "Use Chip"),
     }).drop("Year", "Month", "Day", "Time", "Amount", "Is Fraud?")  # "Month" would hide "month"
-    typed = typed.withColumns({
+    return typed.withColumns({
         "amount_log": c.signed_log1p("amount_raw"),
         **c.error_flags("Errors?"), **c.calendar("ts"), **c.one_hot("Use Chip"),
     })
+
+
+def clean_transactions(raw: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Raw text rows -> typed rows with the 21 base columns before encoding."""
+    typed = typed_transactions(raw)
     gaps = prior(typed, "User", [Previous("_previous")], hot_rows=hot_rows)
     hours = (F.unix_micros("ts") - F.unix_micros("_previous")) / 3.6e9
     return gaps.withColumn("hours_since_last", F.coalesce(hours, F.lit(0.0))).drop(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -43,7 +44,18 @@ def train(df: DataFrame, inputs: Sequence[str] | str, label: str = "label", kind
         model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, cacheNodeIds=False, **common)
     else:
         model = LogisticRegression(maxIter=25, regParam=1e-4, **common)
-    return Pipeline(stages=[*vector, model]).fit(with_weight(df, label))
+    return without_summary(Pipeline(stages=[*vector, model]).fit(with_weight(df, label)))
+
+
+def without_summary(model):
+    """The model, or pipeline of models, without its training summary.
+
+    The summary holds the session, which cannot travel to the workers once anything in it observes a query.
+    """
+    for stage in getattr(model, "stages", [model]):
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.apply(None))
+    return model
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txflow.functions import decide
@@ -20,9 +20,62 @@ from txflow.operators.split import chrono_split, recent_slice
 from txflow.operators.windows import build_windows, serving_vector
 from txflow.schema import BASE_COLUMNS, ENRICHED, WINDOW
 from txflow.session import cut
+from txflow.sources.io import load_encoders, save_encoders
 
 FREQUENCY = ("Merchant Name", "Merchant City", "Zip")
 LABEL = ("MCC", "Merchant State")
+GAP = "hours_since_last"
+# Base columns that are scaled; flags stay 0 or 1.
+SCALED = tuple(c for c in BASE_COLUMNS if not c.startswith(("err_", "chip_")))
+
+
+@dataclass
+class Encoding:
+    """What the model input needs of the training rows: code tables, and one row of means and deviations of ``SCALED``."""
+
+    codes: dict[str, DataFrame]
+    stats: DataFrame
+
+    def save(self, path: str) -> None:
+        save_encoders(self.codes, f"{path}/codes")
+        self.stats.write.mode("overwrite").parquet(f"{path}/scaler")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Encoding:
+        return cls(load_encoders(spark, f"{path}/codes", (*FREQUENCY, *LABEL)), spark.read.parquet(f"{path}/scaler"))
+
+    def coded(self, rows: DataFrame) -> DataFrame:
+        """Codes in place of keys; the rows may be a stream, the tables are then joined to each micro-batch."""
+        return encode.encode(rows, self.codes).withColumns({c: F.col(f"`{c}`").cast("double") for c in SCALED if c in rows.columns})
+
+    def scaled_window(self, window: str = "window") -> Column:
+        """The slots of an unscaled window, scaled: all steps of a column share its mean and deviation."""
+        stats = self.stats.first()
+        at = {c: i for i, c in enumerate(SCALED)}
+        shift = F.array(*[F.lit(float(stats[f"m_{at[c]}"]) if c in at else 0.0) for c in BASE_COLUMNS])
+        width = F.array(*[F.lit(float(stats[f"s_{at[c]}"]) if c in at else 1.0) for c in BASE_COLUMNS])
+        column = lambda i: F.floor(i / F.lit(WINDOW)).cast("int")
+        return F.transform(window, lambda x, i: (x - F.get(shift, column(i))) / F.get(width, column(i)))
+
+
+def fit_encoding(train: DataFrame) -> Encoding:
+    """From clean training rows; the tables are written, since every use reads them again."""
+    codes = {c: cut(t) for c, t in encode.fit_encoders(train, FREQUENCY, LABEL).items()}
+    unscaled = Encoding(codes, train)
+    return Encoding(codes, cut(encode.scaler_stats(unscaled.coded(train), SCALED)))
+
+
+def keyed_rows(rows: DataFrame) -> DataFrame:
+    """Typed rows with their raw keys beside the columns that will be encoded."""
+    keep = {f"raw_{n}": F.col(c) for n, c in (
+        ("merchant", "Merchant Name"), ("mcc", "MCC"), ("city", "Merchant City"), ("state", "Merchant State"))}
+    channel = F.when(F.col("`chip_Chip Transaction`") == 1, "chip").when(F.col("`chip_Online Transaction`") == 1, "online").otherwise("swipe")
+    return rows.withColumns({**keep, "raw_channel": channel})
+
+
+def clean_split(raw: DataFrame, frac: float = 0.8) -> DataFrame:
+    """Clean rows with their split: the rows an encoding is fitted on are those of 'train'."""
+    return chrono_split(clean_transactions(raw), "User", frac)
 
 
 def model_input(raw: DataFrame, frac: float = 0.8) -> DataFrame:
@@ -31,20 +84,13 @@ def model_input(raw: DataFrame, frac: float = 0.8) -> DataFrame:
     Clean, split, encode with training codes, add history features, take windows inside
     each split. The history columns keep the raw keys; the windows get the encoded ones.
     """
-    clean = clean_transactions(raw)
-    keep = {f"raw_{n}": F.col(c) for n, c in (
-        ("merchant", "Merchant Name"), ("mcc", "MCC"), ("city", "Merchant City"), ("state", "Merchant State"))}
-    channel = F.when(F.col("`chip_Chip Transaction`") == 1, "chip").when(F.col("`chip_Online Transaction`") == 1, "online").otherwise("swipe")
-    rows = clean.withColumns({**keep, "raw_channel": channel})
+    rows = keyed_rows(clean_transactions(raw))
     # Gap, user features and split share the exchange by user; merchants need their own.
     rich = user_features(rows, "User", "amount_raw", "raw_merchant", "raw_mcc", "raw_channel", "raw_city", "raw_state")
     rich = merchant_features(chrono_split(rich, "User", frac, measure=rows), "raw_merchant", "amount_raw", measure=rows)
     parts = cut(population_features(rich, measure=rows))  # read by every encoder and by the rows themselves
-    codes = encode.fit_encoders(parts.filter("split = 'train'"), FREQUENCY, LABEL)
-    coded = encode.encode(parts, codes)
-    scaled = [c for c in BASE_COLUMNS if not c.startswith(("err_", "chip_"))]
-    train = coded.filter("split = 'train'")
-    coded = encode.scale(coded.withColumns({c: F.col(f"`{c}`").cast("double") for c in scaled}), encode.scaler_stats(train, scaled), scaled)
+    encoding = fit_encoding(parts.filter("split = 'train'"))
+    coded = encode.scale(encoding.coded(parts), encoding.stats, SCALED)
     seq = build_windows(coded, BASE_COLUMNS, ("User", "split"))
     return seq.withColumns({
         "vector": serving_vector("user_tx_count", "seq", BASE_COLUMNS, ENRICHED), "n_missing": missing_count(ENRICHED),
@@ -62,10 +108,15 @@ def training_rows(raw: DataFrame, frac: float = 0.8) -> DataFrame:
     flag for each of these that is missing (its slot holds 0 then). ``window_inputs`` is the first 210.
     """
     rows = model_input(raw, frac).filter("vector IS NOT NULL")
-    filled = F.transform("vector", lambda x: F.coalesce(x, F.lit(0.0)))
-    flags = F.transform(F.slice("vector", len(SLOTS) + 1, len(ENRICHED)), lambda x: F.when(x.isNull(), 1.0).otherwise(0.0))
-    return rows.select("tx_id", "User", "split", "label", "user_tx_count", array_to_vector(F.concat(filled, flags)).alias("inputs"),
-                       array_to_vector(F.slice(filled, 1, len(SLOTS))).alias("window_inputs"))
+    window = array_to_vector(F.transform(F.slice("vector", 1, len(SLOTS)), lambda x: F.coalesce(x, F.lit(0.0))))
+    return rows.select("tx_id", "User", "split", "label", "user_tx_count", model_vector("vector").alias("inputs"), window.alias("window_inputs"))
+
+
+def model_vector(slots: str) -> Column:
+    """The vector that ``INPUTS`` names, from the 243 slots: missing ones become 0, and flags tell which history features were."""
+    filled = F.transform(slots, lambda x: F.coalesce(x, F.lit(0.0)))
+    flags = F.transform(F.slice(slots, len(SLOTS) + 1, len(ENRICHED)), lambda x: F.when(x.isNull(), 1.0).otherwise(0.0))
+    return array_to_vector(F.concat(filled, flags))
 
 
 def verdicts(scored: DataFrame, threshold: float = decide.THRESHOLD, coefficients: dict | None = None, means: dict | None = None) -> DataFrame:
