@@ -41,7 +41,7 @@ def test_percentiles_have_the_same_digits_on_every_path(spark):
     df = spark.range(3_000).select((F.hash("id") % 1_000 / 7.0).alias("v"), (F.col("id") % 3).alias("g"))
     probs = [0.013, 0.25, 0.5, 0.9137]
     a = {r.g: r.pcts for r in ordered.percentiles(df, "v", probs, ["g"]).collect()}
-    b = {r.g: r.pcts for r in ordered.percentiles(df, "v", probs, ["g"], small_rows=1).collect()}
+    b = {r.g: r.pcts for r in ordered.percentiles(df, "v", probs, ["g"], accuracy=50).collect()}
     c = {r.g: r.pcts for r in ordered.percentiles_of_counts(ordered.value_counts(df, "v", ["g"]), "v", probs, ["g"], part_rows=50).collect()}
     assert a == b == c
 

@@ -65,13 +65,13 @@ def test_running_totals_in_parts(spark, descending):
     assert a == {k: v[0] for k, v in b.items()} and {v[1] for v in b.values()} == {200}
 
 
-@pytest.mark.parametrize("small_rows", [10**6, 0])
-def test_percentiles_equal_numpy(spark, small_rows):
+@pytest.mark.parametrize("accuracy", [10**4, 20, 12])
+def test_percentiles_equal_numpy(spark, accuracy):
     vals = np.concatenate([RNG.lognormal(size=300), np.zeros(150)])
     df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(vals)] + [(None, 0)], "v double, g int")
     probs = [0, .1, .25, .5, .9, .995, 1]
-    assert percentiles(df, "v", probs, small_rows=small_rows).first()["pcts"] == pytest.approx(list(np.percentile(vals, [p * 100 for p in probs])))
-    for r in percentiles(df, "v", probs, ["g"], small_rows).collect():
+    assert percentiles(df, "v", probs, accuracy=accuracy).first()["pcts"] == pytest.approx(list(np.percentile(vals, [p * 100 for p in probs])))
+    for r in percentiles(df, "v", probs, ["g"], accuracy).collect():
         assert r["pcts"] == pytest.approx(list(np.percentile(vals[np.arange(450) % 3 == r["g"]], [p * 100 for p in probs])))
     many = percentiles_of_counts(value_counts(df, "v", ["g"]), "v", probs, ["g"], part_rows=20).collect()
     for r in many:
@@ -83,7 +83,7 @@ def test_percentile_bands_on_a_long_column(spark):
     df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(100_003)) * 1.0).alias("v"))
     probs = [0.05, 0.5, 0.8, 0.99]
     want = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0]
-    assert percentiles(df, "v", probs, small_rows=0).first()["pcts"] == pytest.approx(want)
+    assert percentiles(df, "v", probs).first()["pcts"] == pytest.approx(want)
 
 
 @pytest.mark.parametrize("part_rows", [10**6, 6])
@@ -128,6 +128,60 @@ def test_psi_of_equal_tables_is_zero_and_types(spark):
     assert drift.should_retrain(drift.psi(drift.long_sides(df, df, ["cont"]))).first()["retrain"] == 0
 
 
+def wide_input(spark):
+    rng = np.random.RandomState(3)
+    n = 3_000
+    x = rng.lognormal(size=(n, 12))
+    x[:, 1], x[:, 2], x[:, 3] = np.round(x[:, 1], 1), rng.randint(0, 2, n), 4.0
+    x[:, 4] = rng.randint(0, 3, n)
+    x[rng.rand(n) < 0.2, 5] = np.nan
+    x[:, 6] = np.nan
+    x[:2000, 7] = np.nan
+    x[2000:, 8] *= 2
+    x[2500:, 3] = 5.0
+    x[:, 9] = np.where(rng.rand(n) < 0.95, 0.0, x[:, 9])
+    names = [f"f{i}" for i in range(12)]
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+    return df.filter("id < 2000"), df.filter("id >= 2000"), names
+
+
+@pytest.mark.parametrize("accuracy", [10**4, 60])
+def test_wide_psi_equals_the_long_form(spark, accuracy):
+    ref, mon, names = wide_input(spark)
+    want = {r["feature"]: r.asDict() for r in drift.psi(drift.long_sides(ref, mon, names)).collect()}
+    got = {r["feature"]: r.asDict() for r in drift.psi_between(ref, mon, names, accuracy=accuracy).collect()}
+    assert got.keys() == want.keys()
+    for f, w in want.items():
+        assert {k: v for k, v in got[f].items() if k != "psi"} == {k: v for k, v in w.items() if k != "psi"}, f
+        assert got[f]["psi"] == pytest.approx(w["psi"], abs=1e-12), f
+
+
+def test_wide_psi_of_empty_tables(spark):
+    df = spark.createDataFrame([], "a double, b double")
+    got = drift.psi_between(df, df, ["a", "b"]).collect()
+    assert [(r["feature_type"], r["psi"]) for r in got] == [("all_missing_in_reference", 0.0)] * 2
+
+
+def test_wide_psi_reads_its_input_once_and_the_written_table_three_times(spark, tmp_path):
+    ref, mon, names = wide_input(spark)
+    ref.write.parquet(str(tmp_path / "ref"))
+    ref, seen = spark.read.parquet(str(tmp_path / "ref")), []
+    taken = drift.cut
+
+    def noted(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return taken(df)
+
+    drift.cut = noted
+    try:
+        drift.psi_between(ref, ref, names)
+    finally:
+        drift.cut = taken
+    assert sum(p.count("tmp") > 0 and p.count("/ref]") for p in seen) == 2  # each side once
+    assert not any("Generate" in p for p in seen)
+
+
 def test_calibration_bounds_and_deciles(spark):
     df, s, y = table(spark)
     bins = cal.reliability_deciles(df, "score")

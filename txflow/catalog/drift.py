@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txflow.catalog.base import big, history, model_long, r, scored, scored_history, tx_events
+from txflow.catalog.base import big, history, model_long, r, raw_events, scored, scored_history, tx_events
 from txflow.catalog.registry import query
 from txflow.catalog.sql import S, head
 from txflow.operators import calibration as cal
 from txflow.operators import drift
 from txflow.operators.joining import with_row
+from txflow.plans import flows
+from txflow.schema import slot_names
 from txflow.session import cut
 
 # Reference: the first 60 % of the ids; monitored: the rest, with the amount moved and more values missing.
@@ -41,9 +43,8 @@ def _d(body):
     return head("uf") + ", " + _SIDES + body
 
 
-def _long(spark, sf):
-    # Written once, as a feature table would be: the drift report reads it several times.
-    df = cut(history(spark, sf).select("tx_id", "ts", "amount", "merchant", "label", "user_amount_zscore"))
+def _psi(spark, sf):
+    df = history(spark, sf).select("tx_id", "ts", "amount", "merchant", "label", "user_amount_zscore")
     edge = df.agg((0.6 * F.max("tx_id")).alias("_edge"))
     k = F.col("merchant")
     df = with_row(df, edge).withColumn("side", F.when(F.col("tx_id") < F.col("_edge"), "ref").otherwise("mon"))
@@ -54,7 +55,8 @@ def _long(spark, sf):
         "zscore": F.when(~(mon & (k % 4 == 0)), r("user_amount_zscore")),
         "ref_missing": F.when(mon & (k % 2 == 0), 5.0),
     })
-    return drift.long_sides(df.filter(~mon), df.filter(mon), _FEATURES)
+    df = cut(df)  # either side is a filter of it
+    return drift.psi_between(df.filter("side = 'ref'"), df.filter("side = 'mon'"), _FEATURES)
 
 
 @query("d01_psi", _d(f""" SELECT psi.feature, round(psi, 6) AS psi, {_CATEGORY} AS category, CASE WHEN u = 0 THEN 'all_missing_in_reference' WHEN u = 1 THEN 'constant'
@@ -62,25 +64,33 @@ def _long(spark, sf):
     ELSE (SELECT count(*) FROM inn WHERE inn.feature = psi.feature) + 1 + CAST(rnull + mnull > 0 AS INTEGER) END AS BIGINT) AS n_bins_used,
     round(CAST(rnull AS DOUBLE) / rn, 6) AS ref_null_rate, round(CAST(mnull AS DOUBLE) / mn, 6) AS mon_null_rate FROM psi JOIN st ON st.feature = psi.feature"""))
 def d01(spark, sf):
-    out = drift.psi(_long(spark, sf))
+    out = _psi(spark, sf)
     return out.select("feature", r("psi").alias("psi"), "category", "feature_type", big("n_bins_used").alias("n_bins_used"),
                       r("ref_null_rate").alias("ref_null_rate"), r("mon_null_rate").alias("mon_null_rate"))
 
 
 @query("d02_psi_categories", _d(f" SELECT {_CATEGORY} AS category, count(*) AS n FROM psi GROUP BY 1"))
 def d02(spark, sf):
-    return drift.category_counts(drift.psi(_long(spark, sf)))
+    return drift.category_counts(_psi(spark, sf))
 
 
 @query("d02_top_drift", _d(" SELECT feature, round(psi, 6) AS psi FROM psi ORDER BY psi DESC, feature LIMIT 3"))
 def d02t(spark, sf):
-    return drift.top_drift(drift.psi(_long(spark, sf)), 3).select("feature", r("psi").alias("psi"))
+    return drift.top_drift(_psi(spark, sf), 3).select("feature", r("psi").alias("psi"))
 
 
 @query("d03_should_retrain", _d(""" SELECT CAST(max(psi) >= 0.25 OR avg(CAST(psi >= 0.1 AS INTEGER)) > 0.2 AS BIGINT) AS retrain,
     count(*) FILTER (psi >= 0.1) AS watching, count(*) AS total, 'feature ' || max_by(feature, psi) || ' has PSI ' || format('{:.4f}', max(psi)) || ', at or above 0.25' AS reason FROM psi"""))
 def d03(spark, sf):
-    return drift.should_retrain(drift.psi(_long(spark, sf))).select(big("retrain").alias("retrain"), "watching", "total", "reason")
+    return drift.should_retrain(_psi(spark, sf)).select(big("retrain").alias("retrain"), "watching", "total", "reason")
+
+
+@query("d01_psi_model_input")
+def d01m(spark, sf):
+    """All 243 inputs of the model: training rows against later ones."""
+    rows = cut(flows.model_input(raw_events(spark, sf)).filter("vector IS NOT NULL").select("split", F.col("vector").alias("_x")))
+    out = drift.psi_of_arrays(rows.filter("split = 'train'"), rows.filter("split = 'test'"), slot_names())
+    return out.select("feature", r("psi").alias("psi"), "category", "feature_type", big("n_bins_used").alias("n_bins_used"))
 
 
 @query("d04_brier", S("""SELECT model, round(bs, 6) AS brier, round(p * (1 - p), 6) AS baseline, round(1 - bs / (p * (1 - p)), 6) AS skill FROM

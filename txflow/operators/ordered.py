@@ -1,16 +1,16 @@
 """Running totals, ranks and exact percentiles over a global order.
 
 ``Window.orderBy`` without partitions, and the ``percentile`` aggregate, pull a
-whole column into one task. The functions here measure first. Small inputs take
-the plain Spark expression. Larger ones are cut into value ranges at measured
-quantiles, so that every range has its own task and what lies before it arrives
+whole column into one task. The functions here measure first. Orders too long for a task are cut into value ranges
+at measured quantiles, so that every range has its own task and what lies before it arrives
 as one small table; percentiles first narrow the search to a thin band of values
-around each target, so that almost no row is shuffled. Results are the same.
+around each target, so that almost no row is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from txflow.operators.joining import same, with_row
 from txflow.session import cut
 
-# Distinct values one task may order, and values one percentile aggregate may hold.
-PART_ROWS, SMALL_ROWS = 4_000_000, 1_000_000
-MAX_GROUPS = 1_000
+# Distinct values one task may order.
+PART_ROWS = 4_000_000
 ACCURACY = 10_000
 _PART = "_part"
 
@@ -112,53 +111,66 @@ def _at_ranks(first: Column, past: Column, value: Column, total: Column, p: floa
     return pick(F.floor(pos)), pick(F.ceil(pos))
 
 
-def percentiles(
-    df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), small_rows: int = SMALL_ROWS
-) -> DataFrame:
-    """Exact percentiles with linear interpolation: one row per group, array ``pcts``."""
+def percentiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
+    """Exact percentiles with linear interpolation: one row per group, array ``pcts``.
+
+    Two scans of the values, whatever the size: a mergeable sketch gives each group's number of rows and a
+    thin band of values around each target; then the rows inside the bands are counted by value, the others by the
+    gap between bands in which they lie. Only counts are shuffled.
+    """
     groups = list(groups)
-    have = df.select(*groups, F.col(value).cast("double").alias("_v")).filter("_v is not null")
-    if have.count() <= small_rows:
-        return have.groupBy(*groups).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("pcts"))
-    # The approximate rank error is at most 1/ACCURACY, so this band holds the exact rank.
-    near = [min(1.0, max(0.0, p + side * 3 / ACCURACY)) for p in probs for side in (-1, 1)]
-    bands = have.groupBy(*groups).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(p) for p in near]), ACCURACY).alias("_q"),
+    have = cut(df.select(*groups, F.col(value).cast("double").alias("_v")).filter("_v is not null"))
+    bands = cut(have.groupBy(*groups).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(p) for p in band_probs(probs, accuracy)]), accuracy).alias("_q"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-    )
-    # In a short group the two ranks around a target can lie outside; its band is all its values.
-    whole = F.flatten(F.array_repeat(F.array("_min", "_max"), len(probs)))
-    bands = bands.withColumn("_q", F.when(F.col("_n") < 10 * ACCURACY, whole).otherwise(F.col("_q"))).drop("_min", "_max")
-    rows = bands.limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        return percentiles_of_counts(value_counts(have, "_v", groups), "_v", probs, groups)
-    return _from_bands(have, groups, df.sparkSession.createDataFrame(rows, bands.schema), probs)
+    ).withColumn("_q", band_edges(accuracy)).drop("_min", "_max"))
+    tagged = same(have, bands, groups, "inner") if groups else with_row(have, bands)
+    v, q = F.col("_v"), F.col("_q")
+    pairs = [(q[2 * i], q[2 * i + 1]) for i in range(len(probs))]
+    inside = reduce(lambda x, y: x | y, [(v >= lo) & (v <= hi) for lo, hi in pairs])
+    gap = sum(((lo <= v).cast("int") for lo, _ in pairs), F.lit(0))
+    counts = tagged.groupBy(*groups, F.when(~inside, gap).alias("_gap"), F.when(inside, v).alias("_v")).agg(F.count("*").alias("n"))
+    return percentiles_of_bands(counts, bands, probs, groups)
 
 
-def _from_bands(have: DataFrame, groups: list[str], bands: DataFrame, probs: Sequence[float]) -> DataFrame:
-    tagged = same(have, F.broadcast(bands), groups, "inner") if groups else with_row(have, bands)
-    v, q = F.col("_v"), F.col("_q")
-    below = tagged.groupBy(*groups).agg(
-        F.max("_n").alias("_n"), *[F.count_if(v < q[2 * i]).alias(f"_below{i}") for i in range(len(probs))]
-    )
-    hits = F.array(*[F.when((v >= q[2 * i]) & (v <= q[2 * i + 1]), F.lit(i)) for i in range(len(probs))])
-    inside = tagged.select(*groups, "_v", F.explode(F.array_compact(hits)).alias("_i"))
-    counts = inside.groupBy(*groups, "_i", "_v").agg(F.count("*").alias("n"))
-    cum = running_totals(counts, "_v", {"upto": "n"}, [*groups, "_i"])
-    cum = same(cum, below, groups, "left") if groups else with_row(cum, below)
-    offset = F.element_at(F.array(*[F.col(f"_below{i}") for i in range(len(probs))]), F.col("_i") + 1)
-    first, past = offset + F.col("upto") - F.col("n"), offset + F.col("upto")
+def band_probs(probs: Sequence[float], accuracy: int = ACCURACY) -> list[float]:
+    """Where to ask a sketch of rank error 1 / accuracy, so that the exact ranks around each target lie between two answers."""
+    return [min(1.0, max(0.0, p + side * 3 / accuracy)) for p in probs for side in (-1, 1)]
+
+
+def band_edges(accuracy: int = ACCURACY) -> Column:
+    """The sketch's answers ``_q``; in a group of few rows (``_n``) the two ranks around a target can lie outside, its bands are all its values."""
+    whole = F.transform("_q", lambda _, i: F.when(i % 2 == 0, F.col("_min")).otherwise(F.col("_max")))
+    return F.when(F.col("_n") < 10 * accuracy, whole).otherwise(F.col("_q"))
+
+
+def percentiles_of_bands(counts: DataFrame, bands: DataFrame, probs: Sequence[float], groups: Sequence[str] = (), part_rows: int = PART_ROWS) -> DataFrame:
+    """The percentiles from (groups, _gap, _v, n) and (groups, _n, _q).
+
+    ``_v`` are the values inside bands; a row outside has a ``_gap`` instead: the number of bands that begin at or below it.
+    """
+    groups = list(groups)
+    counts = cut(counts)
+    gaps = counts.filter("_v IS NULL").groupBy(*groups).agg(F.collect_list(F.struct("_gap", "n")).alias("_gaps"))
+    info = cut(same(bands, gaps, groups, "left") if groups else with_row(bands, gaps))
+    values = counts.filter("_v IS NOT NULL").drop("_gap")
+    cum = running_totals(values, "_v", {"upto": "n"}, groups, part_rows=part_rows, rows=values.count())
+    cum = same(cum, info, groups, "left") if groups else with_row(cum, info)
+    begun = F.size(F.filter("_q", lambda x, i: (i % 2 == 0) & (x <= F.col("_v"))))
+    below = F.aggregate(F.filter(F.coalesce("_gaps", F.array()), lambda g: g["_gap"] < begun), F.lit(0).cast("long"), lambda t, g: t + g["n"])
+    ranked = cum.withColumns({"_first": below + F.col("upto") - F.col("n"), "_past": below + F.col("upto")})
     aggs = [F.max("_n").alias("_n")]
     for i, p in enumerate(probs):
-        lo, hi = _at_ranks(first, past, F.when(F.col("_i") == i, v), F.col("_n"), p)
+        lo, hi = _at_ranks(F.col("_first"), F.col("_past"), F.col("_v"), F.col("_n"), p)
         aggs += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    out = cum.groupBy(*groups).agg(*aggs)
+    found = ranked.groupBy(*groups).agg(*aggs)
     pcts = []
     for i, p in enumerate(probs):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        sure = F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("percentile outside its band")).cast("double")).otherwise(lo)
+        outside = (F.col("_n") > 0) & (lo.isNull() | hi.isNull())
+        sure = F.when(outside, F.raise_error(F.lit("percentile outside its band")).cast("double")).otherwise(lo)
         pcts.append(_interpolate(F.col("_n"), p, sure, hi))
-    return out.select(*groups, F.array(*pcts).alias("pcts"))
+    return found.select(*groups, F.when(F.col("_n") > 0, F.array(*pcts)).alias("pcts"))
 
 
 def percentiles_of_counts(

@@ -161,7 +161,7 @@ def refit_on_drift(current: PipelineModel, reference: DataFrame, monitored: Data
     The candidate's score is the mean of the old and the new model: Spark's trees cannot
     be grown further, and an average keeps what the current model knows.
     """
-    table = cut(drift.psi(drift.long_sides(reference, monitored, features)))
+    table = cut(drift.psi_between(reference, monitored, features))
     trigger = drift.should_retrain(table)
     if not trigger.first()["retrain"]:
         return Refit(trigger)
