@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txflow.functions import decide
 from txflow.operators.joining import with_row
+from txflow.schema import WINDOW
 
 # --- input -------------------------------------------------------------------------------
 
@@ -95,9 +98,60 @@ def augment(df: DataFrame, synthetic: DataFrame, cols: Sequence[str], label: str
     return out
 
 
+def augment_slots(df: DataFrame, synthetic: DataFrame, names: Sequence[str], inputs: str = "inputs", label: str = "label",
+                  evaders: DataFrame | None = None, step: int = WINDOW - 1) -> DataFrame:
+    """(source, label, inputs): the same for vectors whose slots ``names`` tells.
+
+    A column of ``synthetic`` named like a base column goes into the slot of the latest step, one named like a history feature into its
+    own; where it is NULL, and in all other slots, stands the mean of the positive class, from one aggregate over the vectors.
+    """
+    place = {n: i for i, n in enumerate(names)}
+    at = {c: place[f"{c}_t{step}"] if f"{c}_t{step}" in place else place[c] for c in synthetic.columns}
+    mean = df.filter(F.col(label) == 1).select(Summarizer.mean(F.col(inputs)).alias("_m")).select(vector_to_array("_m").alias("_mean"))
+    given = F.map_from_entries(F.array(*[F.struct(F.lit(i), F.col(f"`{c}`").cast("double")) for c, i in at.items()]))
+    filled = with_row(synthetic.withColumn("_given", given), mean)
+    slots = F.transform("_mean", lambda m, i: F.coalesce(F.try_element_at("_given", i), m))
+    parts = [("real", df.select(F.col(label).cast("int").alias(label), inputs)), ("synthetic", filled.select(F.lit(1).alias(label), array_to_vector(slots).alias(inputs)))]
+    if evaders is not None:
+        parts.append(("evader", evaders.select(F.lit(1).alias(label), inputs)))
+    return reduce(DataFrame.unionByName, [part.withColumn("source", F.lit(name)) for name, part in parts])
+
+
+# --- ablation ----------------------------------------------------------------------------
+
+
+def ablate(model: PipelineModel, df: DataFrame, groups: Mapping[str, Sequence[str]], names: Sequence[str], inputs: str = "inputs") -> DataFrame:
+    """The columns of ``df`` but its vector, ``model`` (the variant's name) and ``score``, for each variant: the slots of its group set to zero.
+
+    All variants of a row are scored by the fitted model in one pass over the rows.
+    """
+    rest = [c for c in df.columns if c != inputs]
+    variants = []
+    for name, zeroed in groups.items():
+        out = set(zeroed)
+        keep = F.array(*[F.lit(0.0 if n in out else 1.0) for n in names])
+        variants.append(F.struct(F.lit(name).alias("model"), F.zip_with("_x", keep, lambda x, k: x * k).alias("x")))
+    each = df.select(*rest, vector_to_array(inputs).alias("_x")).select(*rest, F.explode(F.array(*variants)).alias("_v"))
+    return score(model, each.select(*rest, "_v.model", array_to_vector("_v.x").alias(inputs))).drop(inputs)
+
+
 # --- attributions ------------------------------------------------------------------------
 
 
+def vector_attributions(x: Column | str, coefficients: Sequence[float], means: Sequence[float]) -> Column:
+    """coef * (x - mean) of every slot of an array; a missing slot counts as its mean. One expression, however wide the input."""
+    array = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    off = F.zip_with(x, array(means), lambda v, m: F.coalesce(v - m, F.lit(0.0)))
+    return F.zip_with(off, array(coefficients), lambda d, c: c * d)
+
+
+def top_slots(shares: Column | str, names: Sequence[str], n: int = 5) -> Column:
+    """ARRAY<STRUCT<feature, shap_value>>: the ``n`` slots of largest magnitude, the first on ties."""
+    ranked = F.array_sort(F.transform(shares, lambda v, i: F.struct((-F.abs(v)).alias("order"), i.alias("at"), v.alias("shap_value"))))
+    called = F.array(*[F.lit(c) for c in names])
+    return F.transform(F.slice(ranked, 1, n), lambda e: F.struct(F.get(called, e["at"]).alias("feature"), e["shap_value"].alias("shap_value")))
+
+
 def top_by_magnitude(values: dict[str, Column], n: int = 5) -> Column:
     """ARRAY<STRUCT<feature, shap_value>>: the ``n`` entries of largest magnitude, first named first on ties."""
     items = F.array(*[

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,14 +102,14 @@ INPUTS = [*SLOTS, *ENRICHED, *(f"{c}__missing" for c in ENRICHED)]
 
 
 def training_rows(raw: DataFrame, frac: float = 0.8) -> DataFrame:
-    """(tx_id, User, split, label, user_tx_count, inputs, window_inputs) of rows with a full window.
+    """(tx_id, User, ts, split, label, user_tx_count, inputs, window_inputs) of rows with a full window.
 
     ``inputs`` is the whole model input as a vector named by ``INPUTS``: 210 window slots, 33 history features and a
     flag for each of these that is missing (its slot holds 0 then). ``window_inputs`` is the first 210.
     """
     rows = model_input(raw, frac).filter("vector IS NOT NULL")
     window = array_to_vector(F.transform(F.slice("vector", 1, len(SLOTS)), lambda x: F.coalesce(x, F.lit(0.0))))
-    return rows.select("tx_id", "User", "split", "label", "user_tx_count", model_vector("vector").alias("inputs"), window.alias("window_inputs"))
+    return rows.select("tx_id", "User", "ts", "split", "label", "user_tx_count", model_vector("vector").alias("inputs"), window.alias("window_inputs"))
 
 
 def model_vector(slots: str) -> Column:
@@ -154,18 +154,23 @@ class Refit:
     promoted: bool = False
 
 
-def refit_on_drift(current: PipelineModel, reference: DataFrame, monitored: DataFrame, test: DataFrame, inputs: Sequence[str],
-                   features: Sequence[str], threshold: float, label: str = "label", kind: str = "trees", recent: float = 0.2) -> Refit:
+def refit_on_drift(current: PipelineModel, reference: DataFrame, monitored: DataFrame, test: DataFrame, inputs: Sequence[str] | str,
+                   features: Sequence[str], threshold: float, label: str = "label", kind: str = "trees", recent: float = 0.2, **fit) -> Refit:
     """Drift report -> trigger -> fit on the recent slice -> gate on one test set.
 
+    ``inputs`` are columns, of which ``features`` are watched, or one vector column with the slots ``features``, all watched.
     The candidate's score is the mean of the old and the new model: Spark's trees cannot
     be grown further, and an average keeps what the current model knows.
     """
-    table = cut(drift.psi_between(reference, monitored, features))
+    if isinstance(inputs, str):
+        sides = [d.select(F.slice(vector_to_array(inputs), 1, len(features)).alias("_x")) for d in (reference, monitored)]
+        table = cut(drift.psi_of_arrays(*sides, features))
+    else:
+        table = cut(drift.psi_between(reference, monitored, features))
     trigger = drift.should_retrain(table)
     if not trigger.first()["retrain"]:
         return Refit(trigger)
-    fresh = learning.train(recent_slice(reference.unionByName(monitored), recent), inputs, label, kind=kind)
+    fresh = learning.train(recent_slice(reference.unionByName(monitored), recent), inputs, label, kind=kind, **fit)
     old = learning.score(current, test, "old")
     both = cut(learning.score(fresh, old, "new").withColumn("candidate", decide.fuse("old", "new", 0.5, 0.5)))
 
