@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +40,23 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), str(value))
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the Python workers this package, once for each context, wherever the job was started.
+
+    ``get_session`` does it; with a session made elsewhere call it before operators that run Python.
+    """
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent
+    if package.parent.is_dir() and not getattr(sc, "_txflow_shipped", False):
+        archive = Path(tempfile.mkdtemp(prefix="txflow-")) / "txflow.zip"  # the context hands it to the executors
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+        sc._txflow_shipped = True
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
