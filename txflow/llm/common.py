@@ -114,9 +114,11 @@ def single_threaded() -> None:
 
 
 def with_struct(df: DataFrame, out: str, fields: T.StructType, compute: Callable[[list], list[list]], column: str = "text") -> DataFrame:
-    """``df`` and a struct column of what ``compute`` gives, field by field, for a list of values of ``column``."""
-    if out in df.columns:
-        raise ValueError(f"the table has a column {out} already")
+    """``df`` and a struct column of what ``compute`` gives, field by field, for a list of values of ``column``.
+
+    A column of the table that is called ``out`` already gives way.
+    """
+    df = df.drop(out)
     kinds = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

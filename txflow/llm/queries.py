@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from txflow.llm import alignment, chat, decontaminate, language, lines, mixing, packing, quality, simhash, suffixes, tokens, urls, whitening
 from txflow.llm.common import held_out
+from txflow.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 OVER = 4096
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,7 +31,7 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_chat_examples(spark: SparkSession, sf: str) -> DataFrame:
-    given = table(spark, sf, "conversations")
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
     return chat.digest(chat.expand(given.unionByName(extra)))
@@ -51,7 +52,7 @@ def page_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of the documents that pages show: the number in a page's path is a document's id."""
     number = F.regexp_extract("url", "://[^?#]*/([0-9]+)", 1).try_cast("bigint")
     pages = table(spark, sf, "pages").select("url", number.alias("doc_id"))
-    return pages.join(table(spark, sf, "labels"), "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return pages.join(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
 
 
 def op5_url_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +157,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf)
+    return corpus_pipeline.run(ship(spark), sf)
 
 
 QUERIES: dict[str, Query] = {
