@@ -73,3 +73,22 @@ def test_refit_on_a_vector(spark, rows):
     out = flows.refit_on_drift(model, df, moved, df, "inputs", NAMES, 0.5, kind="trees", rounds=2)
     assert out.trigger.first()["retrain"] == 1 and "feature h " in out.trigger.first()["reason"]
     assert out.promoted == (out.gate.first()["decision"] == "promote")
+
+
+def test_drift_of_the_whole_model_input_equals_the_long_form(spark, sf):
+    from txflow.operators import drift
+    from txflow.schema import slot_names
+    from txflow.session import cut
+    from txflow.sources.tables import raw_events
+
+    names = slot_names()
+    rows = cut(flows.model_input(raw_events(spark, sf)).filter("vector IS NOT NULL").select("split", F.col("vector").alias("_x")))
+    sides = [rows.filter(F.col("split") == s) for s in ("train", "test")]
+    got = {r["feature"]: r.asDict() for r in drift.psi_of_arrays(*sides, names).collect()}
+    called = F.array(*[F.lit(n) for n in names])
+    long = rows.select(F.when(F.col("split") == "train", "ref").otherwise("mon").alias("side"), F.posexplode("_x").alias("i", "value"))
+    want = {r["feature"]: r.asDict() for r in drift.psi(long.select("side", F.get(called, F.col("i")).alias("feature"), "value")).collect()}
+    assert got.keys() == want.keys() == set(names)
+    for f, w in want.items():
+        assert {k: v for k, v in got[f].items() if k != "psi"} == {k: v for k, v in w.items() if k != "psi"}, f
+        assert got[f]["psi"] == pytest.approx(w["psi"], abs=1e-9), f
