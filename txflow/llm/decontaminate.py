@@ -2,27 +2,34 @@
 
 A seed is a fixed mask over a window of tokens: the hashes of the tokens at its marked positions are
 combined, the others are ignored, so a substitution at an ignored position leaves the seed as it is.
-Seeds of the documents are looked up among those of the benchmark. A hit names an alignment of a
-document with an item; along it tokens are compared one by one, and the alignment counts if some
-stretch of ``STRETCH`` tokens (the whole item, if that is shorter) agrees in ``AGREE`` of them.
-
-The benchmark is a query set: its items are cut into segments, the segments dealt into blocks of about
-``BLOCK_TOKENS`` tokens, and a block's seeds and tokens go to the tasks as one broadcast of bounded size.
-Documents are scanned once for each block, in no shuffle, whatever the number of documents that hold a
-passage. Segments overlap by a stretch, so none is lost at a border.
+Seeds of the documents are joined with those of the benchmark. Around a hit a document and an item are
+laid over each other and compared token by token; an alignment counts if some stretch of ``STRETCH``
+tokens (the whole item, if that is shorter) agrees in ``AGREE`` of them. The masks are chosen so that
+every stretch that agrees so far holds a seed: none is lost, whatever tokens are substituted. Items of
+fewer than ``TOLERANT`` tokens must agree as a whole.
+
+1. Items are cut into segments of ``SEGMENT`` tokens that overlap by a stretch; their seeds are written
+   as a table (seed, segment).
+2. Documents are scanned once. A Bloom filter over the benchmark's seeds, at most ``FILTER_BITS`` wide,
+   goes to the tasks; a larger benchmark lets more windows pass, no block is scanned again. Windows that
+   pass are gathered by cells of ``CELL`` tokens; a cell's tokens with a stretch on both sides are a region.
+3. Regions with the same tokens become one body, so copies are compared once.
+4. (seed, body) joins (seed, segment), salted, since some seeds are in many bodies; each pair of body and
+   segment is compared once, at every shift that shares a seed. A region and a segment have bounded
+   lengths, so texts of one repeated word cost no more memory than others.
 
 Tokens are maximal runs of letters and digits of the lower-case text; non-ASCII spaces, punctuation and symbols end them
 as ASCII ones do. In scripts that put no spaces between words (``NO_SPACES``) each code point is a token.
 
-Defined cases: a null or empty text matches nothing; an item with fewer than ``SHORTEST`` tokens is ignored (single words
-would mark clean documents); repeated rows and ids each get a row; empty tables give an empty table; other columns are ignored.
+Defined cases: a null or empty text matches nothing, nor does an item without tokens; an item of one word marks every document
+with that word, unless ``shortest`` is raised; repeated rows and ids each get a row; empty tables give an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +40,21 @@ from pyspark.sql import types as T
 from txflow.llm.common import U64, PrefixHash, filled, mix, numbered, packed, slices
 from txflow.session import cut
 
-MASKS = ("1101011", "11100101", "1100010011")
 STRETCH = 20
 AGREE = 0.75
-SHORTEST = 8
-BLOCK_TOKENS = 1_000_000
-SEGMENT = 4_096
+TOLERANT = 8
+_ANY = 1 << 62
+# Mask, shortest and longest item that uses it. A test lays every pattern of substitutions over 8 to 20 tokens.
+MASKS = (
+    ("1101011", 8, _ANY), ("11100101", 8, _ANY), ("1100010011", 10, _ANY), ("11111", 8, _ANY), ("110111", 10, 12), ("10111", 8, 9), ("11000011", 8, 9),
+    *(("1" * n, n, n) for n in range(1, TOLERANT)),
+)
+SEGMENT = 512
+CELL = 256
+BITS_PER_SEED = 32
+PROBES = 6
+FILTER_BITS = 1 << 29
+SALTS = 8
 BUFFER = 1 << 18
 
 _IN_TOKEN = np.zeros(256, bool)
@@ -110,93 +126,127 @@ def seeds(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
         if mark == "1":
             out = (out ^ tokens[k : k + n]) * U64(0x9FB21C651E98DF25)
             out ^= out >> U64(29)
-    return out
-
-
-@dataclass
-class Block:
-    """Tokens of some items one after another, and a sorted index of their seeds with a bitmap ahead of it."""
-
-    items: np.ndarray  # item number by segment
-    starts: np.ndarray  # first token by segment, and the end
-    tokens: np.ndarray
-    keys: np.ndarray  # sorted seeds
-    at: np.ndarray  # token where the seed's window begins
-    bits: np.ndarray
-
-    @classmethod
-    def of(cls, rows: list) -> Block:
-        parts = [np.array(r["tokens"], np.int64).view(U64) for r in rows]
-        starts = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-        keys, at = [], []
-        for number, mask in enumerate(MASKS):
-            for p, s in zip(parts, starts, strict=False):
-                found = seeds(p, mask, number)
-                keys.append(found)
-                at.append(s + np.arange(len(found)))
-        keys, at = np.concatenate([np.zeros(0, U64), *keys]), np.concatenate([np.zeros(0, np.int64), *at])
-        order = np.argsort(keys, kind="stable")
-        bits = np.zeros(1 << max(16, int(len(keys) * 16).bit_length()), bool)
-        bits[(keys & U64(len(bits) - 1)).astype(np.int64)] = True
-        return cls(np.array([r["item"] for r in rows]), starts, np.concatenate([np.zeros(0, U64), *parts]), keys[order], at[order], bits)
-
-    def hits(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Windows of ``tokens`` and of the block that share a seed."""
-        for number, mask in enumerate(MASKS):
-            key = seeds(tokens, mask, number)
-            where = np.flatnonzero(self.bits[(key & U64(len(self.bits) - 1)).astype(np.int64)])
-            low = np.searchsorted(self.keys, key[where], "left")
-            count = np.searchsorted(self.keys, key[where], "right") - low
-            window = np.repeat(where, count)
-            inside = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)
-            yield window, self.at[np.repeat(low, count) + inside]
-
-
-def best_stretch(equal: np.ndarray, width: int) -> int:
-    """Most agreeing tokens in ``width`` tokens in a row."""
-    sums = np.concatenate(([0], np.cumsum(equal)))
-    return int((sums[width:] - sums[:-width]).max()) if len(equal) >= width else 0
-
-
-def overlaps(tokens: np.ndarray, docs: np.ndarray, block: Block, stretch: int, agree: float) -> list[tuple[int, int, int, int, int, int]]:
-    """Verified alignments: document, item, agreeing tokens, compared tokens, first and last token of the overlap.
+    return mix(out)
+
+
+def masks_of(length: int) -> list[int]:
+    """Numbers of the masks that an item of ``length`` tokens uses."""
+    return [k for k, (_, low, high) in enumerate(MASKS) if low <= length <= high]
+
+
+class Filter:
+    """Bloom filter over the seeds of a benchmark: words of 64 bits, a power of two of them."""
+
+    def __init__(self, words: np.ndarray, masks: list[int]):
+        self.words, self.masks = words, masks
+
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        """Places in ``key`` of the seeds that may be the benchmark's."""
+        last = U64(len(self.words) * 64 - 1)
+        at, step = np.arange(len(key)), key >> U64(32) | U64(1)
+        for k in range(PROBES):
+            bit = ((key[at] & last) + U64(k) * step[at]) & last
+            at = at[(self.words[(bit >> U64(6)).astype(np.int64)] >> (bit & U64(63)) & U64(1)).astype(bool)]
+        return at
+
+
+def filter_of(seeds_table: DataFrame, masks: list[int]) -> Filter:
+    """The bits are set in a Spark aggregate; as many rows return as the filter has words."""
+    bits = min(FILTER_BITS, 1 << max(16, int(seeds_table.count() * BITS_PER_SEED).bit_length()))
+    low, step = F.col("seed").bitwiseAND(bits - 1), F.shiftrightunsigned("seed", 32).bitwiseOR(1)
+    probe = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda k: (low + k * step).bitwiseAND(bits - 1)))
+    word = seeds_table.select(probe.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))
+    found = word.toArrow()
+    words = np.zeros(bits // 64, U64)
+    words[found.column("word").to_numpy()] = found.column("set").to_numpy().view(U64)
+    return Filter(words, masks)
+
+
+def regions_of(tokens: np.ndarray, docs: np.ndarray, known: Filter, stretch: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Document, first and last token and seeds of the cells with windows that pass the filter.
 
     ``docs`` holds the first token of each document, and the end.
     """
-    found = set()
-    for window, place in block.hits(tokens):
-        doc = np.searchsorted(docs, window, "right") - 1
-        segment = np.searchsorted(block.starts, place, "right") - 1
-        found.update(zip(doc.tolist(), segment.tolist(), (window - place).tolist(), strict=True))
-    out = []
-    for doc, segment, shift in found:
-        low = max(int(docs[doc]), int(block.starts[segment]) + shift)
-        high = min(int(docs[doc + 1]), int(block.starts[segment + 1]) + shift)
-        width = min(stretch, int(block.starts[segment + 1] - block.starts[segment]))
+    places, keys, spans = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for number in known.masks:
+        mask = MASKS[number][0]
+        key = seeds(tokens, mask, number)
+        at = known.holds(key)
+        places.append(at)
+        keys.append(key[at])
+        spans.append(np.full(len(at), len(mask)))
+    place, key, span = np.concatenate(places), np.concatenate(keys), np.concatenate(spans)
+    doc = np.searchsorted(docs, place, "right") - 1
+    inside = place + span <= docs[doc + 1] if len(place) else np.zeros(0, bool)
+    place, key, span, doc = place[inside], key[inside], span[inside], doc[inside]
+    cell = (place - docs[doc]) // CELL
+    order = np.lexsort((place, cell, doc))
+    place, key, span, doc, cell = place[order], key[order], span[order], doc[order], cell[order]
+    first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(cell, prepend=-1) != 0))
+    for a, b in zip(first, np.append(first, len(place))[1:], strict=True):
+        d = doc[a]
+        low = max(docs[d], place[a] - stretch)
+        high = min(docs[d + 1], (place[a:b] + span[a:b]).max() + stretch)
+        yield int(d), int(low), int(high), np.unique(key[a:b])
+
+
+def best_stretch(region: np.ndarray, segment: np.ndarray, length: int, stretch: int, agree: float) -> tuple[int, int, int, int] | None:
+    """Agreeing tokens, their stretch's width and its place in ``region``, of the best of all shifts that share a seed.
+
+    ``length`` is the whole item's number of tokens.
+    """
+    width = min(stretch, length)
+    need = width if length < TOLERANT else agree * width
+    shifts = [np.zeros(0, np.int64)]
+    for number in masks_of(length):
+        mine, theirs = (seeds(t, MASKS[number][0], number) for t in (region, segment))
+        order = np.argsort(theirs, kind="stable")
+        low, high = (np.searchsorted(theirs[order], mine, side) for side in ("left", "right"))
+        count = high - low
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        shifts.append(np.unique(np.repeat(np.arange(len(mine)), count) - order[np.repeat(low, count) + inside]))
+    best = None
+    for shift in np.unique(np.concatenate(shifts)).tolist():
+        low, high = max(0, shift), min(len(region), len(segment) + shift)
         if high - low < width:
             continue
-        equal = tokens[low:high] == block.tokens[low - shift : high - shift]
-        if best_stretch(equal, width) >= agree * width:
-            out.append((doc, int(block.items[segment]), int(equal.sum()), high - low, low - int(docs[doc]), high - int(docs[doc])))
-    return out
+        sums = np.concatenate(([0], np.cumsum(region[low:high] == segment[low - shift : high - shift])))
+        found = sums[width:] - sums[:-width]
+        at = int(found.argmax())
+        if found[at] >= need and (best is None or found[at] > best[0]):
+            best = (int(found[at]), width, low + at, low + at + width)
+    return best
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
             found = tokens_of(text.encode())[0].view(np.int64)
-            step = SEGMENT - STRETCH
-            for k in range(0, max(1, len(found) - STRETCH), step):
+            for k in range(0, max(1, len(found) - STRETCH), SEGMENT - STRETCH):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([item], pa.int64()), pa.array([k]), pa.array([found[k : k + SEGMENT]], pa.list_(pa.int64()))],
-                    names=["item", "part", "tokens"])
+                    [pa.array([item], pa.int64()), pa.array([len(found)], pa.int64()), pa.array([found[k : k + SEGMENT]], pa.list_(pa.int64()))],
+                    names=["item", "length", "their_tokens"])
 
 
-_OVERLAP = T.StructType([T.StructField("_row", T.LongType()), *(
-    T.StructField(n, T.LongType()) for n in ("item", "agreeing", "compared", "first_token", "end_token"))])
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """Views of the lists of longs."""
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False).view(U64)
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _search(block, stretch: int, agree: float):
+def _seeds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for segment, length, tokens in zip(b.column("segment").to_pylist(), b.column("length").to_pylist(), _lists(b.column("their_tokens")), strict=True):
+            found = np.unique(np.concatenate([seeds(tokens, MASKS[k][0], k) for k in masks_of(length)]))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), segment))], names=["seed", "segment"])
+
+
+_LONGS = T.ArrayType(T.LongType())
+
+
+def _scan(known, stretch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", BUFFER):
@@ -204,44 +254,77 @@ def _search(block, stretch: int, agree: float):
                 tokens, at = tokens_of(b"\n".join(texts))
                 ends = np.cumsum([len(t) + 1 for t in texts])
                 docs = np.concatenate(([0], np.searchsorted(at, ends, "left")))
-                found = overlaps(tokens, docs, block.value, stretch, agree)
-                rows = b.column("_row").to_pylist()
+                found = list(regions_of(tokens, docs, known.value, stretch))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[r[0]] for r in found], pa.int64()), *(pa.array([r[k] for r in found], pa.int64()) for k in range(1, 6))],
-                    names=_OVERLAP.names)
+                    [*(c.take(pa.array([r[0] for r in found], pa.int64())) for c, n in zip(b.columns, b.schema.names, strict=True) if n != "text"),
+                     pa.array([r[1] - int(docs[r[0]]) for r in found], pa.int64()),
+                     pa.array([tokens[r[1] : r[2]].view(np.int64) for r in found], pa.list_(pa.int64())),
+                     pa.array([r[3].view(np.int64) for r in found], pa.list_(pa.int64()))],
+                    names=[*(n for n in b.schema.names if n != "text"), "start", "tokens", "seeds"])
+
+    return run
+
+
+_FOUND = "body1 long, body2 long, item long, agreeing long, compared long, low long, high long"
+
+
+def _compare(stretch: int, agree: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, found = [], []
+            for k, (mine, theirs, length) in enumerate(zip(_lists(b.column("tokens")), _lists(b.column("their_tokens")), b.column("length").to_pylist(), strict=True)):
+                best = best_stretch(mine, theirs, length, stretch, agree)
+                if best:
+                    rows.append(k)
+                    found.append(best)
+            kept = b.select(["body1", "body2", "item"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([r[k] for r in found], pa.int64()) for k in range(4))],
+                                             names=["body1", "body2", "item", "agreeing", "compared", "low", "high"])
 
     return run
 
 
 def overlaps_with(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-                  stretch: int = STRETCH, agree: float = AGREE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(_row, item, agreeing, compared, first_token, end_token) of ``docs`` that hold ``_row``: every verified alignment."""
+                  stretch: int = STRETCH, agree: float = AGREE, shortest: int = 1) -> DataFrame:
+    """Verified overlaps of ``docs``, which hold ``_row``: the columns of ``docs`` but the text, and (item, agreeing, compared,
+    first_token, end_token) of the best stretch of each region with each segment of an item.
+
+    Items of fewer than ``shortest`` tokens are left out. The masks find every stretch for the default ``stretch`` and ``agree`` or stricter ones.
+    """
     if stretch > STRETCH:
         raise ValueError(f"segments overlap by {STRETCH} tokens")
     # Items with equal texts are one query; the smallest id stands for them.
     items = benchmark.groupBy(F.lower(filled(item_text)).alias("text")).agg(F.min(item).cast("long").alias("item"))
-    parts = cut(items.select("item", "text").mapInArrow(_tokenize, "item long, part long, tokens array<long>").filter(
-        F.size("tokens") >= SHORTEST))
-    total = parts.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    blocks = -(-total // block_tokens)
-    placed = parts.withColumn("block", F.pmod(F.xxhash64("item", "part"), F.lit(max(1, blocks))))
-    texts = docs.select("_row", F.lower(filled(text)).alias("text"))
-    out = docs.sparkSession.createDataFrame([], _OVERLAP)
-    for number in range(blocks):
-        block = Block.of(placed.filter(F.col("block") == number).orderBy("item", "part").collect())  # about BLOCK_TOKENS tokens
-        out = out.unionByName(texts.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block), stretch, agree), _OVERLAP))
-    return out
+    parts = items.select("item", "text").mapInArrow(_tokenize, "item long, length long, their_tokens array<long>")
+    parts = cut(numbered(parts.filter(F.col("length") >= max(1, shortest)), "segment"))
+    theirs = cut(parts.mapInArrow(_seeds_of, "seed long, segment long"))
+    lengths = parts.agg(*[F.coalesce(F.bool_or(F.col("length").between(low, high)), F.lit(False)) for _, low, high in MASKS]).first()
+    known = docs.sparkSession.sparkContext.broadcast(filter_of(theirs, [k for k, used in enumerate(lengths) if used]))
+
+    carried = [c for c in docs.columns if c != text]
+    given = docs.select(*[F.col(c) for c in carried], F.lower(filled(text)).alias("text"))
+    kinds = T.StructType([*(docs.schema[c] for c in carried), T.StructField("start", T.LongType()), T.StructField("tokens", _LONGS), T.StructField("seeds", _LONGS)])
+    body = {"body1": F.xxhash64("tokens"), "body2": F.xxhash64(F.lit(1), "tokens")}
+    regions = cut(given.mapInArrow(_scan(known, stretch), kinds).withColumns(body))
+    bodies = cut(regions.groupBy("body1", "body2").agg(F.first("tokens").alias("tokens"), F.first("seeds").alias("seeds")))
+
+    salted = bodies.select("body1", "body2", F.pmod("body2", F.lit(SALTS)).alias("salt"), F.explode("seeds").alias("seed"))
+    spread = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    pairs = salted.join(spread, ["seed", "salt"]).select("body1", "body2", "segment").distinct()
+    both = pairs.join(bodies.select("body1", "body2", "tokens"), ["body1", "body2"]).join(parts, "segment")
+    found = cut(both.select("body1", "body2", "item", "length", "tokens", "their_tokens").mapInArrow(_compare(stretch, agree), _FOUND))
+    placed = regions.drop("tokens", "seeds").join(found, ["body1", "body2"])
+    return placed.select(*carried, "item", "agreeing", "compared", (F.col("start") + F.col("low")).alias("first_token"), (F.col("start") + F.col("high")).alias("end_token"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """(_row, key, n_items, item_ids, agreeing, compared): a row for each document with an overlap; the last two of the best one."""
+    """(_row, key, n_items, item_ids, agreeing, compared): a row for each document with an overlap; the last two of the best stretch."""
     rows = numbered(docs.select(F.col(key).alias("_key"), F.col(how.pop("text", "text")).alias("text")))
     found = overlaps_with(rows, benchmark, **how)
     best = F.max(F.struct("agreeing", F.negate("compared").alias("c")))
-    per_row = found.groupBy("_row").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), best.alias("_best"))
-    named = rows.select("_row", "_key").join(per_row, "_row")
-    return named.select("_row", F.col("_key").alias(key), F.size("item_ids").cast("long").alias("n_items"), "item_ids",
-                        F.col("_best.agreeing").alias("agreeing"), F.negate("_best.c").alias("compared"))
+    per_row = found.groupBy("_row", "_key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), best.alias("_best"))
+    return per_row.select("_row", F.col("_key").alias(key), F.size("item_ids").cast("long").alias("n_items"), "item_ids",
+                          F.col("_best.agreeing").alias("agreeing"), F.negate("_best.c").alias("compared"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
