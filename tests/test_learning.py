@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -92,3 +93,61 @@ def test_drift_of_the_whole_model_input_equals_the_long_form(spark, sf):
     for f, w in want.items():
         assert {k: v for k, v in got[f].items() if k != "psi"} == {k: v for k, v in w.items() if k != "psi"}, f
         assert got[f]["psi"] == pytest.approx(w["psi"], abs=1e-9), f
+
+
+def _grouped(spark, groups):
+    rng = np.random.RandomState(9)
+    n = 400 * groups
+    x = rng.normal(size=(n, 6)) * [1, 5, 0.1, 1, 1, 2] + [0, 100, 0, -3, 0, 0]
+    x[:, 4] = 7.0
+    bank = rng.choice(groups, size=n, p=[0.4, *[0.6 / (groups - 1)] * (groups - 1)])
+    y = (x[:, 0] * (1 + bank) - 4 * x[:, 2] + 0.3 * x[:, 5] + rng.normal(size=n) > 1).astype(int)
+    df = spark.createDataFrame([(int(b), int(c), v.tolist()) for b, c, v in zip(bank, y, x)], "bank int, label int, x array<double>")
+    return df.select("bank", "label", array_to_vector("x").alias("inputs"))
+
+
+def test_grouped_fit_equals_separate_fits(spark):
+    df = _grouped(spark, 3).cache()
+    got = ml.train_grouped(df, "bank", "inputs", rounds=100, tol=1e-8)
+    assert sorted(got) == [0, 1, 2]
+    for b, m in got.items():
+        own = ml.with_weight(df.filter(F.col("bank") == b))
+        want = LogisticRegression(maxIter=500, tol=1e-12, regParam=1e-4, featuresCol="inputs", weightCol="weight").fit(own)
+        theirs = want.coefficients.toArray().copy()
+        constant = theirs[4] * 7.0  # rounding may leave the constant input a spread, then it shares the intercept
+        theirs[4] = 0.0
+        np.testing.assert_allclose(m.coefficients, theirs, rtol=1e-3, atol=1e-4)
+        assert m.intercept == pytest.approx(want.intercept + constant, rel=1e-3, abs=1e-2)
+        assert m.coefficients[4] == 0
+    scored = ml.linear_scores(list(got.values()), df, "inputs")
+    for r in scored.limit(50).collect():
+        assert r.score == pytest.approx(np.mean([1 / (1 + np.exp(-(m.coefficients @ r.inputs.toArray() + m.intercept))) for m in got.values()]), rel=1e-9)
+
+
+def test_grouped_fit_odd_groups(spark):
+    df = _grouped(spark, 3)
+    odd = df.filter("bank = 1").selectExpr("10 AS bank", "0 AS label", "inputs").unionByName(
+        df.filter("bank = 2").selectExpr("11 AS bank", "1 AS label", "inputs")).unionByName(
+        df.limit(5).selectExpr("CAST(NULL AS INT) AS bank", "label", "inputs")).unionByName(
+        df.limit(5).selectExpr("0 AS bank", "CAST(NULL AS INT) AS label", "inputs"))
+    got, plain = ml.train_grouped(df.unionByName(odd), "bank", "inputs"), ml.train_grouped(df, "bank", "inputs")
+    assert got[10].intercept == -np.inf and got[11].intercept == np.inf and not got[10].coefficients.any()
+    for b in plain:
+        np.testing.assert_allclose(got[b].coefficients, plain[b].coefficients, rtol=1e-4, atol=1e-6)
+    assert set(got) == {0, 1, 2, 10, 11}
+    assert ml.train_grouped(df.limit(0), "bank", "inputs") == {}
+    holes = spark.createDataFrame([(None,), ([0.0] * 6,)], "x array<double>").select(F.when(F.col("x").isNotNull(), array_to_vector(F.coalesce("x", F.array(F.lit(0.0))))).alias("inputs"))
+    scores = [r.score for r in ml.linear_scores([got[10], got[11]], holes, "inputs").collect()]
+    assert None in scores and 0.5 in scores
+
+
+def test_grouped_fit_jobs_do_not_grow_with_the_groups(spark, monkeypatch):
+    passes = []
+    plain = ml._sums_by_group
+    monkeypatch.setattr(ml, "_sums_by_group", lambda *a: passes.append(1) or plain(*a))
+    counts = []
+    for groups in (2, 12):
+        passes.clear()
+        assert len(ml.train_grouped(_grouped(spark, groups), "bank", "inputs", rounds=12)) == groups
+        counts.append(len(passes))
+    assert counts[1] < 2 * counts[0]

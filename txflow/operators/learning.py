@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Generator, Iterator, Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from txflow.functions import decide
 from txflow.operators.joining import with_row
 from txflow.schema import WINDOW
+from txflow.session import cut
 
 # --- input -------------------------------------------------------------------------------
 
@@ -287,3 +292,172 @@ def ensemble_score(models: dict[int, PipelineModel], df: DataFrame, out: str = "
         total = total + F.col(f"_s{b}")
     return df.withColumn(out, total / len(models)).drop(*[f"_s{b}" for b in models])
 
+
+class Linear(NamedTuple):
+    """Coefficients by slot and intercept; a score is the logistic function of their sum."""
+
+    coefficients: np.ndarray
+    intercept: float
+
+
+def _array(vector: str) -> Column:
+    return F.when(F.col(vector).isNotNull(), vector_to_array(vector))
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1.0 + np.tanh(0.5 * z))
+
+
+def _sums_by_group(df: DataFrame, add: Callable[[object, np.ndarray, np.ndarray], np.ndarray]) -> dict[object, np.ndarray]:
+    """``add(key, x, y)`` summed over all rows of each key: one scan, a task adds up its rows, Spark the tasks' sums by (key, place).
+
+    As many numbers return to the driver as the keys' sums have.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {}
+        for b in batches:
+            x = b.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            y = b.column("_y").to_numpy(zero_copy_only=False)
+            coded = b.column("_g").dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            for k, key in enumerate(coded.dictionary.to_pylist()):
+                found = add(key, x[code == k], y[code == k])
+                own[key] = own[key] + found if key in own else found
+            if len(own) > 1_000:  # the tasks' memory stays bounded, however many keys there are
+                yield _sent(own, b.schema.field("_g").type)
+                own = {}
+        if own:
+            yield _sent(own, b.schema.field("_g").type)
+
+    kind = df.schema["_g"].dataType.simpleString()
+    parts = df.mapInArrow(run, f"_g {kind}, v array<double>").select("_g", F.posexplode("v").alias("k", "v"))
+    out: dict[object, list] = {}
+    for r in parts.groupBy("_g", "k").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(r["_g"], []).append((r["k"], r["v"]))
+    return {key: np.array([v for _, v in sorted(found)]) for key, found in out.items()}
+
+
+def _sent(sums: dict, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["_g", "v"])
+
+
+def _minimum(size: int, rounds: int, tol: float, memory: int = 10) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """L-BFGS with halved steps: yields points, is sent the value and gradient there, returns the minimum."""
+    x = np.zeros(size)
+    value, slope = yield x
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(slope).max() <= tol:
+            break
+        way, kept = slope.copy(), []
+        for s, y in reversed(pairs):
+            kept.append((s @ way) / (s @ y))
+            way -= kept[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            way *= (s @ y) / (y @ y)
+        for (s, y), part in zip(pairs, reversed(kept), strict=True):
+            way += (part - (y @ way) / (s @ y)) * s
+        step = 1.0 if pairs else min(1.0, 1.0 / np.linalg.norm(slope))
+        while True:
+            there, its_slope = yield x - step * way
+            if there <= value - 1e-4 * step * (way @ slope):
+                break
+            step /= 2
+            if step < 1e-12:  # no further at this precision
+                return x
+        s, y = -step * way, its_slope - slope
+        if s @ y > 0:
+            pairs = [*pairs, (s, y)][-memory:]
+        x, value, slope = x + s, there, its_slope
+    return x
+
+
+def train_grouped(df: DataFrame, group: str, inputs: str, label: str = "label", penalty: float = 1e-4, rounds: int = 25,
+                  tol: float = 1e-6) -> dict[object, Linear]:
+    """One class-weighted linear model per value of ``group``, all fitted by the same passes.
+
+    The models are those of ``train(kind="linear")`` on each group's rows: positives weigh as much as negatives, the L2
+    penalty is on coefficients of inputs scaled to unit deviation. Each pass scans the rows once, written as (group, label, inputs),
+    and sums loss and gradient of every group at that group's own point; the optimisers, one per group, move in step. The number
+    of jobs depends on the slowest group, not on how many there are. The driver holds a few vectors per group, as it does the models.
+
+    ``inputs`` is a vector column without missing values. Rows without a group, a label or inputs are left out; a group with
+    one class has zero coefficients and an infinite intercept, as Spark's fit gives; an input that is constant in a group gets 0.
+    """
+    rows = cut(df.select(F.col(group).alias("_g"), F.col(label).cast("double").alias("_y"), _array(inputs).alias("_x")).dropna())
+
+    def totals(key, x, y):
+        return np.concatenate(([len(y), y.sum()], x[y > 0].sum(axis=0), x[y <= 0].sum(axis=0)))
+
+    first = _sums_by_group(rows, totals)
+    out, mean, weight = {}, {}, {}
+    for key, t in first.items():
+        n, positive, width = t[0], t[1], (len(t) - 2) // 2
+        if positive in (0, n):
+            out[key] = Linear(np.zeros(width), np.inf if positive else -np.inf)
+            continue
+        weight[key] = (n - positive) / positive
+        mean[key] = (weight[key] * t[2 : 2 + width] + t[2 + width :]) / (2 * (n - positive))
+    if not mean:
+        return out
+    rows = rows.filter(F.col("_g").isin(list(mean))) if out else rows
+
+    def squares(key, x, y):
+        return np.where(y > 0, weight[key], 1.0) @ (x - mean[key]) ** 2
+
+    spread = {}
+    for key, t in _sums_by_group(rows, squares).items():
+        n, positive = first[key][:2]
+        total = 2 * (n - positive)  # of the weights; Spark's unbiased variance
+        spread[key] = np.sqrt(t / (total - (n - positive + positive * weight[key] ** 2) / total))
+        spread[key][spread[key] <= 1e-12 * np.abs(mean[key])] = 0.0  # rounding of the mean
+
+    def model(key, point):
+        flat = spread[key] == 0
+        coefficients = np.where(flat, 0.0, point[:-1] / np.where(flat, 1.0, spread[key]))
+        return Linear(coefficients, point[-1] - coefficients @ mean[key])
+
+    running = {key: _minimum(len(mean[key]) + 1, rounds, tol) for key in mean}
+    points = {key: next(r) for key, r in running.items()}
+    while points:
+        at = {key: model(key, p) for key, p in points.items()}
+
+        def gradients(key, x, y, at=at):
+            if key not in at:
+                return np.zeros(0)
+            w = np.where(y > 0, weight[key], 1.0)
+            z = x @ at[key].coefficients + at[key].intercept
+            loss = w @ (np.logaddexp(0.0, z) - y * z)
+            error = w * (_logistic(z) - y)
+            return np.concatenate(([loss, error.sum()], error @ x))
+
+        found, points_now, points = _sums_by_group(rows, gradients), points, {}
+        for key, p in points_now.items():
+            n, positive = first[key][:2]
+            loss, off, by_input = found[key][0], found[key][1], found[key][2:]
+            flat = spread[key] == 0
+            scaled = np.where(flat, 0.0, (by_input - off * mean[key]) / np.where(flat, 1.0, spread[key]))
+            total = 2 * (n - positive)
+            value = loss / total + penalty / 2 * (p[:-1] @ p[:-1])
+            slope = np.append(scaled / total + penalty * p[:-1], off / total)
+            try:
+                points[key] = running[key].send((value, slope))
+            except StopIteration as end:
+                out[key] = model(key, end.value)
+    return out
+
+
+def linear_scores(models: Sequence[Linear], df: DataFrame, inputs: str, out: str = "score") -> DataFrame:
+    """``df`` and the mean score of linear models on the vector column ``inputs``; NULL where that is NULL."""
+    weights, offsets = np.array([m.coefficients for m in models]), np.array([m.intercept for m in models])
+
+    @F.pandas_udf("double")
+    def mean_score(x: pd.Series) -> pd.Series:
+        known = x.notna()
+        found = pd.Series(np.nan, x.index).astype(object)
+        if known.any():
+            found[known] = _logistic(np.stack(x[known].to_numpy()) @ weights.T + offsets).mean(axis=1)
+        return found.where(known, None).astype("Float64")
+
+    return df.withColumn(out, mean_score(_array(inputs)))
