@@ -377,7 +377,7 @@ def train_grouped(df: DataFrame, group: str, inputs: str, label: str = "label",
                   tol: float = 1e-6) -> dict[object, Linear]:
     """One class-weighted linear model per value of ``group``, all fitted by the same passes.
 
-    The models are those of ``train(kind="linear")`` on each group's rows: positives weigh as much as negatives, the L2
+    At convergence (raise ``rounds``) the models are those of ``train(kind="linear")`` on each group's rows: positives weigh as much as negatives, the L2
     penalty is on coefficients of inputs scaled to unit deviation. Each pass scans the rows once, written as (group, label, inputs),
     and sums loss and gradient of every group at that group's own point; the optimisers, one per group, move in step. The number
     of jobs depends on the slowest group, not on how many there are. The driver holds a few vectors per group, as it does the models.
