@@ -1,15 +1,17 @@
 """History features against a plain Python loop, with ties, NULL amounts and heavy keys."""
 
 import math
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from txflow.operators import features as ft
-from txflow.operators.history import Moments, PriorCount, Trailing, prior
+from txflow.operators.history import Moments, PriorCount, Trailing, heavy_keys, prior
 from txflow.operators.split import chrono_split, leaks, mismatches
 from txflow.operators.windows import build_windows, count_windows
 from txflow.schema import ENRICHED
@@ -99,6 +101,24 @@ def test_one_key_holding_a_third_is_sliced_and_equal(spark):
             assert (r[c] is None) == (p[c] is None) and (r[c] is None or math.isclose(r[c], p[c], rel_tol=1e-9))
 
 
+def test_cut_points_stay_out_of_the_shuffles_of_rows(spark):
+    data = [(0 if i % 3 else i % 7, i % 37, (i * 7919) % 500, i % 5, i % 3) for i in range(400)]
+    specs = [Moments("amount", n="n", mean="mean"), PriorCount("c"), PriorCount("cm", ("merchant",)), Trailing("t", "c", 5 * 86400)]
+    df = frame(spark, data)
+    for out in (prior(df, "user", specs, hot_rows=20), build_windows(df.withColumn("split", F.lit("train")), cols=("amount",), hot_rows=20)):
+        plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+        exchanged = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
+        assert len(exchanged) > 2 and any("_slice" in x or "_block" in x for x in exchanged)
+        assert not any("_cuts" in x for x in exchanged)
+
+
+def test_each_heavy_key_has_the_cuts_it_needs(spark):
+    data = [(0, i, 1, 0, 0) for i in range(200)] + [(1, i, 1, 0, 0) for i in range(25)] + [(2, 5, 1, 0, 0) for _ in range(60)]
+    cuts = {r["user"]: r["_cuts"] for r in heavy_keys(frame(spark, data), ["user"], hot_rows=20).collect()}
+    assert len(cuts[0]) == 9 and len(cuts[1]) == 1
+    assert len(cuts[2]) == 2  # one moment, alone in its slice
+
+
 def test_null_keys_are_one_group_on_both_paths(spark):
     df = spark.createDataFrame([(i, None if i % 2 else 1, T0 + timedelta(hours=i), 1.0 * i) for i in range(20)], "tx_id long, user long, ts timestamp, amount double")
     a = {r["tx_id"]: r["n"] for r in prior(df, "user", [PriorCount("n")]).collect()}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from txflow.operators import calibration as cal
-from txflow.operators import drift, evaluate, metrics, sampling
+from txflow.operators import drift, evaluate, metrics, ordered, sampling
 from txflow.operators.ordered import percentiles, percentiles_of_counts, running_totals, spearman, value_counts
 
 RNG = np.random.RandomState(7)
@@ -99,6 +99,33 @@ def test_spearman_with_ties(spark, part_rows):
     assert got["n"] == 200 and got["rho"] == pytest.approx(np.corrcoef(ranks(a), ranks(b))[0, 1])
 
 
+@pytest.mark.parametrize("part_rows", [10**6, 9])
+def test_spearman_ranks_each_column_once(spark, part_rows, monkeypatch):
+    rng = np.random.RandomState(3)
+    a, b, c = rng.randint(0, 30, 300), rng.rand(300).round(2), rng.randint(0, 2, 300)
+    gap = rng.rand(300) < 0.2  # d has holes, so a is ranked twice: on all rows and on those with d
+    rows = [(int(x), float(y), int(z), None if g else float(x + y)) for x, y, z, g in zip(a, b, c, gap)]
+    df = spark.createDataFrame(rows, "a int, b double, c int, d double").withColumn("none", F.lit(None).cast("double"))
+    pairs = {"ab": ("a", "b"), "ac": ("a", "c"), "bc": ("b", "c"), "ad": ("a", "d"), "aa": ("a", "a"), "gone": ("a", "none")}
+    seen = []
+    plain = ordered.running_totals
+    monkeypatch.setattr(ordered, "running_totals", lambda counts, *x, **y: seen.append(counts) or plain(counts, *x, **y))
+    got = {r["pair"]: r for r in ordered.spearman(df, pairs, part_rows).collect()}
+
+    def rho(x, y):
+        r = [np.array([np.mean(np.where(np.sort(v) == e)[0]) for e in v]) for v in (x, y)]
+        return np.corrcoef(*r)[0, 1]
+
+    kept = ~gap
+    want = {"ab": (a, b), "ac": (a, c), "bc": (b, c), "ad": (a[kept], (a + b)[kept]), "aa": (a, a)}
+    assert set(got) == set(want)
+    for name, (x, y) in want.items():
+        assert got[name]["n"] == len(x) and got[name]["rho"] == pytest.approx(rho(x, y))
+    assert len(seen) == 1
+    counts = dict(seen[0].groupBy("_rank").agg(F.sum("n")).collect())
+    assert sorted(counts.values()) == sorted([300, 300, 300, kept.sum(), kept.sum()])
+
+
 def test_sweep_and_report(spark):
     df, s, y = table(spark)
     curve = metrics.pr_curve(df)

@@ -34,6 +34,7 @@ class Order:
     keys: tuple[str, ...]
     ts: str
     tx: str
+    cuts: DataFrame | None = None  # heavy keys with their cut points
 
     def rows(self, *extra: str):
         return Window.partitionBy(*self.keys, *extra).orderBy(self.ts, self.tx)
@@ -293,17 +294,17 @@ class Trailing(Feature):
     def attach(self, df, base, o):
         # Every distinct timestamp is both a data point and a question "how many rows
         # lie before me minus the span"; questions are answered by one running sum.
-        meta = [CUTS]
         at = o.micros()
-        points = base.groupBy(*o.keys, *meta, at.alias("_at")).agg(F.count("*").alias("_add"))
-        mixed = points.select(
-            *o.keys, *meta, "_at",
+        points = base.groupBy(*o.keys, at.alias("_at")).agg(F.count("*").alias("_add"))
+        both = points.select(
+            *o.keys, "_at",
             F.explode(F.array(
                 F.struct(F.col("_at").alias("pos"), F.lit(1).alias("q"), F.col("_add").alias("add")),
                 F.struct((F.col("_at") - self.span).alias("pos"), F.lit(0).alias("q"),
                          F.lit(0).cast("bigint").alias("add")),
             )).alias("e"),
-        ).select(*o.keys, "_at", "e.*", slice_of(F.col("e.pos")).alias(SLICE))
+        ).select(*o.keys, "_at", "e.*")
+        mixed = in_slices(both, F.col("pos"), o.cuts, o.keys)
         inside = Window.partitionBy(*o.keys, SLICE).orderBy("pos", "q").rowsBetween(_FIRST, 0)
         before = (
             mixed.groupBy(*o.keys, SLICE).agg(F.sum("add").alias("_t"))
@@ -352,6 +353,11 @@ def slice_of(micros: Column) -> Column:
     return F.size(F.filter(CUTS, lambda c: c < micros)).cast("bigint")
 
 
+def in_slices(df: DataFrame, micros: Column, cuts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose ``keys`` are in ``cuts``, with their slice; the cut points stay behind at the join."""
+    return same(df, cuts, keys, "inner").withColumn(SLICE, slice_of(micros)).drop(CUTS)
+
+
 def heavy_keys(df: DataFrame, keys: Sequence[str], ts: str = "ts", hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """The keys with more than ``hot_rows`` rows, with the times at which each one is cut.
 
@@ -370,7 +376,10 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], ts: str = "ts", hot_rows: int
     n = -(-most // hot_rows)
     steps = F.array(*[F.lit(i / n) for i in range(1, n)])
     own = same(df.select(*keys, micros.alias("_at")), large, keys, "inner")
-    found = own.groupBy(GROUP).agg(F.percentile_approx("_at", steps, max(10_000, 10 * n)).alias("_q"))
+    found = own.groupBy(GROUP, TOTAL).agg(F.percentile_approx("_at", steps, max(10_000, 10 * n)).alias("_q"))
+    # Each key takes as many of the n - 1 quantiles as its own rows need.
+    slices = F.ceil(F.col(TOTAL) / hot_rows)
+    found = found.withColumn("_q", F.filter("_q", lambda _, i: F.floor((i + 1) * slices / n) > F.floor(i * slices / n)))
     # A quantile that comes twice is a moment with more rows than a slice: cut before it too.
     twice = F.filter("_q", lambda c, i: (i > 0) & (c == F.get("_q", F.greatest(i - 1, F.lit(0)))))
     cuts = F.array_sort(F.array_distinct(F.concat("_q", F.transform(twice, lambda c: c - 1))))
@@ -382,8 +391,7 @@ def split_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame | None, ts:
     if heavy is None:
         return df, None
     cold = same(df, heavy, keys, "left_anti")
-    hot = same(df, heavy, keys, "inner").withColumn(SLICE, slice_of(F.unix_micros(F.col(ts))))
-    return cold, hot
+    return cold, in_slices(df, F.unix_micros(F.col(ts)), heavy, keys)
 
 
 def prior(
@@ -403,7 +411,9 @@ def prior(
     """
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
     order = Order(keys, ts, tx)
-    cold, hot = split_heavy(df, keys, heavy_keys(df if measure is None else measure, keys, ts, hot_rows), ts)
+    heavy = heavy_keys(df if measure is None else measure, keys, ts, hot_rows)
+    cold, hot = split_heavy(df, keys, heavy, ts)
+    inner = Order((GROUP,), ts, tx, None if heavy is None else heavy.select(GROUP, CUTS))
     for layer in layers:
         if callable(layer):
             cold = layer(cold)
@@ -415,7 +425,7 @@ def prior(
             cols = {k: c for f in layer if f.own_order is own for k, c in f.plain(order).items()}
             cold = cold.withColumns(cols) if cols else cold
         if hot is not None:
-            hot = _carry(hot, layer, Order((GROUP,), ts, tx))
+            hot = _carry(hot, layer, inner)
     if hot is None:
         return cold
     return cold.unionByName(hot.select(*cold.columns))

@@ -190,24 +190,36 @@ def percentiles_of_counts(
 
 
 def spearman(df: DataFrame, pairs: Mapping[str, tuple[str, str]], part_rows: int = PART_ROWS) -> DataFrame:
-    """(pair, n, rho) for named column pairs; rows where either side is NULL are left out."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(name).alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-        for name, (a, b) in pairs.items()
-    ])).alias("e")).select("e.*").filter("a is not null and b is not null")
-    # Equal pairs are merged first, so a frequent value is one row and no hot join key.
-    joint = cut(long.groupBy("pair", "a", "b").agg(F.count("*").alias("w")))
-    rows = joint.count()
-    both = joint
-    for side in ("a", "b"):
-        counts = joint.groupBy("pair", side).agg(F.sum("w").alias("n"))
-        cum = running_totals(counts, side, {"upto": "n"}, ["pair"], part_rows=part_rows, rows=rows, totals={"total": "n"})
-        # Average rank of equal values, measured from the middle rank (n + 1) / 2.
-        rank = F.col("upto") - (F.col("n") - 1) / 2 - (F.col("total") + 1) / 2
-        both = both.join(cum.select("pair", side, rank.alias("r" + side)), ["pair", side])
-    a, b, w = F.col("ra"), F.col("rb"), F.col("w")
-    out = both.groupBy("pair").agg(
-        F.sum(w).alias("n"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"),
-    )
+    """(pair, n, rho) for named column pairs; rows where either side is NULL are left out, pairs without rows too.
+
+    Every column is ranked once, for all pairs whose rows are the column's own; a pair that loses
+    rows to NULLs of its other column has ranks of its own. Ranks come from counts of
+    values, so equal rows are merged before the shuffle, and return to the rows by row id.
+    """
+    columns = sorted({c for p in pairs.values() for c in p})
+    at = {c: f"_c{i}" for i, c in enumerate(columns)}
+    rows = cut(df.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("double").alias(n) for c, n in at.items()]))
+    sizes = rows.agg(*[F.count(n).alias(n) for n in at.values()], *[
+        F.count_if(F.col(at[a]).isNotNull() & F.col(at[b]).isNotNull()).alias(f"_p{i}") for i, (a, b) in enumerate(pairs.values())]).first()
+    # A ranking is a column, and the column that must not be NULL beside it if that takes rows away.
+    ranking = lambda c, other, n: (at[c], None if sizes[at[c]] == n else at[other])
+    sides = [(ranking(a, b, sizes[f"_p{i}"]), ranking(b, a, sizes[f"_p{i}"])) for i, (a, b) in enumerate(pairs.values())]
+    rankings = list(dict.fromkeys(r for s in sides for r in s))
+    values = rows.select("_row", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("_rank"), (F.col(c) if other is None else F.when(F.col(other).isNotNull(), F.col(c))).alias("_v"))
+        for k, (c, other) in enumerate(rankings)]))).filter("_v IS NOT NULL")
+    counts = values.groupBy("_rank", "_v").agg(F.count("*").alias("n"))
+    cum = running_totals(counts, "_v", {"upto": "n"}, ["_rank"], part_rows=part_rows, totals={"total": "n"})
+    # Average rank of equal values, measured from the middle rank (n + 1) / 2.
+    centred = F.col("upto") - (F.col("n") - 1) / 2 - (F.col("total") + 1) / 2
+    ranked = same(values, cum.select("_rank", "_v", centred.alias("_r")), ["_rank", "_v"], "inner")
+    wide = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_rank") == k, F.col("_r"))).alias(f"_r{k}") for k in range(len(rankings))])
+    sums = []
+    for i, (one, two) in enumerate(sides):
+        a, b = (F.col(f"_r{rankings.index(side)}") for side in (one, two))
+        both = a.isNotNull() & b.isNotNull()
+        sums += [F.count_if(both).alias(f"n{i}"), F.sum(a * b).alias(f"ab{i}"), F.sum(F.when(both, a * a)).alias(f"aa{i}"), F.sum(F.when(both, b * b)).alias(f"bb{i}")]
+    out = wide.agg(*sums).select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("pair"), *[F.col(f"{c}{i}").alias(c) for c in ("n", "ab", "aa", "bb")]) for i, name in enumerate(pairs)])))
     scale = F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))
-    return out.select("pair", "n", (F.col("ab") / F.when(scale > 0, scale)).alias("rho"))
+    return out.filter("n > 0").select("pair", "n", (F.col("ab") / F.when(scale > 0, scale)).alias("rho"))
