@@ -1,9 +1,9 @@
 """Quality rules with the document frequency of lines, in DataFrame functions only.
 
 Lines are normalised (lower case, one space for white space) and hashed. For each host the
-number of distinct texts that hold a line is counted; lines above the limit are boilerplate and are
+number of documents that hold a line is counted, once each; lines above the limit are boilerplate and are
 removed. A document that loses too large a share of its line characters is rejected, and so is
-one that fails the base rules. Equal texts count once, so copies alone do not make a line frequent.
+one that fails the base rules. Copies are documents like others: a text with more copies than the limit loses all its lines.
 
 One scan of the texts gives a slim row per document (figures and line hashes); counting, joining and
 the verdict read those. Counts are pre-aggregated before each shuffle and keyed by host and line, so
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from txflow.llm.common import WORD_SPLIT, filled, numbered, packed
 from txflow.session import cut
 
-MIN_DOCS = 20  # a line in at most this many texts of a host stays
-MAX_SHARE = 0.01  # nor is one removed that at most this share of the host's texts holds
+MIN_DOCS = 20  # a line in at most this many documents of a host stays
+MAX_SHARE = 0.01  # nor is one removed that at most this share of the host's documents holds
 DEPLETED = 0.5  # share of line characters that may go
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -68,12 +68,12 @@ def base_figures(docs: DataFrame, text: str = "_text") -> DataFrame:
 
 
 def frequent_lines(slim: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(_of, line, docs): host, hash and texts of lines that more distinct texts of the host hold than the limit allows."""
-    texts = slim.groupBy(F.col("_host").alias("_of")).agg(F.countDistinct("_copy").alias("texts"))
-    held = slim.select("_host", "_copy", F.explode(F.array_distinct(F.transform("_pieces", lambda x: x["h"]))).alias("h"))
-    counts = held.distinct().groupBy("_host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_docs)
-    both = counts.join(texts, F.col("_host").eqNullSafe(F.col("_of")))
-    return both.filter(F.col("docs") > max_share * F.col("texts")).select(F.col("_host").alias("_of"), F.col("h").alias("line"), "docs")
+    """(_of, line, docs): host, hash and documents of lines that more documents of the host hold than the limit allows."""
+    sizes = slim.groupBy(F.col("_host").alias("_of")).agg(F.count("*").alias("size"))
+    held = slim.select("_host", F.explode(F.array_distinct(F.transform("_pieces", lambda x: x["h"]))).alias("h"))
+    counts = held.groupBy("_host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > min_docs)
+    both = counts.join(sizes, F.col("_host").eqNullSafe(F.col("_of")))
+    return both.filter(F.col("docs") > max_share * F.col("size")).select(F.col("_host").alias("_of"), F.col("h").alias("line"), "docs")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS,
@@ -82,7 +82,6 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     base = numbered(docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), filled(text).alias("_text")))
     pieces = F.filter(F.transform(F.split(_normal(F.col("_text")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     slim = base_figures(base).withColumns({
-        "_copy": F.xxhash64("_text"),
         "_pieces": F.transform(pieces, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("chars"))),
     }).drop("_text")
     slim = cut(slim)
@@ -94,7 +93,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
         "n_lines": F.size("_pieces").cast("long"),
         "line_chars": F.aggregate("_pieces", F.lit(0).cast("long"), lambda a, x: a + x["chars"]),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")),
-    }).drop("_pieces", "_host", "_copy")
+    }).drop("_pieces", "_host")
     zero = F.lit(0).cast("long")
     return figures.join(lost, "_row", "left").withColumns({
         "n_removed_lines": F.coalesce("n_removed_lines", zero), "removed_chars": F.coalesce(F.col("removed_chars"), zero),

@@ -128,7 +128,7 @@ def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return per_doc
 
 
-# Words and lines as the query takes them; a line counts once for each distinct text of a host.
+# Words and lines as the query takes them; a line counts once for each document of a host.
 OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, string_split_regex(t, '[ \t\n\v\f\r]+') AS parts FROM d),
@@ -139,10 +139,10 @@ hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FR
 rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM hit) GROUP BY r),
 ln AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY r),
-pl AS (SELECT * FROM (SELECT l.r, d.source, d.t, trim(lower(regexp_replace(line, '[ \t\v\f\r]+', ' ', 'g')), ' ') AS line
+pl AS (SELECT * FROM (SELECT l.r, d.source, trim(lower(regexp_replace(line, '[ \t\v\f\r]+', ' ', 'g')), ' ') AS line
        FROM ln l JOIN d USING (r)) WHERE line <> ''),
-fr AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT t) AS docs FROM pl GROUP BY source, line) a
-       JOIN (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source) b USING (source) WHERE docs > 20 AND docs > 0.01 * texts),
+fr AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT r) AS docs FROM pl GROUP BY source, line) a
+       JOIN (SELECT source AS host, count(*) AS size FROM d GROUP BY source) b ON source IS NOT DISTINCT FROM host WHERE docs > 20 AND docs > 0.01 * size),
 lost AS (SELECT p.r, count(*) AS n_lines, sum(length(p.line)) AS line_chars, count(f.line) AS n_removed_lines,
          sum(CASE WHEN f.line IS NULL THEN 0 ELSE length(p.line) END) AS removed_chars
          FROM pl p LEFT JOIN fr f ON p.source IS NOT DISTINCT FROM f.source AND p.line = f.line GROUP BY p.r),
