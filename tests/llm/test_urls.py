@@ -70,5 +70,27 @@ def test_mined_rules_block_what_they_match(spark):
     assert got[2] == ("allow", None, None) and got[3][:2] == ("allow", "org/") and got[4][:2] == ("allow", "org/")
 
 
+def test_single_tokens_against_brute_force_at_every_size(spark):
+    urls_ = [(f"http://a{i}.bad-host.net/x/{i}", True) for i in range(9)] + [(f"http://ads.ok.net/x/{i}", i < 6) for i in range(7)]
+    few = urls_ + [(f"http://good{i % 50}.org/y/{i}", i % 8 == 0) for i in range(400)]
+    many = urls_ + [(f"http://good{i % 50}.org/y/{i}", i % 8 == 0) for i in range(12_000)]
+    for given in (few, many):  # nine URLs are 2 % of the one table and less than 0.1 % of the other
+        df = tokens(spark.createDataFrame(given, "url string, bad boolean"))
+        rows = [(set(r.tokens), r.bad) for r in df.collect()]
+        base = sum(bad for _, bad in rows) / len(rows)
+        want = {}
+        for t in set().union(*(x for x, _ in rows)):
+            n, hits = sum(t in x for x, _ in rows), sum(t in x and bad for x, bad in rows)
+            p, z = hits / n, 16
+            bound = (p + z / (2 * n) - 4 * (p * (1 - p) / n + z / (4 * n * n)) ** 0.5) / (1 + z / n)
+            if hits >= 8 and n < len(rows) and p >= 0.7 and bound >= 1.2 * base:
+                want[t] = p
+        got = {r.tokens[0]: r.confidence for r in urls.mine(df, support=0.05).collect() if len(r.tokens) == 1}
+        assert got == want and "domain:bad-host.net" in got and not any("ok" in t for t in got)
+    page = spark.createDataFrame([(1, "https://new.sub.bad-host.net/z"), (2, "https://goods.org/z")], "page_id long, url string")
+    verdicts = {r.page_id: r.verdict for r in urls.judge(page, spark.createDataFrame(many, "url string, bad boolean"), GIVEN_RULES).collect()}
+    assert verdicts == {1: "block", 2: "allow"}
+
+
 def test_empty(spark):
     assert urls.judge(pages(spark).limit(0), labelled(spark), GIVEN_RULES).collect() == []

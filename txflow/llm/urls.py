@@ -5,9 +5,11 @@ longest fitting rule decides (longer host first, then longer path). Rules sit in
 URL looks up each suffix of its host, so the work follows the rules that can fit, not their number.
 
 Where no given rule fits, mined rules decide. A URL becomes a set of tokens (scheme, words of the
-host, path parts, file type, query names, fragment). FP-growth finds token sets that are frequent among
+host, path parts, file type, query names, fragment) and of the domains it lies in. FP-growth finds token sets that are frequent among
 labelled URLs, each with a label token beside it; rules "tokens imply block" are kept above a confidence, a support and a
-lift, and dropped if a rule with fewer tokens is as sure. The kept rules are an
+lift, and dropped if a rule with fewer tokens is as sure. The support of sets is a share of the labelled URLs, which bounds
+FP-growth's items, and so misses a host that is rare in a large table. Single tokens and domains need only counts: for them a
+fixed number of bad URLs is enough, if the lower bound of their confidence lies above the lift. The kept rules are an
 inverted index: each is listed under its rarest token, so that a URL meets a rule at most once, and is then checked for
 the other tokens. A URL that meets a rule is blocked, the surest one is named; no match means allow.
 
@@ -32,7 +34,10 @@ ALLOW, BLOCK = "allow", "block"
 SUPPORT = 0.005
 CONFIDENCE = 0.7
 LIFT = 1.2  # how much likelier a block must be than among all labelled URLs
+ROWS = 8  # bad URLs behind a rule of one token, whatever the size of the table
+SIGMAS = 4.0  # of the lower bound of such a rule's confidence
 LABELS = ("label:allow", "label:block")
+DOMAIN = "domain:"
 
 
 def host_of(url: Column) -> Column:
@@ -64,7 +69,7 @@ def apply_given(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataF
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL."""
+    """Distinct tokens of a URL; ``domain:`` tokens are its host and all parent domains of two and more parts."""
     rest = F.coalesce(url, F.lit(""))
     scheme = F.concat(F.lit("scheme:"), F.lower(F.regexp_extract(rest, r"(?s)^(.*?)://", 1)))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
@@ -72,33 +77,45 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     query = F.regexp_extract(rest, r"(?s)\?([^#]*)", 1)
     names = F.filter(F.transform(F.split(query, "&"), lambda x: F.concat(F.lit("query:"), F.substring_index(x, "=", 1))), lambda x: x != "query:")
     fragment = F.when(F.contains(rest, F.lit("#")), F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>"))
+    domains = F.transform(F.filter(_suffixes(host), lambda x: F.contains(x, F.lit("."))), lambda x: F.concat(F.lit(DOMAIN), x))
     words = F.transform(F.filter(F.split(host, r"[.\-]"), lambda x: x != ""), lambda x: F.concat(F.lit("word:"), x))
     return F.array_distinct(F.concat(
-        F.filter(F.array(scheme, kind), lambda x: ~x.isin("scheme:", "type:")), words, F.transform(parts, lambda x: F.concat(F.lit("part:"), F.lower(x))), names, fragment))
+        F.filter(F.array(scheme, kind), lambda x: ~x.isin("scheme:", "type:")), words, F.transform(parts, lambda x: F.concat(F.lit("part:"), F.lower(x))), names, fragment, domains))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def lower_bound(hits: Column, n: Column, sigmas: float = SIGMAS) -> Column:
+    """Wilson's lower bound of a share."""
+    z, p = sigmas * sigmas, hits / n
+    return (p + z / (2 * n) - sigmas * F.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, rows: int = ROWS) -> DataFrame:
     """(rule_id, key, tokens, confidence, support) from rows with ``tokens`` and a boolean ``bad``.
 
     Only frequent tokens enter a transaction, so its length, and with it the work of FP-growth, stays bounded
-    by 1 / support. ``key`` is the rule's rarest token.
+    by 1 / support; domains stay out, since their words are in. ``key`` is the rule's rarest token.
     """
     labelled = cut(labelled.filter("bad IS NOT NULL").select("tokens", "bad"))
-    n = labelled.count()
+    n, bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
     empty = "rule_id long, key string, tokens array<string>, confidence double, support double"
     if not n:
         return labelled.sparkSession.createDataFrame([], empty)
     # A token in every URL tells nothing and would double the sets.
-    counts = cut(labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(
-        (F.col("n") >= support * n) & (F.col("n") < n)))
-    kept = numbered(labelled).select("_row", "bad", F.explode("tokens").alias("token")).join(counts.select("token"), "token")
+    counts = cut(labelled.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.count_if("bad").alias("hits")).filter(((F.col("n") >= support * n) | (F.col("hits") >= rows)) & (F.col("n") < n)))
+    items = counts.filter((F.col("n") >= support * n) & ~F.startswith("token", F.lit(DOMAIN))).select("token")
+    kept = numbered(labelled).select("_row", "bad", F.explode("tokens").alias("token")).join(items, "token")
     sets = kept.groupBy("_row").agg(F.first("bad").alias("bad"), F.collect_set("token").alias("items"))
     items = sets.select(F.concat("items", F.array(F.when(F.col("bad"), LABELS[1]).otherwise(LABELS[0]))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     found = model.associationRules.filter(
         (F.element_at("consequent", 1) == LABELS[1]) & ~F.array_contains("antecedent", LABELS[0]) & (F.col("lift") >= LIFT)).select(
         F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = cut(found.withColumn("rule_id", F.xxhash64("tokens")))
+    share = F.col("hits") / F.col("n")
+    single = counts.filter((F.col("hits") >= rows) & (share >= confidence) & (lower_bound(F.col("hits"), F.col("n")) >= LIFT * bad / n)).select(
+        F.array("token").alias("tokens"), share.alias("confidence"), (F.col("hits") / n).alias("support"))
+    rules = cut(found.unionByName(single).groupBy("tokens").agg(F.max("confidence").alias("confidence"), F.max("support").alias("support"))
+                .withColumn("rule_id", F.xxhash64("tokens")))
     # A rule says nothing new if one without one of its tokens is as sure: look it up under each such set.
     smaller = rules.filter(F.size("tokens") > 1).select("rule_id", F.col("confidence").alias("own"), F.explode(
         F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("tokens"))
@@ -120,13 +137,13 @@ def apply_mined(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame, given: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url",
-          support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+          support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = ROWS) -> DataFrame:
     """(key, host, path, rule, verdict, mined_rule) of every row; ``labels`` has ``url`` and a boolean ``bad``."""
     parsed = lambda df, c: df.withColumns({"host": host_of(F.col(c)), "path": path_of(F.col(c))})
     rows = parsed(numbered(pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"))), "_url")
     rows = cut(rows.withColumn("tokens", tokens_of(F.col("_url"), F.col("host"), F.col("path"))).drop("_url"))
     train = parsed(labels.select("url", "bad"), "url")
-    rules = mine(train.select(tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "bad"), support, confidence)
+    rules = mine(train.select(tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "bad"), support, confidence, least)
     out = apply_mined(apply_given(rows, given), rules)
     return out.select(F.col("_key").alias(key), "host", "path", "rule", F.coalesce("given", "mined").alias("verdict"),
                       F.array_join("mined_rule", " ").alias("mined_rule"))
