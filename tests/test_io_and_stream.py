@@ -289,3 +289,71 @@ def test_messages_give_all_base_columns(spark, tmp_path):
     first = next(r for r in rows if r["tx_id"] == "txn-0")
     assert first["mcc"] == "5411" and first["base"][:5] == [7.0, 0.0, 0.0, 2.0, 3.0] and first["base"][7] is None
     assert first["base"][-3:] == [1.0, 0.0, 0.0] and first["base"][15:18] == [10.0, 6.0, 3.0]
+
+
+def test_a_slice_of_many_files_is_one_batch(spark, sf, monkeypatch):
+    """However many files the rows of a slice come in, no row is overtaken by the watermark."""
+    from txflow.catalog import streams
+
+    rows = tx_events(spark, sf)
+    one = streams._drain(spark, rows, streams._features)
+    monkeypatch.setattr(streams, "FILE_ROWS", 60)
+    many = streams._drain(spark, rows.repartition(6), streams._features)
+    assert many.filter("is_late = 1").count() == 0
+    assert many.count() == rows.count() and many.exceptAll(one).count() == 0
+
+
+class Calls:
+    """A state variable in memory, which counts the calls."""
+
+    def __init__(self):
+        self.value, self.map, self.rows, self.n = None, {}, [], 0
+
+    def __getattribute__(self, name):
+        if name in ("value", "map", "rows", "n", "__class__"):
+            return object.__getattribute__(self, name)
+        self.n += 1
+        return object.__getattribute__(self, name)
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value, self.map = None, {}
+
+    def getValue(self, key):
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+
+@pytest.mark.parametrize("turns", [1, 4])
+def test_state_calls_do_not_grow_with_the_rows(monkeypatch, turns):
+    from types import SimpleNamespace
+
+    from txflow.streaming import state
+
+    def run(slot_keys, rows):
+        monkeypatch.setattr(state, "SLOT_KEYS", slot_keys)
+        calls, user, out = Calls(), state.UserHistory(), []
+        user.init(SimpleNamespace(getValueState=lambda *_: calls, getMapState=lambda *_: calls))
+        for part in range(turns):
+            new = [(str(i), "u", i * 10**9, i * 10**9, float(i % 50), f"M{i * 7 % 90}", f"C{i % 5}", "chip", f"T{i % 11}", "S", None, False, False)
+                   for i in range(part * rows, (part + 1) * rows)]
+            out += [tuple(r) for r in user.handleInputRows(("u",), iter(new), None)]
+        return out, calls
+
+    packed, calls = run(1000, 60)
+    spread, slots = run(4, 60)
+    assert packed == spread and len(packed) == 60 * turns and len(slots.map) > 8 and list(calls.map) == [("0",)]
+    merchant = state.OUTPUT_SCHEMA.names.index("merchant_user_count")
+    seen = {}
+    for i, r in enumerate(packed):
+        m = f"M{i * 7 % 90}"
+        assert r[merchant] == seen.get(m, 0)
+        seen[m] = seen.get(m, 0) + 1
+    assert calls.n <= 4 * turns and run(1000, 400)[1].n == calls.n
