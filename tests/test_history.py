@@ -189,3 +189,15 @@ def test_heavy_rows_are_exchanged_once_by_slice(spark, sf):
     # Every other exchange lies above an aggregate and carries one row per slice.
     rows = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(" in x and "HashAggregate" not in lines[i + 1] and "Project" not in lines[i + 1]]
     assert sum("_slice" in lines[i] or "user" in lines[i] for i in rows) <= 2
+
+
+def test_rows_of_a_task_stay_bounded(spark, sf, monkeypatch):
+    """An exchange gets as many partitions as its rows ask for, and AQE does not merge them."""
+    from txflow.operators import history
+
+    monkeypatch.setattr(history, "HOT_ROWS", 100)
+    df = tx_events(spark, sf)
+    out = prior(df, "user", [PriorCount("n"), PriorCount("m", ("merchant",))], hot_rows=100)
+    rows = df.count()
+    assert out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] < rows / 2
+    assert out.select("tx_id", "n", "m").exceptAll(prior(df, "user", [PriorCount("n"), PriorCount("m", ("merchant",))], hot_rows=10**6).select("tx_id", "n", "m")).count() == 0
