@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from txflow.operators import learning as ml
 from txflow.plans import flows
+from txflow.sources.tables import tx_events
 
 NAMES = [f"a_t{t}" for t in range(10)] + [f"b_t{t}" for t in range(10)] + ["h", "k"]
 
@@ -151,3 +152,12 @@ def test_grouped_fit_jobs_do_not_grow_with_the_groups(spark, monkeypatch):
         assert len(ml.train_grouped(_grouped(spark, groups), "bank", "inputs", rounds=12)) == groups
         counts.append(len(passes))
     assert counts[1] < 2 * counts[0]
+
+
+def test_fits_get_rows_in_small_blocks(spark, sf, monkeypatch):
+    df, inputs = ml.with_indicators(tx_events(spark, sf).coalesce(1), ["amount", "merchant"])
+    monkeypatch.setattr(ml, "BLOCK_BYTES", 4_000)
+    out = ml.in_blocks(df, inputs, "label")
+    assert out.rdd.getNumPartitions() == -(-df.count() * len(inputs) * 8 // 4_000) and out.exceptAll(df.select("label", *inputs)).count() == 0
+    vectors = df.select("label", F.array(*inputs).alias("x")).select("label", ml.array_to_vector("x").alias("inputs"))
+    assert ml.in_blocks(vectors, "inputs", "label").rdd.getNumPartitions() == out.rdd.getNumPartitions()
