@@ -29,6 +29,30 @@ def test_words_are_encoded_as_in_the_whole_text(monkeypatch):
         assert [np.frombuffer(b, coder.width).tolist() for b in coder.encode(own)] == want
 
 
+@pytest.mark.parametrize(("remembered", "together"), [(500, 50), (10, 3)])
+def test_parts_are_put_together_from_lines_words_and_signs(monkeypatch, remembered, together):
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
+    monkeypatch.setattr(packing, "JOINED", together)
+    rng = random.Random(7)
+    parts = ["a", "B", "é", "\n", "\n\n", "\r\n", "$", "!", "'s", "'", "1", "²", "×", "ö.", "a.\nBc", "Word,", "<|endoftext|>", "\u0301", "\u0345", "\x85", "中", "Ġ", "Ċ", "😀"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 5))) for _ in range(rng.randint(1, 12))) for _ in range(3_000)]
+    coder = packing.WordCoder(PATH)
+    for k in range(0, len(texts), 500):
+        own = texts[k : k + 500]
+        want = [x.ids for x in TOKENIZER.encode_batch(own, add_special_tokens=False)]
+        assert [np.frombuffer(b, coder.width).tolist() for b in coder.encode(own)] == want
+
+
+def test_new_parts_go_to_the_tokenizer_together():
+    coder, given = packing.WordCoder(PATH), []
+    encode = coder._encode
+    coder._encode = lambda texts: given.extend(texts) or encode(texts)
+    words = [f"Wörd{i}" for i in range(3_000)]
+    for text in (" ".join(words), " ".join(w + "." for w in words), " ".join(f"{a}\n{b}" for a, b in zip(words[::2], words[1::2], strict=True))):
+        assert np.frombuffer(coder.encode([text])[0], coder.width).tolist() == ids(text)[:-1]
+    assert len(given) < 20 and sum(map(len, given)) < 3 * len(" ".join(words))  # each word twice: after a space and after a line end
+
+
 @pytest.mark.parametrize("length", [2048, 64])
 def test_pieces(odd, length):
     rows = odd.repartition(5).collect()

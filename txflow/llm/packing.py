@@ -9,7 +9,8 @@ in one place. All windows but the last are full.
 
 Encoding goes word by word: a space between two characters that are not white space always begins a token,
 so the parts between such spaces are encoded once, by the tokenizer, and looked up
-from then on. Texts with other white space around their spaces are encoded whole.
+from then on. A line end between two such characters is a token of its own, so a part is put together from its lines.
+Texts with other white space around their spaces are encoded whole. New parts go to the tokenizer as one text, many at a time.
 
 Defined cases: a null text is empty, its document consists of the end id alone; repeated rows and ids
 are packed each; an empty table gives an empty table; other columns are ignored.
@@ -20,11 +21,13 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,10 +39,10 @@ from txflow.session import cut
 LENGTH = 2048
 END_ID = 1
 REMEMBERED = 300_000  # parts of a generation that a worker keeps; results do not depend on it
+JOINED = 1000  # new parts that the tokenizer gets as one text
 
-
-# A word of ASCII letters and signs after it: two tokens of the pre-tokenizer, whatever follows a space.
-_TAILED = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+# A word of Latin letters and digits and signs after it: two tokens of the pre-tokenizer, whatever follows a space.
+_TAILED = re.compile(r"([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class Remembered(dict):
@@ -52,12 +55,12 @@ class Remembered(dict):
             self.older = dict(self)
             self.clear()
 
-    def missing(self, parts: set[str]) -> list[str]:
+    def missing(self, parts: Iterable[str]) -> list[str]:
         """Parts that are not known; those of the older generation move up."""
-        new = parts - self.keys()
-        again = new & self.older.keys()
-        self.update((p, self.older[p]) for p in again)
-        return list(new - again)
+        new = set(filterfalse(self.__contains__, parts))
+        for p in filter(self.older.__contains__, new):
+            self[p] = self.older[p]
+        return list(filterfalse(self.__contains__, new))
 
 
 class WordCoder:
@@ -71,41 +74,82 @@ class WordCoder:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = np.dtype(self.code)
         self.first, self.later = Remembered(), Remembered()
+        vocabulary = self.tokenizer.get_vocab()
+        # Ids that begin with a space or a line end: where parts joined by one come apart again.
+        self.begins = {c: np.zeros(max(vocabulary.values(), default=0) + 1, bool) for c in " \n"}
+        for entry, i in vocabulary.items():
+            self.begins[" "][i] = entry.startswith("Ġ")
+            self.begins["\n"][i] = entry.startswith("Ċ")
+        self.line_end = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, x.ids).tobytes() for x in found]
 
-    def _learn(self, known: Remembered, parts: set[str], before: str) -> None:
-        new, tailed = [], []
+    def _encode_parts(self, parts: list[str], before: str) -> list[bytes]:
+        """As ``_encode`` of each part after ``before``; the parts have no white space at their ends, and no line end if ``before`` is empty."""
+        out, between = [], before or "\n"
+        groups = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
+        for own, raw in zip(groups, self._encode([between + between.join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(self.begins[between][np.frombuffer(raw, self.width)]) * self.width.itemsize
+            if len(at) != len(own):  # a tokenizer that has other tokens at such places
+                out += self._encode([before + p for p in own])
+                continue
+            skip = 0 if before else self.width.itemsize  # the line end's own id
+            out += [raw[x + skip : y] for x, y in zip(at.tolist(), [*at[1:].tolist(), len(raw)], strict=True)]
+        return out
+
+    def _learn(self, known: Remembered, parts: Iterable[str], before: str) -> None:
+        new, rough, tailed, lined = [], [], [], []
         for p in known.missing(parts):
-            if not p or p[0].isspace() or p[-1].isspace():
+            if p.isalpha():
+                new.append(p)
+            elif not p or p.strip() != p:
                 known[p] = None  # the white space beside the space may join it
-            elif (m := _TAILED.fullmatch(p)) and before:
+            elif "\n" in p:
+                lines = p.split("\n")
+                if all(x and x.strip() == x for x in lines):
+                    lined.append((p, lines))
+                else:
+                    (new if before else rough).append(p)
+            elif m := _TAILED.fullmatch(p):
                 tailed.append((p, *m.groups()))  # a word and the signs after it are tokens apart
             else:
                 new.append(p)
+        if lined:
+            self._learn(self.first, {x for _, lines in lined for x in lines[1:]}, "")
+            self._learn(known, {lines[0] for _, lines in lined} - set(new) - {p for p, *_ in tailed}, before)
         if tailed:
             new += known.missing({w for _, w, _ in tailed} - set(new))
             self._learn(self.first, {t for *_, t in tailed}, "")
-        known.update(zip(new, self._encode([before + p for p in new]), strict=True))
+        known.update(zip(new, self._encode_parts(new, before), strict=True))
+        known.update(zip(rough, self._encode(rough), strict=True))
         known.update((p, known[w] + self.first[t]) for p, w, t in tailed)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        known.update((p, self.line_end.join([known[lines[0]], *map(self.first.__getitem__, lines[1:])])) for p, lines in lined)
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(texts, " ")
+        parts, n = split.flatten(), pc.list_value_length(split).to_numpy()
+        begins = np.zeros(len(parts), bool)
+        begins[np.cumsum(n) - n] = True
+        heads = parts.filter(pa.array(begins)).to_pylist()
+        rest = parts.filter(pa.array(~begins)).dictionary_encode()
+        own = rest.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.first.renew()
         self.later.renew()
-        self._learn(self.first, {s[0] for s in split}, "")
-        self._learn(self.later, set().union(*(s[1:] for s in split)), " ")
-        out, whole = [], []
-        for i, s in enumerate(split):
-            parts = [self.first[s[0]], *map(self.later.__getitem__, s[1:])]
-            if None in parts:
-                whole.append(i)
-                out.append(b"")
-            else:
-                out.append(b"".join(parts))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+        self._learn(self.first, heads, "")
+        self._learn(self.later, own, " ")
+        # The ids of the parts in their order, one after the other: those of a text are a stretch of them.
+        found = pa.array(list(map(self.later.__getitem__, own)), pa.large_binary()).take(rest.indices)
+        joined, ends = pc.binary_length(found).fill_null(0).to_numpy(), np.cumsum(n - 1)
+        place = np.concatenate(([0], np.cumsum(joined)))[np.concatenate(([0], ends))].tolist()
+        raw = memoryview(found.buffers()[2] or b"")
+        out = [b"" if h is None else h + raw[x:y] for h, x, y in zip(map(self.first.__getitem__, heads), place, place[1:], strict=False)]
+        odd = {i for i, h in enumerate(heads) if self.first[h] is None}
+        odd.update(np.searchsorted(ends, np.flatnonzero(found.is_null()), side="right").tolist())
+        whole = sorted(odd)
+        for i, ids in zip(whole, self._encode(texts.take(pa.array(whole, pa.int64())).to_pylist()), strict=True):
             out[i] = ids
         return out
 
@@ -121,7 +165,7 @@ def _encode_rows(path: str, end_id: int):
         end = np.array([end_id], words.width).tobytes()
         for whole in batches:
             for b in slices(whole, "text"):
-                ids = [x + end for x in words.encode(b.column("text").to_pylist())]
+                ids = [x + end for x in words.encode(b.column("text"))]
                 n = np.array([len(x) // words.width.itemsize for x in ids], np.int64)
                 before = place + np.cumsum(n) - n
                 place += int(n.sum())
