@@ -201,3 +201,23 @@ def test_rows_of_a_task_stay_bounded(spark, sf, monkeypatch):
     rows = df.count()
     assert out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] < rows / 2
     assert out.select("tx_id", "n", "m").exceptAll(prior(df, "user", [PriorCount("n"), PriorCount("m", ("merchant",))], hot_rows=10**6).select("tx_id", "n", "m")).count() == 0
+
+
+def test_keys_below_the_bound_do_not_fill_a_task_together(spark):
+    """Twenty keys of 60,000 rows: the fullest of their partitions stays near the bound of one key."""
+    df = spark.range(1_200_000).select(F.col("id").alias("tx_id"), (F.col("id") % 20).alias("user"), F.timestamp_seconds("id").alias("ts"))
+    out = prior(df, "user", [PriorCount("n")])
+    assert out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] <= 100_000
+    assert out.filter(F.col("n") != F.floor(F.col("tx_id") / 20)).isEmpty()
+
+
+def test_rows_of_a_trailing_count_are_dealt_by_their_number(spark, sf, monkeypatch):
+    from txflow.operators import history
+
+    monkeypatch.setattr(history, "HOT_ROWS", 100)
+    specs = [PriorCount("c"), Trailing("t", "c", 5 * 86400)]
+    out = prior(tx_events(spark, sf), "merchant", specs, hot_rows=5)
+    # A number of partitions that is asked for is one that AQE leaves as it is.
+    assert any("_group" in x and "_at" in x and "REPARTITION_BY_NUM" in x for x in out._jdf.queryExecution().executedPlan().toString().split("\n"))
+    plain = prior(tx_events(spark, sf), "merchant", specs, hot_rows=10**6)
+    assert out.select("tx_id", "c", "t").exceptAll(plain.select("tx_id", "c", "t")).isEmpty()
