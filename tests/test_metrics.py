@@ -99,6 +99,23 @@ def test_spearman_with_ties(spark, part_rows):
     assert got["n"] == 200 and got["rho"] == pytest.approx(np.corrcoef(ranks(a), ranks(b))[0, 1])
 
 
+def test_spearman_of_frequent_values_spreads_their_rows(spark):
+    """A value with most of the rows is joined to its rank where its rows are, not in one task of a shuffle."""
+    df = spark.range(4_000).select((F.col("id") % 100 == 0).cast("int").alias("a"), (F.col("id") % 7).alias("b"))
+    plans, join = [], ordered.same
+    ordered.same = lambda l, r, cols, how: plans.append((cols, how, out := join(l, r, cols, how))) or out
+    try:
+        got = ordered.spearman(df, {"ab": ("a", "b")}, 1_000).first()
+    finally:
+        ordered.same = join
+    a, b = (np.array([r[c] for r in df.collect()], float) for c in "ab")
+    rank = lambda x: np.array([np.mean(np.where(np.sort(x) == v)[0]) for v in x])
+    assert got["n"] == 4_000 and got["rho"] == pytest.approx(np.corrcoef(rank(a), rank(b))[0, 1])
+    joined = [d for cols, how, d in plans if cols == ["_rank", "_v"] and how == "inner"]
+    assert sorted(d.count() for d in joined) == [3_960, 4_040]
+    assert sum("BroadcastHashJoin" in d._jdf.queryExecution().executedPlan().toString() for d in joined) >= 1
+
+
 @pytest.mark.parametrize("part_rows", [10**6, 9])
 def test_spearman_ranks_each_column_once(spark, part_rows, monkeypatch):
     rng = np.random.RandomState(3)
