@@ -221,3 +221,24 @@ def test_rows_of_a_trailing_count_are_dealt_by_their_number(spark, sf, monkeypat
     assert any("_group" in x and "_at" in x and "REPARTITION_BY_NUM" in x for x in out._jdf.queryExecution().executedPlan().toString().split("\n"))
     plain = prior(tx_events(spark, sf), "merchant", specs, hot_rows=10**6)
     assert out.select("tx_id", "c", "t").exceptAll(plain.select("tx_id", "c", "t")).isEmpty()
+
+
+def test_scanned_rows_are_not_sorted_for_many_partitions(spark, sf, monkeypatch):
+    """A scan's task would hold all its rows in memory to sort them by more than 200 partitions; dealt evenly before, it holds few."""
+    from txflow.operators import history
+
+    monkeypatch.setattr(history, "HOT_ROWS", 5)
+    df = tx_events(spark, sf)
+    specs = [PriorCount("n"), PriorCount("m", ("merchant",))]
+
+    def below(out):
+        """The operators under the first exchange by user."""
+        lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
+        return "\n".join(lines[next(i for i, x in enumerate(lines) if "Exchange hashpartitioning(user#" in x) + 1:][:3])
+
+    out = prior(df, "user", specs, hot_rows=5)
+    for dealt in (out, build_windows(df, ["amount"], ["user"], hot_rows=5)):
+        assert "Exchange hashpartitioning(_deal#" in below(dealt) and ", 200), REPARTITION_BY_NUM" in below(dealt)
+    assert "_deal" not in below(prior(df, "user", specs, hot_rows=5, scanned=False))
+    plain = prior(df, "user", specs, hot_rows=10**6)
+    assert out.count() == df.count() and out.select("tx_id", "n", "m").exceptAll(plain.select("tx_id", "n", "m")).isEmpty()

@@ -42,7 +42,7 @@ def j03(spark, sf):
     CAST(10 AS BIGINT) AS steps FROM uf WHERE user_tx_count >= 9""", "uf"))
 def j04(spark, sf):
     # The window carries the id of its last row, and features and window come from one pass.
-    out = build_windows(history(spark, sf), ["amount"], ["user"])
+    out = build_windows(history(spark, sf), ["amount"], ["user"], scanned=False)
     return out.select("tx_id", "user_tx_count", big("first_channel").alias("first_channel"), F.size("seq").cast("bigint").alias("steps"))
 
 

@@ -131,7 +131,7 @@ def w16(spark, sf):
      WINDOW w AS (PARTITION BY "user" ORDER BY ts, tx_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW),
       p AS (PARTITION BY "user" ORDER BY ts, tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n >= 9""", "tx"))
 def w17(spark, sf):
-    out = build_windows(history(spark, sf), ["amount"], ["user"])
+    out = build_windows(history(spark, sf), ["amount"], ["user"], scanned=False)
     extra = ["first_mcc", "first_channel", "merchant_user_count", "user_tx_count"]
     v = serving_vector("user_tx_count", "seq", ["amount"], extra)
     total = F.aggregate(F.slice("v", 1, 10), F.lit(0.0), lambda acc, x: acc + x)
