@@ -1,11 +1,14 @@
 """Jobs on the whole model vector, held against numpy."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from txflow.catalog import learning as jobs
 from txflow.operators import learning as ml
 from txflow.plans import flows
 from txflow.sources.tables import tx_events
@@ -161,3 +164,18 @@ def test_fits_get_rows_in_small_blocks(spark, sf, monkeypatch):
     assert out.rdd.getNumPartitions() == -(-df.count() * len(inputs) * 8 // 4_000) and out.exceptAll(df.select("label", *inputs)).count() == 0
     vectors = df.select("label", F.array(*inputs).alias("x")).select("label", ml.array_to_vector("x").alias("inputs"))
     assert ml.in_blocks(vectors, "inputs", "label").rdd.getNumPartitions() == out.rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("job", [jobs.m01, jobs.m02, jobs.m04])
+def test_tree_queries_fit_all_rounds(spark, sf, job, monkeypatch):
+    whole, asked = ml.train, []
+
+    def train(*a, **kw):
+        call = inspect.signature(whole).bind(*a, **kw)
+        call.apply_defaults()
+        asked.append([call.arguments[k] for k in ("kind", "rounds", "depth", "step")])
+        return whole(*a, **{**kw, "rounds": 1})
+
+    monkeypatch.setattr(ml, "train", train)
+    assert job(spark, sf).count() > 0
+    assert asked == [["trees", 300, 6, 0.1]]
