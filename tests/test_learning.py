@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from txflow.catalog import learning as jobs
 from txflow.operators import learning as ml
 from txflow.plans import flows
+from txflow.sources.tables import raw_events as tx_events_raw
 from txflow.sources.tables import tx_events
 
 NAMES = [f"a_t{t}" for t in range(10)] + [f"b_t{t}" for t in range(10)] + ["h", "k"]
@@ -179,3 +180,44 @@ def test_tree_queries_fit_all_rounds(spark, sf, job, monkeypatch):
     monkeypatch.setattr(ml, "train", train)
     assert job(spark, sf).count() > 0
     assert asked == [["trees", 300, 6, 0.1]]
+
+
+def test_packed_rows_are_the_model_input(spark, sf):
+    raw = tx_events_raw(spark, sf)
+    want = {r["tx_id"]: r for r in flows.model_input(raw).filter("vector IS NOT NULL").collect()}
+    slots = {r["tx_id"]: np.frombuffer(r["x"]) for r in flows.packed_slots(raw).collect()}
+    both = {r["tx_id"]: (r["label"], r["user_tx_count"], r["inputs"].toArray()) for r in flows.training_rows(raw).collect()}
+    assert slots.keys() == both.keys() == want.keys() and len(want) > 500
+    for tx, w in want.items():
+        x = np.array([np.nan if v is None else v for v in w["vector"]])
+        np.testing.assert_array_equal(slots[tx], x)
+        label, position, inputs = both[tx]
+        assert (label, position) == (w["label"], w["user_tx_count"])
+        np.testing.assert_array_equal(inputs, [*np.where(np.isnan(x), 0.0, x), *np.isnan(x[210:])])
+
+
+def test_drift_report_aggregates_no_wide_sketches(spark, monkeypatch):
+    """Sketches of all features met in one task; the passes send bins, whose number does not grow with the rows."""
+    from txflow.operators import drift
+
+    rng = np.random.RandomState(2)
+    sent, plain = [], drift._places
+    monkeypatch.setattr(drift, "_places", lambda *a: sent.append(plain(*a)) or sent[-1])
+    for n in (3_000, 30_000):
+        df = spark.createDataFrame([(v.tolist(),) for v in rng.normal(size=(n, 3))], "_x array<double>")
+        assert drift.psi_of_arrays(df, df, ["a", "b", "c"]).agg(F.max("psi")).first()[0] == 0
+    few, many = (sum(len(k) for bins, _ in sent[i : i + 2] for k, _ in bins) for i in (0, 2))
+    assert many < 4 * few
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    import os
+
+    from txflow.session import cut
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    stored = lambda: {f for _, _, files in os.walk(folder) for f in files if f.startswith("shuffle_")}
+    before = stored()
+    out = cut(spark.range(20_000).repartition(7, "id").groupBy((F.col("id") % 1000).alias("k")).count())
+    assert not [f for f in stored() - before if f.endswith(".data")]
+    assert out.count() == 1000

@@ -88,8 +88,8 @@ def d03(spark, sf):
 @query("d01_psi_model_input")
 def d01m(spark, sf):
     """All 243 inputs of the model: training rows against later ones."""
-    rows = cut(flows.model_input(raw_events(spark, sf)).filter("vector IS NOT NULL").select("split", F.col("vector").alias("_x")))
-    out = drift.psi_of_arrays(rows.filter("split = 'train'"), rows.filter("split = 'test'"), slot_names())
+    rows = cut(flows.packed_slots(raw_events(spark, sf)).select(F.col("x").alias("_x"), (F.col("split") == "train").alias("_ref")))
+    out = drift.psi_of_packed(rows, slot_names())
     return out.select("feature", r("psi").alias("psi"), "category", "feature_type", big("n_bins_used").alias("n_bins_used"))
 
 
