@@ -221,3 +221,60 @@ def test_a_cut_leaves_no_shuffle_files(spark):
     out = cut(spark.range(20_000).repartition(7, "id").groupBy((F.col("id") % 1000).alias("k")).count())
     assert not [f for f in stored() - before if f.endswith(".data")]
     assert out.count() == 1000
+
+
+def test_packed_linear_fit_takes_the_steps_of_sparks(spark, sf):
+    """After the default 25 rounds, far from convergence, both fits hold the same model."""
+    from txflow.operators import packed
+    from txflow.session import cut
+
+    df = cut(flows.packed_inputs(tx_events_raw(spark, sf)))
+    got = ml.train_linear(df, "x")
+    rows = packed.as_vectors(df, "x", "inputs").cache()
+    model = ml.train(rows, "inputs", kind="linear")
+    theirs = model.stages[-1]
+    np.testing.assert_allclose(got.coefficients, theirs.coefficients.toArray(), rtol=1e-4, atol=1e-6)
+    assert got.intercept == pytest.approx(theirs.intercept, rel=1e-4, abs=1e-6)
+    want = {r.tx_id: r.score for r in ml.score(model, rows).select("tx_id", "score").collect()}
+    scores = {r.tx_id: r.score for r in ml.packed_scores({"score": [got]}, df, "x").select("tx_id", "score").collect()}
+    assert scores == pytest.approx(want, abs=1e-5) and len(want) > 500
+    groups = {"full": [], "no_window": flows.SLOTS}
+    one = {(r.tx_id, r.model): r.score for r in ml.packed_ablate(got, df.select("tx_id", "x"), groups, flows.INPUTS, "x").collect()}
+    two = {(r.tx_id, r.model): r.score for r in ml.ablate(model, rows.select("tx_id", "inputs"), groups, flows.INPUTS).collect()}
+    assert one == pytest.approx(two, abs=1e-5) and len(one) == 2 * len(want)
+    means = ml.packed_means(df, "x")
+    shares = ml.vector_attributions(vector_to_array("inputs"), got.coefficients, means)
+    plain = {r.tx_id: r.top for r in rows.select("tx_id", ml.top_slots(shares, flows.INPUTS, 3).alias("top")).collect()}
+    for r in ml.packed_top_slots(got, means, df.select("tx_id", "x"), flows.INPUTS, "x", 3).collect():
+        assert [(t.feature, t.shap_value) for t in r.top_features] == [(t.feature, pytest.approx(t.shap_value)) for t in plain[r.tx_id]]
+
+
+def test_grouped_fit_with_all_rows_as_one_more_group(spark):
+    df = _grouped(spark, 3).withColumn("bank", F.col("bank").cast("bigint"))
+    odd = df.unionByName(df.limit(50).withColumn("bank", F.lit(None).cast("bigint")))
+    got, alone = ml.train_grouped(odd, "bank", "inputs", whole=-1), ml.train_grouped(df, "bank", "inputs")
+    assert set(got) == {-1, 0, 1, 2}
+    for b in alone:
+        np.testing.assert_allclose(got[b].coefficients, alone[b].coefficients, rtol=1e-6, atol=1e-9)
+    every = ml.train_grouped(odd.withColumn("bank", F.lit(7)), "bank", "inputs")[7]
+    np.testing.assert_allclose(got[-1].coefficients, every.coefficients, rtol=1e-6, atol=1e-9)
+
+
+def test_a_linear_fit_keeps_no_blocks_and_shuffles_no_rows(spark, sf):
+    from txflow.session import cut
+
+    df = cut(flows.packed_inputs(tx_events_raw(spark, sf)))
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    ml.train_linear(df, "x", rounds=2)
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= kept
+
+
+def test_banks_by_count_are_ranges_of_users(spark):
+    from txflow.operators.split import banks
+
+    users = [f"u{i:02}" for i in range(7)]
+    df = spark.createDataFrame([(u,) for u in users for _ in range(3)] + [(None,)], "user string")
+    got = banks(df, "user", count=3)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.user, r.bank) for r in got.collect()} == {(u, i * 3 // 7) for i, u in enumerate(users)} | {(None, None)}
+    assert [r.bank for r in banks(df.filter("user IS NULL"), "user", count=3).collect()] == [None]

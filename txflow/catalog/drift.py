@@ -88,7 +88,7 @@ def d03(spark, sf):
 @query("d01_psi_model_input")
 def d01m(spark, sf):
     """All 243 inputs of the model: training rows against later ones."""
-    rows = cut(flows.packed_slots(raw_events(spark, sf)).select(F.col("x").alias("_x"), (F.col("split") == "train").alias("_ref")))
+    rows = cut(flows.packed_slots(raw_events(spark, sf)).select(F.col("x").alias("_x"), (F.col("split") == "train").alias("_ref")), wide=True)
     out = drift.psi_of_packed(rows, slot_names())
     return out.select("feature", r("psi").alias("psi"), "category", "feature_type", big("n_bins_used").alias("n_bins_used"))
 
